@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litloom.plans.lineage import cut
 from litloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("first_id").alias("first_file_id"), F.col("id").alias("file_id"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import byte_bpe as op
+
+    return op.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import mixing as op
+
+    return op.mix(cut(op.sized(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import mixing as op
+
+    texts, targets = cut(op.sized(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "mix_targets")
+    return op.shares(texts, targets, op.mix(texts, targets))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
