@@ -20,6 +20,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("first_id").alias("first_file_id"), F.col("id").alias("file_id"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import sentences as op
+
+    born_digital = table(spark, sf_dir, "sections").where("not scanned")
+    return op.segment(born_digital, "sec_id", "full_text", "lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import byte_bpe as op
 
