@@ -37,7 +37,7 @@ OPENERS = "\"'“‘«‹（([「『【„¿¡"
 TERMINATORS = ".!?…。！？｡।॥؟۔;;"
 NO_SPACE = r"぀-ヿ㐀-鿿가-힯"
 WORD = re.compile(r"[^\W\d_]+(?:[.\-’'][^\W\d_]+)*|\d+(?:[.,:/]\d+)*", re.U)
-RUN = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:[   ]?[»›](?![\w«])|[{re.escape(CLOSERS)}“])*")
+RUN = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:\s?[»›](?![\w«])|[{re.escape(CLOSERS)}“])*")
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+|\r\n[^\S\n]*\r\n\s*")
 HEADING = re.compile(r"^\s*\d{1,2}(?:\.\d{1,2})*\.?[^\S\n]+\S")
 THAI = re.compile(r"[฀-๿]")
