@@ -46,6 +46,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.shares(texts, targets, op.mix(texts, targets))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import personal_data as op
+
+    return op.find(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import personal_data as op
+
+    return op.redact(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
