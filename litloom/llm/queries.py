@@ -13,6 +13,19 @@ from litloom.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _journals(spark: SparkSession, sf_dir: str):
+    from litloom.llm import canonical_list as op
+
+    return op.entries(table(spark, sf_dir, "journal_metrics"), "journal_id", "name", "notes", table(spark, sf_dir, "journal_abbrev"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import canonical_list as op
+
+    got = op.mapped(table(spark, sf_dir, "extract_results"), "rec_id", F.col("metadata.journal"), _journals(spark, sf_dir))
+    return got.select("rec_id", F.col("entry_id").alias("journal_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import exact_copies as op
 
