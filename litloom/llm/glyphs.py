@@ -22,7 +22,7 @@ LOOK_ALIKE = (
     ("a", "4"),
 )
 _PAIRS = {x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) > 1}
-_SINGLE = str.maketrans({x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) == 1})
+SINGLE = str.maketrans({x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) == 1})
 _PAIR = re.compile("|".join(sorted(map(re.escape, ("rn", "cl", "vv", "ii")), key=len, reverse=True)))
 
 
@@ -30,7 +30,7 @@ _PAIR = re.compile("|".join(sorted(map(re.escape, ("rn", "cl", "vv", "ii")), key
 def folded(word: str) -> str:
     """A lower-case word with all look-alike glyphs brought to one."""
     w = _PAIR.sub(lambda m: {"rn": "m", "cl": "d", "vv": "w", "ii": "u"}[m.group()], word)
-    return w.translate(_SINGLE)
+    return w.translate(SINGLE)
 
 
 def distance(a: str, b: str, most: int) -> int:

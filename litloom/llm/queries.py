@@ -13,6 +13,12 @@ from litloom.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import author_names as op
+
+    return op.pairs(op.authors(table(spark, sf_dir, "extract_results"), F.col("metadata.authors")))
+
+
 def _journals(spark: SparkSession, sf_dir: str):
     from litloom.llm import canonical_list as op
 
