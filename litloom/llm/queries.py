@@ -32,6 +32,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("rec_id", F.col("entry_id").alias("journal_id"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import keyless_match as op
+
+    hits, records = op.sides(table(spark, sf_dir, "papers"), table(spark, sf_dir, "extract_results"))
+    return op.cascade(hits, records).select(F.col("id").alias("hit_id"), F.col("id_b").alias("rec_id"))
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import keyless_match as op
+
+    hits, records = op.sides(table(spark, sf_dir, "papers"), table(spark, sf_dir, "extract_results"))
+    sure = op.confidences(records, table(spark, sf_dir, "result_groups"))
+    found = op.cascade(hits, records).join(F.broadcast(sure), "rule")
+    return found.select(F.col("id").alias("hit_id"), F.col("id_b").alias("rec_id"), "rule", "confidence")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import exact_copies as op
 
