@@ -48,6 +48,12 @@ def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("hit_id"), F.col("id_b").alias("rec_id"), "rule", "confidence")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import best_record as op
+
+    return op.best(table(spark, sf_dir, "result_groups"), table(spark, sf_dir, "extract_results"), _journals(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import exact_copies as op
 
