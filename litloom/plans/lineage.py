@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="litloom-"))
+    return sc.getCheckpointDir()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone: its folder is the cluster's to clean
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir`` and return it without its lineage.
+    """``df`` written as a compressed table in the shared folder and read again, without its lineage.
 
-    The folder is the session's own; a temporary one is made only where none is set (tests).
+    Unlike a checkpoint of rows, the table is columnar: later readers take only the columns they use, and its size is
+    known to the planner. It is removed when the session's Python ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="litloom-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
