@@ -148,10 +148,10 @@ def side(df: DataFrame, row_id: Column, title: Column, authors: Column, year: Co
     return read.select("*", F.when(F.col("n") > 1, key(F.col("words"))).alias("k_all"), F.when(F.col("n") > 2, key(F.slice("words", 1, 3))).alias("k_short"), F.when(F.col("n") > 3, key(F.slice("words", 1, 4))).alias("k_first"), F.when(F.col("n") > 3, key(F.slice("words", -4, 4))).alias("k_last"), people.alias("k_people"))
 
 
-def _joined(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Rows of both sides with an equal key, as ``a`` and ``b``."""
-    left = a.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", "words", "rare", "n", "shortened", "families", "year", "k_all").alias("a"))
-    right = b.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", "words", "rare", "n", "shortened", "families", "year", "k_all").alias("b"))
+def _joined(a: DataFrame, b: DataFrame, key: str, *fields: str) -> DataFrame:
+    """Rows of both sides with an equal key, as ``a`` and ``b``, with no more than the fields needed."""
+    left = a.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", *fields).alias("a"))
+    right = b.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", *fields).alias("b"))
     return left.join(right, "_k")
 
 
@@ -162,22 +162,25 @@ KIN = "(size(a.families) = 0 or size(b.families) = 0 or exists(a.families, x ->
 
 def _rule_12(a: DataFrame, b: DataFrame) -> DataFrame:
     rule = F.expr(f"case when {SHARED} then 1 when least(a.n, b.n) >= 4 and {NEAR_YEAR} and {KIN} then 2 end")
-    return _joined(a, b, "k_all").where(F.expr("a.words = b.words or array_sort(a.words) = array_sort(b.words)")).select("a.id", F.col("b.id").alias("id_b"), rule.alias("rule")).where("rule is not null")
+    return _joined(a, b, "k_all", "n", "families", "year").select("a.id", F.col("b.id").alias("id_b"), rule.alias("rule")).where("rule is not null")
 
 
 def _rule_3(a: DataFrame, b: DataFrame) -> DataFrame:
-    short = _joined(a.where("n = 3"), b, "k_short").unionByName(_joined(a, b.where("n = 3"), "k_short"))
-    both = _joined(a, b, "k_first").unionByName(_joined(a, b, "k_last")).unionByName(short).where(F.expr("a.k_all <> b.k_all"))
-    d = both.select("a", "b", F.expr("array_except(a.words, b.words)").alias("x"), F.expr("array_except(b.words, a.words)").alias("y"))
+    # Candidates are found on keys alone; what is compared joins them afterwards.
+    keyed = lambda s: s.select("id", "n", "k_all", F.explode(F.expr("filter(array(named_struct('t', 0, 'k', k_first), named_struct('t', 1, 'k', k_last), named_struct('t', 2, 'k', k_short)), x -> x.k is not null)")).alias("x")).select("id", "n", "k_all", F.xxhash64("x.t", "x.k").alias("k"), F.col("x.t").alias("t"))
+    both = _joined(keyed(a), keyed(b), "k", "n", "k_all", "t").where("a.t = b.t and a.k_all <> b.k_all and (a.t < 2 or a.n = 3 or b.n = 3)").select("a.id", F.col("b.id").alias("id_b")).distinct()
+    shown = F.struct("words", "rare", "n", "shortened", "families", "year")
+    both = both.join(a.select("id", shown.alias("a")), "id").join(b.select(F.col("id").alias("id_b"), shown.alias("b")), "id_b")
+    d = both.select("id", "id_b", "a", "b", F.expr("array_except(a.words, b.words)").alias("x"), F.expr("array_except(b.words, a.words)").alias("y"))
     part = lambda p, q, side: f"(size({p}) = 0 and size({q}) > 0 and {side[0]}.n < {side[1]}.n and size({q}) <= 4 and size(array_except({side[0]}.words, slice({side[1]}.words, 1, {side[0]}.n + 1))) = 0 or {side[0]}.shortened and size({p}) = 1 and {side[0]}.n <= {side[1]}.n and exists({q}, w -> startswith(w, substring(get({p}, 0), 1, greatest(1, length(get({p}, 0)) - 1)))))"
     slip = "size(x) <= 1 and size(y) <= 1 and abs(a.n - b.n) <= 1 and (size(array_intersect(x, a.rare)) = 1 or size(array_intersect(y, b.rare)) = 1) and (size(x) = 0 or size(y) = 0 or levenshtein(get(x, 0), get(y, 0), 3) between 0 and 3)"
     ok = f"({part('x', 'y', 'ab')} or {part('y', 'x', 'ba')} or {slip}) and ({SHARED} or least(a.n, b.n) >= 5 and (size(a.families) = 0 or size(b.families) = 0)) and {NEAR_YEAR}"
     # ``part`` and ``ii`` tell one instalment from another: a cut title that lost them could be either.
-    return d.where(ok).select("a.id", F.col("b.id").alias("id_b"), F.lit(3).alias("rule")).distinct()
+    return d.where(ok).select("id", "id_b", F.lit(3).alias("rule")).distinct()
 
 
 def _rule_4(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _joined(a, b, "k_people").where("a.n = 0 or b.n = 0").select("a.id", F.col("b.id").alias("id_b"), F.lit(4).alias("rule"))
+    return _joined(a, b, "k_people", "n").where("a.n = 0 or b.n = 0").select("a.id", F.col("b.id").alias("id_b"), F.lit(4).alias("rule"))
 
 
 def cascade(a: DataFrame, b: DataFrame) -> DataFrame:
