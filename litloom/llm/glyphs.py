@@ -7,7 +7,8 @@ import re
 
 # Groups of glyphs that scanned pages confuse. The first of a group stands for all.
 LOOK_ALIKE = (
-    ("m", "rn", "nn", "iii", "in"),
+    ("m", "rn"),
+    ("im", "nn"),
     ("w", "vv"),
     ("u", "ii", "v"),
     ("d", "cl"),
@@ -21,15 +22,15 @@ LOOK_ALIKE = (
     ("z", "2"),
     ("a", "4"),
 )
-_PAIRS = {x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) > 1}
+PAIRS = {x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) > 1}
 SINGLE = str.maketrans({x: g[0] for g in LOOK_ALIKE for x in g[1:] if len(x) == 1})
-_PAIR = re.compile("|".join(sorted(map(re.escape, ("rn", "cl", "vv", "ii")), key=len, reverse=True)))
+_PAIR = re.compile("|".join(PAIRS))
 
 
 @functools.lru_cache(1 << 17)
 def folded(word: str) -> str:
     """A lower-case word with all look-alike glyphs brought to one."""
-    w = _PAIR.sub(lambda m: {"rn": "m", "cl": "d", "vv": "w", "ii": "u"}[m.group()], word)
+    w = _PAIR.sub(lambda m: PAIRS[m.group()], word)
     return w.translate(SINGLE)
 
 

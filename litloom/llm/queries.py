@@ -54,6 +54,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.best(table(spark, sf_dir, "result_groups"), table(spark, sf_dir, "extract_results"), _journals(spark, sf_dir))
 
 
+def _scans(spark: SparkSession, sf_dir: str):
+    from litloom.llm import scan_noise as op
+
+    texts = op.corpus(table(spark, sf_dir, "sections"), table(spark, sf_dir, "captions"))
+    return texts, op.Corpus(texts, table(spark, sf_dir, "journal_metrics"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import scan_noise as op
+
+    return op.noise(*_scans(spark, sf_dir))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import scan_noise as op
+
+    return op.repair(*_scans(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import exact_copies as op
 
