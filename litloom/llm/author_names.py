@@ -201,13 +201,15 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(to, pa.string()), pa.array(freq, pa.int64())], names=["word", "link", "n"])
 
     for shard, rows in _groups(batches):
-        if len(rows) < 2:
+        if len(rows) < 2 or not any(r[3] for r in rows):
             continue
         trie, back, pairs = Trie(), shard[0] in ">)", shard[0] in "()"
-        shown = [(forms(w)[pairs][:: -1 if back else 1], n, w) for _, w, n in rows]
-        for form, n, w in shown:
+        shown = [(forms(w)[pairs][:: -1 if back else 1], n, w, asked) for _, w, n, asked in rows]
+        for form, n, w, _ in shown:
             trie.add(form, (n, w))
-        for form, n, w in shown:
+        for form, n, w, asked in shown:
+            if not asked:
+                continue
             best = max(trie.near(form))
             if best > (n, w):
                 words.append(w)
@@ -220,9 +222,13 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(words: DataFrame) -> DataFrame:
-    """``word, root``: words (with their frequencies ``n``) and the frequent word that each is a slip of, or itself."""
+    """``word, root``: words (with their frequencies ``n``) and the frequent word that each is a slip of, or itself.
+
+    With a boolean column ``asked`` only those words are followed; the others are there to be found.
+    """
+    asked = F.col("asked") if "asked" in words.columns else F.lit(True)
     pieces = F.udf(lambda w: sorted(_pieces(w)), "array<string>")
-    shards = words.select(F.explode(pieces("word")).alias("shard"), "word", "n")
+    shards = words.select(F.explode(pieces("word")).alias("shard"), "word", "n", asked.alias("asked"))
     found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "word string, link string, n long")
     links = cut(found.groupBy("word").agg(F.max(F.struct("n", "link")).alias("x")).select("word", "x.link"))
     root = words.select("word").join(links, "word", "left").select("word", F.coalesce("link", "word").alias("root"))
