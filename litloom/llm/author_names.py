@@ -124,15 +124,17 @@ def parse(name: str) -> tuple[str, str, str]:
 
 
 def forms(word: str) -> tuple[str, str]:
-    """A word with single look-alike glyphs brought to one, and with pairs of them too."""
-    return word[:2] + word[2:].translate(SINGLE), word[:2] + folded(word[2:])
+    """A word with single look-alike glyphs brought to one, and with pairs of them too; a mark such as ``p:`` stays."""
+    mark = word[:2] if word[1:2] == ":" else ""
+    return mark + word[len(mark) :].translate(SINGLE), mark + folded(word[len(mark) :])
 
 
 def _pieces(word: str) -> set[str]:
     """Shards of both forms of a word: one edit leaves its prefix or its suffix whole."""
     out = set()
     for way, form in zip("<(", forms(word)):
-        kind, form = form[:2], form[2:]
+        kind = form[:2] if form[1:2] == ":" else ""
+        form = form[len(kind) :]
         for n in {len(form) - 1, len(form), len(form) + 1}:
             k = min(3, max(1, (n - 2) // 2))
             out |= {way + kind + form[:k], (">" if way == "<" else ")") + kind + form[-k:]}

@@ -62,9 +62,8 @@ class Entries:
         for i, name in names:
             ws = words_of(name)
             key = " ".join(ws)
-            if not key:
+            if not key or self.by_name.setdefault(key, i) != i:
                 continue
-            self.by_name.setdefault(key, i)
             content = tuple(w for w in ws if w not in FILLER)
             if (i, content) in seen or not content:
                 continue

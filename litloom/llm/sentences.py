@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most texts that the model is fitted on.
-FIT_ROWS = 2000
+FIT_ROWS = 4000
 DIMENSIONS = 1 << 18
 #: A token that should have stood at a paragraph's edge this many times and never did can't end (or begin) a unit.
-EXPECTED = 5.0
+EXPECTED = 4.5
 
 CLOSERS = "\"'”’»›）)］]」』】"
 OPENERS = "\"'“‘«‹（([「『【„¿¡"
