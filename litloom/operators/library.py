@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def has_children(items: DataFrame, children: DataFrame, key: str, present: bool = True) -> DataFrame:
@@ -22,7 +23,7 @@ def status_counts(df: DataFrame, status: Column) -> DataFrame:
     return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings as matched blocks: not symmetric, and not an edit distance. Null for null."""
     from difflib import SequenceMatcher
