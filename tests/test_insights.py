@@ -50,7 +50,7 @@ def test_research_fields_and_coverage(paper):
     assert r.key_results == ["Results\nThe result shows a throughput of 41 litres per hour", "Tests achieve 98.5 percent recovery."]
     assert r.innovation == ["Discussion\nUnlike older devices the mesh is reusable", "Conclusion\nThe first layered sieve works well"]
     assert r.application == ["The device has potential for small clinics.."]
-    assert r.limitations == ["A limitation is the cost of steel", "Future work will address corrosion."]
+    assert r.limitations == ["A limitation is the cost of steel", "Future work will address corrosion"]
     wide = {x.id: x for x in I.coverage_wide(I.research_coverage(paper, found, "id"), "id", found.columns[1:]).collect()}
     assert [wide[1][c] for c in found.columns[1:]] == [10, 10, 10, 10, 8, 10]
     assert set(wide[2][1:]) == {0} and set(wide[3][1:]) == {0}
