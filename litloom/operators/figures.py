@@ -72,19 +72,28 @@ def to_points(c: Column, dpi: int) -> Column:
     return c * 72 / dpi
 
 
-def above_score(caption: Column, image: Column, page_height: float) -> Column:
-    """How well a box above a caption fits it: .4 overlap in width, .4 nearness, .2 alignment of centres; null if it isn't above."""
-    overlap = F.greatest(F.lit(0.0), F.least(caption["x1"], image["x1"]) - F.greatest(caption["x0"], image["x0"])) / F.greatest(F.lit(1.0), F.least(width(caption), width(image)))
-    gap = caption["y0"] - image["y1"]
-    near = F.greatest(F.lit(0.0), 1 - gap / (page_height * 0.5))
-    off = F.abs((caption["x0"] + caption["x1"]) / 2 - (image["x0"] + image["x1"]) / 2)
-    aligned = F.greatest(F.lit(0.0), 1 - off / F.greatest(F.lit(1.0), width(caption)))
-    return F.when(gap >= 0, F.round(0.4 * overlap + 0.4 * near + 0.2 * aligned, 6))
+def above_score(caption: Column, image: Column, page_width: float, page_height: float, slack: float = 5.0, confidence: Column | None = None, within: tuple[float, float] | None = None) -> Column:
+    """How well a box fits a caption below it; null if it starts below the caption or lies outside the caption's column.
 
-
-def best_above(captions: DataFrame, images: DataFrame, page: Sequence[str], caption_id: str, image_id: str, page_height: float, least: float = 0.3) -> DataFrame:
+    Four tenths each for the part of the caption's width it spans and for nearness within three tenths of the page's
+    height; the rest for the alignment of centres, shared with the box's own confidence where there is one.
+    """
+    span = F.greatest(F.lit(0.0), F.least(caption["x1"], image["x1"]) - F.greatest(caption["x0"], image["x0"]))
+    overlap = F.when(width(caption) > 0, span / width(caption)).otherwise(0.0)
+    near = F.greatest(F.lit(0.0), 1 - F.greatest(F.lit(0.0), caption["y0"] - image["y1"]) / (page_height * 0.3))
+    middle = (image["x0"] + image["x1"]) / 2
+    aligned = F.greatest(F.lit(0.0), 1 - 2 * F.abs(middle - (caption["x0"] + caption["x1"]) / 2) / page_width)
+    rest = 0.2 * aligned if confidence is None else 0.1 * aligned + 0.1 * confidence
+    fits = image["y0"] <= caption["y0"] + slack
+    if within is not None:
+        fits = fits & middle.between(*within)
+    return F.when(fits, F.round(0.4 * overlap + 0.4 * near + rest, 6))
+
+
+def best_above(captions: DataFrame, images: DataFrame, page: Sequence[str], caption_id: str, image_id: str, page_width: float, page_height: float, least: float = 0.3, other: bool = False) -> DataFrame:
     """Each caption with the image of its page that scores best, if above ``least``: an equi join on the page, then the top one."""
-    pairs = captions.join(images, list(page)).withColumn("score", above_score(F.col("caption_box"), F.col("image_box"), page_height)).where(F.col("score") > least)
+    both = captions.join(images, list(page))
+    pairs = (both.where(F.col(caption_id) != F.col(image_id)) if other else both).withColumn("score", above_score(F.col("caption_box"), F.col("image_box"), page_width, page_height)).where(F.col("score") > least)
     top = pairs.groupBy(*page, caption_id).agg(F.min_by(F.struct(image_id, "score"), F.struct((-F.col("score")).alias("a"), F.col(image_id).alias("b"))).alias("_x"))
     return top.select(*page, caption_id, f"_x.{image_id}", "_x.score")
 
@@ -269,8 +278,78 @@ def white_bands(share_of_white: Column, least: int, threshold: float = 0.98) ->
 
 
 def region_score(area_share: Column, density: Column, has_color: Column, aspect: Column, y_share: Column) -> Column:
-    """.3 area + .2 density + .25 colour + .15 aspect + .1 position, each within 0 and 1."""
-    a = F.when(area_share < 0.05, area_share / 0.05 * 0.5).when(area_share <= 0.5, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (area_share - 0.5)))
-    r = F.when((aspect >= 0.5) & (aspect <= 2), 1.0).when((aspect >= 0.25) & (aspect <= 4), 0.6).otherwise(0.2)
-    p = F.when((y_share > 0.05) & (y_share < 0.95), 1.0).otherwise(0.5)
-    return F.round(0.3 * a + 0.2 * F.least(F.lit(1.0), density) + 0.25 * has_color.cast("double") + 0.15 * r + 0.1 * p, 6)
+    """Likelihood that a region is a figure: .3 size (5 to 60 % of the page is best), .2 density, .25 colour, .15 shape, .1 place."""
+    size = F.when(area_share < 0.05, area_share / 0.05).when(area_share > 0.6, F.greatest(F.lit(0.0), 1 - (area_share - 0.6) / 0.3)).otherwise(1.0)
+    half = lambda good: F.when(good, 1.0).otherwise(0.5)
+    return F.round(0.3 * size + 0.2 * F.least(F.lit(1.0), density / 0.5) + 0.25 * half(has_color) + 0.15 * half(aspect.between(0.3, 3.0)) + 0.1 * half((y_share > 0.05) & (y_share < 0.9)), 6)
+
+
+def plausible_region(b: Column, page_width: float, page_height: float, least: float = 0.03, most: float = 0.85, margin: float = 0.02) -> Column:
+    """Whether a region can be a figure: neither tiny nor the whole page, no strip, nothing small at the very edge."""
+    share = area(b) / (page_width * page_height)
+    aspect = width(b) / height(b)
+    edge = (b["x0"] < page_width * margin) & (width(b) < page_width * 0.3) | (b["y0"] < page_height * margin) & (height(b) < page_height * 0.1)
+    return share.between(least, most) & ~edge & F.coalesce(aspect.between(0.1, 6.0), F.lit(False))
+
+
+def caption_anchored(c: Column, page_width: float, page_height: float) -> Column:
+    """The box where a caption's figure should be: above it, as wide, widened for narrow captions; null without room."""
+    bottom = c["y0"] - 3
+    top = F.greatest(F.lit(10.0), bottom - page_height * 0.35)
+    left, right = F.greatest(F.lit(20.0), c["x0"] - 10), F.least(F.lit(page_width - 20), c["x1"] + 10)
+    narrow, middle = right - left < page_width * 0.3, (left + right) / 2
+    x0 = F.when(narrow, F.greatest(F.lit(20.0), middle - page_width * 0.2)).otherwise(left)
+    x1 = F.when(narrow, F.least(F.lit(page_width - 20), middle + page_width * 0.2)).otherwise(right)
+    return F.when(top < bottom, F.struct(x0.alias("x0"), top.alias("y0"), x1.alias("x1"), bottom.alias("y1")))
+
+
+def without_body_text(figure: Column, texts: Column, page_width: float) -> Column:
+    """A figure's box cut back where wide text blocks cover more than three tenths of it, block by block."""
+
+    def cut_by(f: Column, t: Column) -> Column:
+        covered = F.least(f["y1"], t["y1"]) - F.greatest(f["y0"], t["y0"])
+        hit = (t["x1"] - t["x0"] > page_width * 0.6) & (covered > 0) & (covered / (f["y1"] - f["y0"]) > 0.3)
+        below = t["y0"] > (f["y0"] + f["y1"]) / 2
+        y0 = F.when(hit & ~below, F.greatest(f["y0"], t["y1"] + 2)).otherwise(f["y0"])
+        y1 = F.when(hit & below, F.least(f["y1"], t["y0"] - 2)).otherwise(f["y1"])
+        return F.struct(f["x0"].alias("x0"), y0.alias("y0"), f["x1"].alias("x1"), y1.alias("y1"))
+
+    got = F.aggregate(texts, figure, cut_by)
+    return F.when((got["y1"] > got["y0"]) & (got["x1"] > got["x0"]), got)
+
+
+def widest_gap(gaps: Column, page_width: float) -> Column:
+    """The widest gap between columns whose centre lies in the middle three fifths of the page; the first of equal ones."""
+    central = F.filter(gaps, lambda g: (g["center"] > page_width * 0.2) & (g["center"] < page_width * 0.8))
+    most = F.array_max(F.transform(central, lambda g: g["width"]))
+    return F.get(F.filter(central, lambda g: g["width"] == most), F.lit(0))
+
+
+def factorisations(n: Column) -> Column:
+    """All grids of ``n`` cells as ``struct(rows, cols)``, fewest rows first."""
+    rows = F.filter(F.sequence(F.lit(1), n), lambda r: n % r == 0)
+    return F.transform(rows, lambda r: F.struct(r.alias("rows"), (n / r).cast("int").alias("cols")))
+
+
+def best_grid(scored: Column, least: float = 0.3) -> Column:
+    """The first of the grids ``struct(rows, cols, score)`` with the best score, if it exceeds ``least``."""
+    most = F.array_max(F.transform(scored, lambda g: g["score"]))
+    return F.when(most > least, F.get(F.filter(scored, lambda g: g["score"] == most), F.lit(0)))
+
+
+def midpoints(positions: Column, end: Column) -> Column:
+    """Cuts between neighbours: 0, the whole midpoints, and the end."""
+    inner = F.transform(F.slice(positions, 1, F.greatest(F.size(positions) - 1, F.lit(0))), lambda p, i: F.floor((p + F.get(positions, i + 1)) / 2).cast("int"))
+    return F.concat(F.array(F.lit(0)), inner, F.array(end))
+
+
+def zipped_labels(labels: Column, cells: Column) -> Column:
+    """``map`` of labels to cells in order, where there are as many of both."""
+    return F.when(F.size(labels) == F.size(cells), F.map_from_arrays(labels, cells))
+
+
+def first_engine(candidates: DataFrame, key: Sequence[str], rank: str, box: str, smallest: float = 30.0) -> DataFrame:
+    """Of each caption's candidates the one of the first engine whose box is large enough on both sides."""
+    good = candidates.where((width(F.col(box)) >= smallest) & (height(F.col(box)) >= smallest))
+    rest = [c for c in candidates.columns if c not in key]
+    return good.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(rank, F.to_json(F.struct(*rest)))).alias("_x")).select(*key, *(F.col(f"_x.{c}").alias(c) for c in rest))

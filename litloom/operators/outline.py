@@ -133,7 +133,7 @@ def motif(title: Column, body: Column) -> Column:
 
 
 def density(n_bullets: Column) -> Column:
-    return F.when(n_bullets >= 6, F.lit("dense")).when(n_bullets >= 4, F.lit("medium")).otherwise(F.lit("light"))
+    return F.when(n_bullets.between(1, 3), F.lit("is-sparse")).when(n_bullets >= 5, F.lit("is-dense")).otherwise(F.lit("is-balanced"))
 
 
 def proportional_section(page: Column, n_pages: Column, n_sections: Column) -> Column:

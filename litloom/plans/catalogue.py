@@ -19,6 +19,7 @@ from litloom.operators import insights as I
 from litloom.operators import journals as J
 from litloom.operators import library as L
 from litloom.operators import outline as O
+from litloom.operators import pages as P
 from litloom.operators import search as S
 from litloom.operators import validate
 from litloom.sources.sinks import joined_values
@@ -502,20 +503,22 @@ def so4_so5_reading_order(spark, d):
     return G.reading_order(table(spark, d, "captions").where("bbox is not null").select("rec_id", "page", "caption_id", "bbox"), ["rec_id", "page"], "bbox", 60.0).select("caption_id", "reading_pos")
 
 
-_OVER = "greatest(0.0, least(c.bbox.x1, i.bbox.x1) - greatest(c.bbox.x0, i.bbox.x0)) / greatest(1.0, least(c.bbox.x1 - c.bbox.x0, i.bbox.x1 - i.bbox.x0))"
-_NEAR = "greatest(0.0, 1 - (c.bbox.y0 - i.bbox.y1) / (792.0 * 0.5))"
-_ALIGN = "greatest(0.0, 1 - abs((c.bbox.x0 + c.bbox.x1) / 2 - (i.bbox.x0 + i.bbox.x1) / 2) / greatest(1.0, c.bbox.x1 - c.bbox.x0))"
+_OVER = "case when c.bbox.x1 - c.bbox.x0 > 0 then greatest(0.0, least(c.bbox.x1, i.bbox.x1) - greatest(c.bbox.x0, i.bbox.x0)) / (c.bbox.x1 - c.bbox.x0) else 0.0 end"
+_NEAR = "greatest(0.0, 1 - greatest(0.0, c.bbox.y0 - i.bbox.y1) / (792.0 * 0.3))"
+_ALIGN = "greatest(0.0, 1 - 2 * abs((i.bbox.x0 + i.bbox.x1) / 2 - (c.bbox.x0 + c.bbox.x1) / 2) / 612.0)"
 
 
 @query(f"""
 with p as (select c.rec_id, c.page, c.caption_id, i.caption_id as image_id, round(0.4 * {_OVER} + 0.4 * {_NEAR} + 0.2 * {_ALIGN}, 6) as score
-  from captions c join captions i on c.rec_id = i.rec_id and c.page = i.page where c.bbox is not null and i.bbox is not null and c.bbox.y0 - i.bbox.y1 >= 0)
+  from captions c join captions i on c.rec_id = i.rec_id and c.page = i.page and c.caption_id <> i.caption_id where c.bbox is not null and i.bbox is not null and i.bbox.y0 <= c.bbox.y0 + 5)
 select caption_id, image_id, cast(round(score * 1000) as bigint) as score_mille from (select *, row_number() over (partition by rec_id, page, caption_id order by score desc, image_id) as r from p where score > 0.3) where r = 1
 """)
 def jn6_jn7_best_box_above(spark, d):
+    """Boxes of other captions stand for images: the tables hold no others."""
     c = table(spark, d, "captions").where("bbox is not null").select("rec_id", "page", "caption_id", F.col("bbox").alias("caption_box"))
     i = c.select("rec_id", "page", F.col("caption_id").alias("image_id"), F.col("caption_box").alias("image_box"))
-    return G.best_above(c, i, ["rec_id", "page"], "caption_id", "image_id", 792.0).select("caption_id", "image_id", F.round(F.col("score") * 1000).cast("long").alias("score_mille"))
+    pairs = G.best_above(c, i, ["rec_id", "page"], "caption_id", "image_id", 612.0, 792.0, other=True)
+    return pairs.select("caption_id", "image_id", F.round(F.col("score") * 1000).cast("long").alias("score_mille"))
 
 
 @query("select p.caption_id, min(c.caption_id) as cell_id from captions p join captions c on p.rec_id = c.rec_id and p.page = c.page where p.bbox is not null and c.bbox is not null and p.column_hint between c.bbox.x0 and c.bbox.x1 and p.bbox.y0 between c.bbox.y0 and c.bbox.y1 group by p.rec_id, p.page, p.caption_id")
@@ -549,7 +552,7 @@ def wn9_claimed_boxes(spark, d):
     """Captions claim their best box in turn; who comes first is state that SQL can't carry."""
     c = table(spark, d, "captions").where("bbox is not null and rec_id is not null and page is not null").select("rec_id", "page", "caption_id", F.col("bbox").alias("caption_box"))
     i = c.select("rec_id", "page", F.col("caption_id").alias("image_id"), F.col("caption_box").alias("image_box"))
-    scored = c.join(i, ["rec_id", "page"]).withColumn("score", G.above_score(F.col("caption_box"), F.col("image_box"), 792.0)).where("score > 0.3").select("rec_id", "page", "caption_id", "image_id", "score")
+    scored = c.join(i, ["rec_id", "page"]).where("caption_id <> image_id").withColumn("score", G.above_score(F.col("caption_box"), F.col("image_box"), 612.0, 792.0)).where("score > 0.3").select("rec_id", "page", "caption_id", "image_id", "score")
     return G.claimed_images(scored, ["rec_id", "page"], "caption_id", "image_id")
 
 
@@ -707,3 +710,88 @@ def x_star_quantities(spark, d):
     li, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.groupBy("n_name", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("l_quantity") * 100).cast("long")).alias("quantity_hundredths"))
+
+
+# pages and regions ----------------------------------------------------------------------------------------------------------------
+
+_LINES = "list_filter(string_split(text, chr(10)), lambda l: l <> '')"
+
+
+@query(f"""
+with p as (select doc_id, lower(coalesce(source, '') || ' ' || array_to_string({_LINES}, ' ')) as joined, len(list_filter({_LINES}, lambda l: regexp_matches(l, '(^|[^A-Za-z0-9_])20[0-9][0-9]([^A-Za-z0-9_]|$)'))) as dated from documents where text is not null)
+select page_type, cast(count(*) as bigint) as n from (select case when {_any('joined', V.TIMELINE)} or dated > 0 then 'timeline' when {_any('joined', V.DETAIL)} then 'content_detail' else 'content_list' end as page_type from p) group by page_type
+""")
+def fl8_page_types(spark, d):
+    ls = F.filter(F.split("text", "\n"), lambda l: l != "")
+    return table(spark, d, "documents").where("text is not null").groupBy(P.page_type(F.coalesce("source", F.lit("")), ls).alias("page_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select slide_type, cast(count(*) as bigint) as n from (select case when layout in ('cover', 'toc', 'section', 'figure', 'split', 'summary', 'ending') then layout when length(image) > 0 then 'figure' when t in ('thank you', 'thanks', 'questions', 'q&a') then 'ending' when contains(t, 'conclusion') or contains(t, 'summary') then 'summary' else 'content' end as slide_type from (select lower(coalesce(caption_text, '')) as t, case when page % 5 = 0 then cast(page as varchar) end as image, figure_type as layout from captions)) group by 1")
+def fl9_slide_types(spark, d):
+    """Captions as slides: their figure types as layouts, some pages as images."""
+    c = table(spark, d, "captions").select(F.coalesce("caption_text", F.lit("")).alias("t"), F.when(F.col("page") % 5 == 0, F.col("page").cast("string")).alias("image"), F.col("figure_type").alias("layout"))
+    return c.groupBy(P.slide_type(F.col("t"), F.col("image"), F.col("layout")).alias("slide_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with x as (select caption_id, split_part(caption_text, chr(10), 1) as line from captions where caption_text is not null)
+select caption_id, regexp_extract(line, '^(\\S+)\\s*[:\\-]\\s*(.+)', 1) as date, substr(case when regexp_extract(line, '^(\\S+)\\s*[:\\-]\\s*(.+)', 2) <> '' then regexp_extract(line, '^(\\S+)\\s*[:\\-]\\s*(.+)', 2) else line end, 1, 20) as title from x
+""")
+def pr28_timeline_events(spark, d):
+    e = P.timeline_event(F.element_at(F.split("caption_text", "\n"), 1))
+    return table(spark, d, "captions").where("caption_text is not null").select("caption_id", e.alias("e")).select("caption_id", "e.date", "e.title")
+
+
+@query(f"select sec_id, list_extract(list_filter(list_transform(string_split(full_text, chr(10)), lambda l: {_strip('l')}), lambda l: length(l) > 10), 1) as title from sections where full_text is not null and not regexp_matches(full_text, '[\\x0b\\x85\\xa0]')")
+def pr29_first_long_lines(spark, d):
+    s = table(spark, d, "sections").where("full_text is not null").where(~F.col("full_text").rlike("[\x0b\x85\xa0]"))
+    return s.select("sec_id", P.first_long_line(F.col("full_text")).alias("title"))
+
+
+@query("select sec_id, " + "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(t, '(?i){p}') then '{label}' end" for label, p in V.PRESENT[:1] + V.PRESENT[3:4] + V.PRESENT[6:]) + "], lambda x: x is not null), ', ') as present from (select sec_id, full_text as t from sections where lang = 'en' and full_text is not null)")
+def fl25_present_sections(spark, d):
+    """Over English texts with the labels that they hold: word boundaries differ between engines beside other scripts."""
+    s = table(spark, d, "sections").where("lang = 'en' and full_text is not null")
+    return s.select("sec_id", F.array_join(P.present_sections(F.col("full_text"), V.PRESENT[:1] + V.PRESENT[3:4] + V.PRESENT[6:]), ", ").alias("present"))
+
+
+@query()
+def fl12_pr47_outline_items(spark, d):
+    """Sentences for an outline; the split looks behind, which the SQL engine's patterns can't."""
+    return table(spark, d, "sections").where("full_text is not null").select("sec_id", joined_values(P.outline_items(F.col("full_text"))).alias("items"))
+
+
+@query("select hit_id, source, title from papers where contains(lower(coalesce(title, '') || ' ' || coalesce(journal, '') || ' ' || coalesce(array_to_string(authors, ' '), '')), 'acoustic')")
+def fl19_search(spark, d):
+    p = table(spark, d, "papers").withColumn("title", F.col("title"))
+    return P.searched(p, ["title", "journal", "authors"], "Acoustic").select("hit_id", "source", "title")
+
+
+_R = "(bbox.x1 - bbox.x0) * (bbox.y1 - bbox.y0) / (612.0 * 792.0)"
+
+
+@query(f"""
+select caption_id, cast(round(1000 * round(0.3 * case when share < 0.05 then share / 0.05 when share > 0.6 then greatest(0.0, 1 - (share - 0.6) / 0.3) else 1.0 end + 0.2 * least(1.0, share / 0.5) + 0.25 * case when page % 2 = 0 then 1.0 else 0.5 end + 0.15 * case when aspect between 0.3 and 3.0 then 1.0 else 0.5 end + 0.1 * case when y > 0.05 and y < 0.9 then 1.0 else 0.5 end, 6)) as bigint) as score_mille,
+  share between 0.001 and 0.85 and not (x0 < 612 * 0.02 and w < 612 * 0.3 or y0 < 792 * 0.02 and h < 792 * 0.1) and aspect between 0.1 and 6.0 as plausible
+from (select caption_id, coalesce(page, 1) as page, {_R} as share, (bbox.x1 - bbox.x0) / (bbox.y1 - bbox.y0) as aspect, bbox.y0 / 792.0 as y, bbox.x0 as x0, bbox.y0 as y0, bbox.x1 - bbox.x0 as w, bbox.y1 - bbox.y0 as h from captions where bbox is not null and bbox.y1 > bbox.y0)
+""")
+def fl13_pr41_region_scores(spark, d):
+    b = F.col("bbox")
+    c = table(spark, d, "captions").where("bbox is not null and bbox.y1 > bbox.y0")
+    share = G.area(b) / (612.0 * 792.0)
+    score = G.region_score(share, share, F.coalesce("page", F.lit(1)) % 2 == 0, G.width(b) / G.height(b), b["y0"] / 792.0)
+    return c.select("caption_id", F.round(1000 * score).cast("long").alias("score_mille"), G.plausible_region(b, 612.0, 792.0, least=0.001).alias("plausible"))
+
+
+@query("""
+with a as (select caption_id, bbox.y0 - 3 as bottom, greatest(20.0, bbox.x0 - 10) as l, least(592.0, bbox.x1 + 10) as r from captions where bbox is not null), b as (select *, greatest(10.0, bottom - 792 * 0.35) as top, r - l < 612 * 0.3 as narrow, (l + r) / 2 as m from a)
+select caption_id, round(case when narrow then greatest(20.0, m - 612 * 0.2) else l end, 4) as x0, round(top, 4) as y0, round(case when narrow then least(592.0, m + 612 * 0.2) else r end, 4) as x1, round(bottom, 4) as y1 from b where top < bottom
+""")
+def pr23_caption_anchored_boxes(spark, d):
+    c = table(spark, d, "captions").where("bbox is not null").select("caption_id", G.caption_anchored(F.col("bbox"), 612.0, 792.0).alias("b")).where("b is not null")
+    return c.select("caption_id", *(F.round(f"b.{k}", 4).alias(k) for k in ("x0", "y0", "x1", "y1")))
+
+
+@query("select doc_id, cast(num as int) as num, title, cast(len(items) as int) as n_items from (select doc_id, row_number() over (partition by doc_id order by page) as num, title, items from " + _PAGES + ")")
+def pr49_previews(spark, d):
+    return P.preview(O.outline_pages(table(spark, d, "documents").where("text is not null"), "doc_id", "text"), "doc_id", "page", "title", "items")

@@ -49,7 +49,7 @@ def test_claims_are_not_shared(spark):
 def test_best_above(spark):
     c = spark.createDataFrame([(1, 5, (0.0, 500.0, 100.0, 520.0))], f"page int, cap int, caption_box {BOX}")
     i = spark.createDataFrame([(1, 1, (0.0, 300.0, 100.0, 490.0)), (1, 2, (0.0, 0.0, 100.0, 50.0)), (1, 3, (0.0, 530.0, 100.0, 600.0))], f"page int, img int, image_box {BOX}")
-    assert [(r.cap, r.img) for r in G.best_above(c, i, ["page"], "cap", "img", 792.0).collect()] == [(5, 1)]
+    assert [(r.cap, r.img) for r in G.best_above(c, i, ["page"], "cap", "img", 612.0, 792.0).collect()] == [(5, 1)]
 
 
 def test_bands_drop_the_open_edge(spark):
@@ -61,3 +61,25 @@ def test_bands_drop_the_open_edge(spark):
 def test_label_rows(spark):
     d = spark.createDataFrame([(1, "a", 0.0, 10.0, 100.0), (1, "b", 50.0, 20.0, 100.0), (1, "c", 0.0, 60.0, 100.0)], "page int, label string, x double, y double, height double")
     assert {r.label: r.row_no for r in G.label_rows(d, ["page"]).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_small_geometry(spark):
+    d = spark.createDataFrame([((100.0, 500.0, 150.0, 520.0), [(0.0, 400.0, 600.0, 480.0)], [(100.0, 5.0), (300.0, 9.0), (310.0, 9.0)], 6, [10, 21, 40])], f"c {BOX}, t array<{BOX}>, g array<struct<center double, width double>>, n int, p array<int>")
+    r = d.select(
+        G.caption_anchored(F.col("c"), 612.0, 792.0).alias("a"),
+        G.without_body_text(F.struct(F.lit(0.0).alias("x0"), F.lit(300.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(480.0).alias("y1")), F.col("t"), 612.0).alias("b"),
+        G.widest_gap(F.col("g"), 612.0).alias("g"),
+        G.factorisations(F.col("n")).alias("f"),
+        G.midpoints(F.col("p"), F.lit(50)).alias("m"),
+    ).first()
+    assert (r.a.y1, round(r.a.y0, 1), round(r.a.x1 - r.a.x0, 1)) == (497.0, 219.8, 227.4)
+    assert (r.b.y0, r.b.y1) == (300.0, 398.0) and r.g.center == 300.0
+    assert [tuple(x) for x in r.f] == [(1, 6), (2, 3), (3, 2), (6, 1)] and r.m == [0, 15, 30, 50]
+
+
+def test_grid_zip_and_engine(spark):
+    d = spark.createDataFrame([([(1, 4, 0.5), (2, 2, 0.9), (4, 1, 0.9)], ["a", "b"], [1, 2])], "g array<struct<rows int, cols int, score double>>, l array<string>, c array<int>")
+    r = d.select(G.best_grid(F.col("g")).alias("g"), G.zipped_labels(F.col("l"), F.col("c")).alias("z"), G.zipped_labels(F.col("l"), F.slice("c", 1, 1)).alias("n")).first()
+    assert (r.g.rows, r.z, r.n) == (2, {"a": 1, "b": 2}, None)
+    c = spark.createDataFrame([(1, 0, (0.0, 0.0, 10.0, 10.0)), (1, 1, (0.0, 0.0, 50.0, 50.0)), (1, 2, (0.0, 0.0, 90.0, 90.0)), (2, 0, (0.0, 0.0, 5.0, 5.0))], f"cap int, engine int, box {BOX}")
+    assert [(r.cap, r.engine) for r in G.first_engine(c, ["cap"], "engine", "box").collect()] == [(1, 1)]

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from litloom.operators import outline as O
+from litloom.operators import pages as P
 
 DECK = "Title: Sieves\nAuthor： Ada\n1. Background\n- one\n- two\n* three\n4 plain\n2. Results\n- r1\n"
 
@@ -37,5 +38,21 @@ def test_small_columns(spark):
     d = spark.createDataFrame([(["a", "b", "c", "d", "e", "f", "g"], 6)], "s array<string>, n int")
     assert d.select(O.nav_window(F.col("s"), F.col("n"))).first()[0] == ["c", "d", "e", "f", "g"]
     assert d.select(O.nav_window(F.col("s"), F.lit(0))).first()[0] == ["a", "b", "c", "d", "e"]
-    assert d.select(O.proportional_section(F.lit(9), F.lit(10), F.lit(3)), O.density(F.lit(6))).first()[:] == (2, "dense")
+    assert d.select(O.proportional_section(F.lit(9), F.lit(10), F.lit(3)), O.density(F.lit(6))).first()[:] == (2, "is-dense")
     assert d.select(O.slide_html(F.lit("content"), F.lit("<b>"), F.array(F.lit("**x**")))).first()[0] == '<section class="content title-fit-normal"><h2>&lt;b&gt;</h2><ul><li><span class="highlight">x</span></li></ul></section>'
+
+
+def test_pages(spark):
+    d = spark.createDataFrame([("Plan", ["x"]), ("A", ["in 2024 it"]), ("Method", ["x"]), ("A", ["120245"])], "t string, l array<string>").select(P.page_type(F.col("t"), F.col("l")).alias("p"))
+    assert [r.p for r in d.collect()] == ["timeline", "timeline", "content_detail", "content_list"]
+    e = spark.createDataFrame([("2020: The start of all of it",), ("no date here",)], "l string").select(P.timeline_event(F.col("l")).alias("e")).collect()
+    assert [tuple(r.e) for r in e] == [("2020", "The start of all of ", "The start of all of it"), ("", "no date here", "no date here")]
+    f = spark.createDataFrame([([30] * 4,), ([3000] * 30,)], "n array<int>").select(P.fitted_font(F.col("n"), 2.0, 6.0).alias("f")).collect()
+    assert [r.f for r in f] == [22, 9]
+    t = spark.createDataFrame([(1, [("A", ["x", "y"]), ("B", [])])], "id int, s array<struct<title string, items array<string>>>")
+    assert {r.tag: r.text for r in P.tagged_items(t, "id", "s").collect()} == {"[SEC0]": "A", "[SEC1]": "B", "[S0I0]": "x", "[S0I1]": "y"}
+    c = spark.createDataFrame([("see Fig. 2: A long caption\nFig. 12. other one", 2), ("图 3. 一二三四五六", 3), ("none", 1)], "t string, n int").select(P.figure_caption(F.col("t"), F.col("n")).alias("c")).collect()
+    assert [r.c for r in c] == ["A long caption", "一二三四五六", None]
+    k, rest = P.known_and_rest(F.col("b"), ["title"])
+    r = spark.createDataFrame([('{"title": "T", "x": "1"}',)], "b string").select(k.alias("k"), rest.alias("r")).first()
+    assert (r.k, r.r) == ({"title": "T"}, {"x": "1"})
