@@ -47,3 +47,21 @@ def test_rows(spark, model):
         by.setdefault(r.sec_id, []).append(r.start_char)
     assert by[1] == [0, 9] and by[5] == [0, 9] and len(by[6]) == 5000 and set(by) == {1, 5, 6}
     assert op.segment(df.limit(0), "sec_id", "full_text", "lang").collect() == []
+
+
+def test_held_out_boundaries():
+    """Paragraphs of texts that the model hasn't seen, run together: the seams are boundaries that are known."""
+    rows = [r for r in pq.read_table(SF).to_pylist() if not r["scanned"] and (r["full_text"] or "").strip() and r["lang"]]
+    fitted = op.Model([(r["lang"], r["full_text"]) for r in rows if r["sec_id"] % 2])
+    right = total = 0
+    for r in rows:
+        if r["sec_id"] % 2:
+            continue
+        paras = [p for p in r["full_text"].split("\n\n") if len(p) > 80 and p.strip()[-1] in ".!?。！？।؟"]
+        gap = "" if r["lang"] in ("zh", "ja") else " "
+        for a, b in zip(paras[::2], paras[1::2]):
+            a, b = a.strip(), b.strip()
+            if "\n" not in a + b:
+                total += 1
+                right += len(a) + len(gap) in fitted.starts(a + gap + b, r["lang"])
+    assert total > 500 and right / total > 0.98, (right, total)
