@@ -48,22 +48,26 @@ LISTED = frozenset(full for k in FULL_OF.values() for full in k)
 
 
 @functools.lru_cache(1 << 16)
-def given_of(word: str) -> str | None:
-    """The listed full given name that a folded word stands for, allowing for one slip in longer words."""
+def given_options(word: str) -> tuple[str, ...]:
+    """The listed full given names that a folded word may stand for, itself or within one slip, the likeliest first."""
     first = word.split("-")[0]
     if first in FULL_OF:
-        return FULL_OF[first][0]
+        return FULL_OF[first]
     f = folded(first)
-    if len(first) < 4:
-        return next((full[0] for k, full in FULL_OF.items() if len(k) == len(first) == 3 and folded(k) == f), None)
-    best = None
+    found = set()
     for k, full in FULL_OF.items():
-        if len(k) > 3 and abs(len(k) - len(first)) < 3:
-            fk = folded(k)
-            d = 0 if fk == f else min(distance(k, first, 1), distance(fk, f, 1))
-            if d <= 1 and (best is None or (d, -len(k), k) < best[:3]):
-                best = (d, -len(k), k, full[0])
-    return best[3] if best else None
+        if abs(len(k) - len(first)) > 2 or len(k) < 3 or len(first) < 3:
+            continue
+        fk = folded(k)
+        short = len(k) + len(first) < 7
+        d = 0 if fk == f else 2 if short else min(distance(k, first, 1), distance(fk, f, 1))
+        if d <= 1:
+            found |= {(d, -len(k), x) for x in full}
+    return tuple(dict.fromkeys(x for *_, x in sorted(found)))
+
+
+def given_of(word: str) -> str | None:
+    return next(iter(given_options(word)), None)
 
 
 def parse(name: str) -> tuple[str, str, str]:
@@ -93,7 +97,7 @@ def parse(name: str) -> tuple[str, str, str]:
     for w, l in zip(words, low):
         at = plain.find(w, seen_at)
         seen_at = at + len(w)
-        if l in TITLES and not (len(words) == 2 and l in FULL_OF):
+        if l in TITLES and not (len(words) == 2 and (l in FULL_OF or w.isupper() and len(w) == 2)):
             continue
         letters = [c for c in w if c.isalpha()]
         if len(letters) == 1 and len(w) == 1 or w.isupper() and (len(w) <= 3 and l not in FULL_OF or len(w) <= 5 and len(words) == 2 and not any(len(x) > 5 and x.isupper() for x in words)):
@@ -242,17 +246,30 @@ def linked(words: DataFrame) -> DataFrame:
 def persons(keys: list[tuple[str, str, int]]) -> dict[tuple[str, str], str]:
     """The person of each (given name, initials, frequency) within one family, named by a given name or initials."""
     out: dict[tuple[str, str], str] = {}
+    exact: Counter = Counter()
+    for g, _, n in keys:
+        if len(FULL_OF.get(g.split("-")[0], ())) == 1:
+            exact[FULL_OF[g.split("-")[0]][0]] += n
+
+    @functools.cache
+    def full(g: str) -> str:
+        """The full name meant: of several, one that the family has."""
+        options = given_options(g)
+        if len(options) > 1 and any(exact[o] for o in options):
+            return max(options, key=lambda o: (exact[o], o))
+        return options[0] if options else g.split("-")[0]
+
     count: Counter = Counter()
     for g, _, n in keys:
         if g:
-            count[given_of(g) or g.split("-")[0]] += n
+            count[full(g)] += n
     known = sorted((g for g in count), key=lambda g: (-count[g], g))
     resolved: dict[str, str] = {}
     for g in known:
         near = None
         if g not in LISTED:
             others = [r for r in known if count[r] >= count[g] and r != g and r in resolved]
-            near = next((r for r in others if len(g) > 2 and len(r) > 3 and (folded(r) == folded(g) or distance(folded(r), folded(g), 1) <= 1)), None)
+            near = next((r for r in others if len(g) > 2 and len(r) > 2 and (folded(r) == folded(g) or distance(folded(r), folded(g), 1) <= 1)), None)
             if near is None and len(g) > 2:
                 begun = [r for r in known if r != g and r.startswith(g)]
                 near = begun[0] if len(begun) == 1 else None
@@ -260,7 +277,7 @@ def persons(keys: list[tuple[str, str, int]]) -> dict[tuple[str, str], str]:
     middle: dict[str, set[str]] = defaultdict(set)
     for g, i, _ in keys:
         if g:
-            p = resolved[given_of(g) or g.split("-")[0]]
+            p = resolved[full(g)]
             out[g, i] = p
             if i:
                 middle[p].add(i[-1:])
