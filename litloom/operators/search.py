@@ -25,7 +25,7 @@ def dedupe_key() -> list[Column]:
 
 
 def first_seen(df: DataFrame, order: str, key: Sequence[Column] | None = None) -> DataFrame:
-    """The first row of each key; the result keeps ``order`` for a final sort.
+    """The first row of each key; the result keeps ``order``, which must be unique, for a final sort.
 
     The first row is found by an aggregation with partial aggregates, so a key that holds a third of all rows costs its
     shuffle one row per task, and only the positions of first rows are joined back.
