@@ -104,3 +104,65 @@ def known_and_rest(body: Column, known: Sequence[str]) -> tuple[Column, Column]:
     """A JSON object's known keys as a map, and all others as another, so that nothing is lost on the way back."""
     m = F.from_json(body, "map<string,string>")
     return F.map_filter(m, lambda k, _: k.isin(*known)), F.map_filter(m, lambda k, _: ~k.isin(*known))
+
+
+DIRECTIVE = r"(?i)^\s*(layout|type|title|subtitle|author|affiliation|date|theme)\s*:"
+IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+NOTES = r"(?:^|\n)[ \t]*:::notes[ \t]*\n([\s\S]*?)(?:\n[ \t]*:::[ \t]*(?=\n|$)|$)"
+HEAD = r"^(#{1,6})\s+(.+)$"
+POINT = r"^\s*(?:[-*•]|\d+[.)])\s+(.+)$"
+
+
+def slides(df: DataFrame, key: str, text: str, most: int = 6) -> DataFrame:
+    """Slides of a Markdown deck whose blocks are parted by ``---`` lines.
+
+    Leading ``key: value`` lines are directives; the first heading is the title if no directive gives one; the last image
+    counts; fenced notes are set apart; plain lines fill up the bullets to ``most``.
+    """
+    whole = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+    cut = df.select(key, F.posexplode(F.split(whole, r"(?m)^---[ \t]*$\n?")).alias("slide_no", "_block"))
+    ls = F.split(F.col("_block"), "\n")
+    content = F.array_position(F.transform(ls, lambda l: (T.strip(l) != "") & ~l.rlike(DIRECTIVE)), True)
+    ahead = F.when(content > 0, content.cast("int") - 1).otherwise(F.size(ls))
+    said = F.filter(F.slice(ls, 1, ahead), lambda l: l.rlike(DIRECTIVE))
+    pairs = F.transform(said, lambda l: F.struct(F.lower(T.strip(F.regexp_extract(l, "^([^:]+):", 1))).alias("k"), F.regexp_replace(T.strip(F.regexp_extract(l, "^[^:]+:(.*)$", 1)), "^[\"']+|[\"']+$", "").alias("v")))
+    body = F.array_join(F.slice(ls, ahead + 1, F.greatest(F.size(ls), F.lit(1))), "\n")
+    parts = cut.select(key, "slide_no", pairs.alias("_d"), body.alias("_body")).where((F.size("_d") > 0) | (T.strip(F.col("_body")) != ""))
+    given = lambda name: F.filter("_d", lambda p: p["k"] == name)
+    directive = lambda name: F.coalesce(F.get(given(name), F.size(given(name)) - 1)["v"], F.lit(""))
+    rest = F.split(F.regexp_replace("_body", NOTES, "\n"), "\n")
+    shown = parts.select(key, "slide_no", *(directive(n).alias(f"_{n}") for n in ("title", "subtitle", "layout", "type")), rest.alias("_rest"), F.array_join(F.regexp_extract_all("_body", F.lit(NOTES), F.lit(1)), "\n").alias("notes"))
+    plain = shown.withColumn("_lines", F.filter("_rest", lambda l: ~l.rlike(IMAGE) & (T.strip(l) != "")))
+    at = F.when(F.col("_title") == "", F.array_position(F.transform("_lines", lambda l: l.rlike(HEAD)), True)).otherwise(0)
+    titled = plain.withColumn("_at", at).withColumn("title", F.when(F.col("_at") > 0, T.strip(F.regexp_extract(F.get("_lines", F.col("_at").cast("int") - 1), HEAD, 2))).otherwise(F.col("_title")))
+    others = F.filter("_lines", lambda l, i: i + 1 != F.col("_at"))
+    bullets = F.transform(F.filter(others, lambda l: l.rlike(POINT)), lambda l: T.strip(F.regexp_extract(l, POINT, 1)))
+    paras = F.transform(F.filter(others, lambda l: ~l.rlike(POINT) & ~l.rlike(r"^\s*<!--")), T.strip)
+    pics = F.transform(F.filter("_rest", lambda l: l.rlike(IMAGE)), lambda l: F.struct(T.strip(F.regexp_extract(l, IMAGE, 2)).alias("path"), T.strip(F.regexp_extract(l, IMAGE, 1)).alias("caption")))
+    filled = titled.withColumn("_b", bullets).withColumn("_p", paras).withColumn("_pic", F.get(pics, F.size(pics) - 1))
+    room = F.greatest(F.lit(0), F.lit(most) - F.size("_b"))
+    image = F.col("_pic.path")
+    kind = F.when(F.col("_type") != "", F.col("_type")).otherwise(slide_type(F.col("title"), F.coalesce(image, F.lit("")), F.col("_layout")))
+    return filled.select(key, "slide_no", kind.alias("type"), "title", F.col("_subtitle").alias("subtitle"), F.concat("_b", F.slice("_p", F.lit(1), room)).alias("bullets"), image.alias("image"), F.coalesce(F.col("_pic.caption"), F.lit("")).alias("caption"), "notes", F.col("_layout").alias("layout"))
+
+
+def image_refs(text: Column) -> Column:
+    """``map`` of the labels of a text's images to their paths; the last path of a label counts."""
+    named = F.zip_with(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)), lambda k, v: F.struct(T.strip(k).alias("k"), T.strip(v).alias("v")))
+    last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def missing_figures(text: Column) -> Column:
+    """References ``[图N,页P]`` to figures that no image of the text gives, as ``struct(label, page)``."""
+    have = F.map_keys(image_refs(text))
+    labels = F.regexp_extract_all(text, F.lit(r"\[([图表Fig.]+\d*)[,，]页?(\d+)\]"), F.lit(1))
+    pages = F.regexp_extract_all(text, F.lit(r"\[([图表Fig.]+\d*)[,，]页?(\d+)\]"), F.lit(2))
+    both = F.zip_with(labels, pages, lambda l, p: F.struct(l.alias("label"), p.cast("int").alias("page")))
+    return F.filter(both, lambda r: ~F.array_contains(have, r["label"]))
+
+
+def relative_path(path: Column, base: str) -> Column:
+    """A path as seen from a folder it lies in; others are left as they are."""
+    folder = base.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(folder)), F.substring(path, len(folder) + 1, F.length(path))).otherwise(path)

@@ -56,3 +56,18 @@ def test_pages(spark):
     k, rest = P.known_and_rest(F.col("b"), ["title"])
     r = spark.createDataFrame([('{"title": "T", "x": "1"}',)], "b string").select(k.alias("k"), rest.alias("r")).first()
     assert (r.k, r.r) == ({"title": "T"}, {"x": "1"})
+
+
+def test_markdown_slides(spark):
+    deck = "layout: section\nsubtitle: '01'\n\n# Sieves\n- one\n2. two\nplain\n![Fig](a.png)\n![Last](b.png)\n:::notes\nsay this\nand that\n:::\n<!-- no -->\n---\n# Thanks\n---\n\n---\n# Conclusion of it\n## Sub\ntext"
+    got = {r.slide_no: r for r in P.slides(spark.createDataFrame([(1, deck), (2, None)], "id int, t string"), "id", "t").collect()}
+    a, b, c = got[0], got[1], got[3]
+    assert (a.type, a.title, a.subtitle, a.bullets, a.image, a.caption, a.notes) == ("section", "Sieves", "01", ["one", "two", "plain"], "b.png", "Last", "say this\nand that")
+    assert (b.type, b.title, b.bullets, b.image) == ("ending", "Thanks", [], None) and 2 not in got
+    assert (c.type, c.title, c.bullets) == ("summary", "Conclusion of it", ["## Sub", "text"])
+
+
+def test_figure_references(spark):
+    t = "![图1](x.png) ![图1](y.png) [图1,页3] [图2，页4] [Fig.5,6]"
+    r = spark.createDataFrame([(t,)], "t string").select(P.image_refs(F.col("t")).alias("i"), P.missing_figures(F.col("t")).alias("m"), P.relative_path(F.lit("/a/b/c.png"), "/a").alias("p")).first()
+    assert r.i == {"图1": "y.png"} and [tuple(x) for x in r.m] == [("图2", 4), ("Fig.5", 6)] and r.p == "b/c.png"
