@@ -237,9 +237,10 @@ def linked(words: DataFrame) -> DataFrame:
     shards = words.select(F.explode(pieces("word")).alias("shard"), "word", "n", asked.alias("asked"))
     found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "word string, link string, n long")
     links = cut(found.groupBy("word").agg(F.max(F.struct("n", "link")).alias("x")).select("word", "x.link"))
-    root = words.select("word").join(links, "word", "left").select("word", F.coalesce("link", "word").alias("root"))
+    # The links grow with the data, so they are never to be broadcast.
+    root = words.select("word").join(links.hint("merge"), "word", "left").select("word", F.coalesce("link", "word").alias("root"))
     for _ in range(FOLLOW):
-        root = root.join(links.select(F.col("word").alias("root"), F.col("link").alias("_next")), "root", "left").select("word", F.coalesce("_next", "root").alias("root"))
+        root = root.join(links.select(F.col("word").alias("root"), F.col("link").alias("_next")).hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"))
     return root
 
 
@@ -323,10 +324,10 @@ def authors(df: DataFrame, names: Column) -> DataFrame:
     strings = df.select(F.explode(names).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     parsed = cut(strings.mapInArrow(_parsed, "name string, n long, word string, given string, initials string").where("word <> ''"))
     roots = linked(parsed.groupBy("word").agg(F.sum("n").alias("n")))
-    rooted = parsed.join(roots, "word")
+    rooted = parsed.join(roots.hint("merge"), "word")
     keys = rooted.groupBy("root", "given", "initials").agg(F.sum("n").alias("n"))
     people = keys.repartition("root").sortWithinPartitions("root").mapInArrow(lambda it: _batched(_resolve(it)), "root string, given string, initials string, author string")
-    return rooted.join(people, ["root", "given", "initials"]).select("name", "author")
+    return rooted.join(people.hint("merge"), ["root", "given", "initials"]).select("name", "author")
 
 
 def pairs(members: DataFrame) -> DataFrame:
