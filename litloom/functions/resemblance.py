@@ -1,0 +1,139 @@
+"""Pairs of strings whose ``SequenceMatcher`` ratio can exceed a bound: every one of them, and few others.
+
+The ratio is ``2 M / S`` for ``M`` matched characters of strings of ``S`` characters together. Those are a common
+subsequence, so three bounds hold for each pair above ``least``, where ``M`` is at least ``m``, the first whole number
+above ``least * S / 2``:
+
+- Two matched characters that follow each other are a common bigram, unless one of the ``S - 2 M`` unmatched ones stands
+  between them: the strings share ``3 m - S - 1`` bigrams or more, repeated ones counted.
+- They share ``m`` characters or more, repeated ones counted.
+- Their longest common subsequence has ``m`` characters or more.
+
+The first two are counted on bit sets. The n-th occurrence of a bigram or character has one bit; where two of a string's
+own fall together, its count of bits is short by as many, which the bounds allow for.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+
+GRAM_BITS, CHAR_BITS = 384, 256
+TILE, ROWS, CHUNK = 8192, 4, 1 << 15
+
+
+def _bits(keys: np.ndarray, used: np.ndarray, place) -> tuple[np.ndarray, np.ndarray]:
+    """Words by string, and how many of each string's keys found their bit taken."""
+    n, m = keys.shape
+    order = np.sort(np.where(used, keys, -1), axis=1)
+    at = np.broadcast_to(np.arange(m), (n, m))
+    begins = np.ones((n, m), bool)
+    begins[:, 1:] = order[:, 1:] != order[:, :-1]
+    nth = at - np.maximum.accumulate(np.where(begins, at, 0), axis=1)
+    where, width = place(order, nth)
+    real = order >= 0
+    has = np.zeros((n, width), bool)
+    has[np.nonzero(real)[0], where[real]] = True
+    words = np.packbits(has, axis=1).view("<u8")
+    return np.ascontiguousarray(words.T), real.sum(1) - has.sum(1)
+
+
+class Signed:
+    """Strings with their bit sets, sorted by length; ``order`` holds the places they were given at."""
+
+    def __init__(self, texts: Sequence[str]):
+        self.length = np.array([len(t) for t in texts])
+        self.order = np.argsort(self.length, kind="stable")
+        self.texts = [texts[i] for i in self.order]
+        self.length = self.length[self.order]
+        parts = [self._part(k, min(k + TILE, len(texts))) for k in range(0, len(texts), TILE)]
+        self.grams, self.chars = (np.concatenate([p[i] for p in parts], axis=1) for i in (0, 2))
+        self.lost_grams, self.lost_chars = (np.concatenate([p[i] for p in parts]) for i in (1, 3))
+
+    def codes(self, places: np.ndarray) -> np.ndarray:
+        """Code points by string and place, -1 behind the end."""
+        width = int(self.length[places].max())
+        c = np.array([self.texts[i] for i in places], dtype=f"<U{width}").view("<u4").reshape(len(places), width).astype(np.int64)
+        c[np.arange(width) >= self.length[places, None]] = -1
+        return c
+
+    def _part(self, begin: int, end: int):
+        c = self.codes(np.arange(begin, end))
+        pairs = np.concatenate([c[:, :-1] * 1114112 + c[:, 1:], np.full((end - begin, 1), -1)], axis=1)
+        used = np.concatenate([c[:, 1:] >= 0, np.zeros((end - begin, 1), bool)], axis=1)
+        grams = _bits(pairs, used, lambda k, n: (((k + n * 7919) * 2654435761 >> 13) % GRAM_BITS, GRAM_BITS))
+        chars = _bits(c, c >= 0, lambda k, n: (k % 32 * 8 + np.minimum(n, 7), CHAR_BITS))
+        return *grams, *chars
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """Code points by 128: those that agree count as one, which can only lengthen what two strings have in common. 128 is the end."""
+    return np.where(codes >= 0, codes % 128, 128)
+
+
+def common_subsequence(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least the length of the longest common subsequence of rows ``a[x]`` and ``b[y]`` (classes): bit-parallel, by words of 64."""
+    n, width = b.shape
+    masks = np.zeros((-(-width // 64), n, 129), np.uint64)
+    for k in range(width):
+        masks[k // 64, np.arange(n), b[:, k]] |= np.uint64(1 << k % 64)
+    masks[:, :, 128] = 0
+    masks = masks.reshape(len(masks), -1)
+    v = np.full((len(masks), len(x)), 2**64 - 1, np.uint64)
+    base = y * 129
+    for column in np.ascontiguousarray(a.T):
+        at = base + column[x]
+        carry: np.ndarray | None = None
+        for w in range(len(masks)):
+            u = v[w] & masks[w][at]
+            total = v[w] + u
+            if w + 1 < len(masks) or carry is not None:
+                over = total < u
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            v[w] = total | (v[w] & ~u)
+    return np.bitwise_count(~v).sum(0, dtype=np.int64)
+
+
+def candidates(left: Signed, right: Signed, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``left.texts`` and ``right.texts`` of all pairs whose ratio can exceed ``least``, in pieces."""
+    for length in np.unique(right.length):
+        rows = np.flatnonzero(right.length == length)
+        fits = np.flatnonzero(2 * np.minimum(left.length, length) > least * (left.length + length) - 1e-9)
+        if not len(fits):
+            continue
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin in range(int(fits[0]), int(fits[-1]) + 1, TILE):
+            tile = slice(begin, min(begin + TILE, int(fits[-1]) + 1))
+            total = left.length[tile] + length
+            m = np.floor(least * total / 2 - 1e-9).astype(np.int64) + 1
+            need = 3 * m - total - 1 - np.minimum(left.lost_grams[tile], right.lost_grams[rows].max())
+            kind = np.uint16 if need.max(initial=0) > 255 or length > 255 else np.uint8
+            need = np.maximum(need, 0).astype(kind)
+            for k in range(0, len(rows), ROWS):
+                i = rows[k : k + ROWS]
+                shared = np.zeros((len(i), len(need)), kind)
+                for mine, other in zip(left.grams[:, tile], right.grams[:, i]):
+                    shared += np.bitwise_count(mine & other[:, None])
+                flat = np.flatnonzero(shared >= need)
+                y, x = np.divmod(flat, len(need))
+                both = np.bitwise_count(left.chars[:, begin + x] & right.chars[:, i[y]]).sum(0, dtype=np.int64)
+                keep = both + np.minimum(left.lost_chars[begin + x], right.lost_chars[i[y]]) >= m[x]
+                if keep.any():
+                    held.append((begin + x[keep], i[y[keep]]))
+        yield from _long_enough(left, right, held, least)
+
+
+def _long_enough(left: Signed, right: Signed, held: list[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if not held:
+        return
+    xs, ys = (np.concatenate(h) for h in zip(*held))
+    for k in range(0, len(xs), CHUNK):
+        x, y = xs[k : k + CHUNK], ys[k : k + CHUNK]
+        (ux, px), (uy, py) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+        got = common_subsequence(_classes(left.codes(ux)), px, _classes(right.codes(uy)), py)
+        keep = 2 * got > least * (left.length[x] + right.length[y]) - 1e-9
+        yield x[keep], y[keep]

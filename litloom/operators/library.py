@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from litloom.plans.lineage import cut, shuffle_partitions
+
 
 def has_children(items: DataFrame, children: DataFrame, key: str, present: bool = True) -> DataFrame:
     """Items with (or without) a child: a semi (or anti) join, children need not be unique."""
@@ -36,10 +42,51 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
-def fuzzy_titles(left: DataFrame, right: DataFrame, block: list[str], left_title: str, right_title: str, least: float) -> DataFrame:
-    """Pairs that share the blocking columns and whose titles' ratio exceeds ``least``."""
-    pairs = left.join(right, block).where(ratio_bound(F.lower(left_title), F.lower(right_title)) > least)
-    return pairs.withColumn("ratio", ratio(F.lower(left_title), F.lower(right_title))).where(F.col("ratio") > least)
+def _resembling(left: list[str], right: DataFrame, least: float) -> DataFrame:
+    """``_t1, _t2, ratio`` of the pairs of ``left`` and the titles of ``right``."""
+    shared = right.sparkSession.sparkContext.broadcast(left)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+
+        from litloom.functions.resemblance import Signed, candidates
+
+        mine = None
+        for b in batches:
+            if not b.num_rows or not shared.value:
+                continue
+            mine = mine or Signed(shared.value)
+            other = Signed(b.column(0).to_pylist())
+            rows = []
+            for x, y in candidates(mine, other, least):
+                for t1, t2 in ((mine.texts[i], other.texts[j]) for i, j in zip(x, y)):
+                    if (r := SequenceMatcher(None, t1, t2).ratio()) > least:
+                        rows.append((t1, t2, r))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["_t1", "_t2", "ratio"])
+
+    return right.mapInArrow(run, "_t1 string, _t2 string, ratio double")
+
+
+SLICE = 200_000
+
+
+def fuzzy_titles(left: DataFrame, right: DataFrame, left_title: str, right_title: str, least: float) -> DataFrame:
+    """All pairs whose titles' ratio exceeds ``least``, case aside; an empty title resembles none.
+
+    Different titles are compared once each, through bounds that no such pair fails (``functions.resemblance``). Up to
+    ``SLICE`` titles of the left go to all tasks at a time, so memory is bounded; the work grows with the product of both
+    sides' different titles, as a pair above the ratio need not share a single word.
+    """
+    lefts, rights = (df.withColumn(k, F.lower(c)).where(f"{k} <> ''") for df, k, c in ((left, "_t1", left_title), (right, "_t2", right_title)))
+    mine = cut(lefts.select("_t1").distinct())
+    other = cut(rights.select("_t2").distinct())
+    slices = max(1, -(-mine.count() // SLICE))
+    parts = []
+    for k in range(slices):
+        titles = [r[0] for r in mine.where(F.pmod(F.xxhash64("_t1"), F.lit(slices)) == k).toLocalIterator()]
+        parts.append(_resembling(titles, other.repartition(4 * shuffle_partitions(right), "_t2"), least))
+    pairs = cut(reduce(DataFrame.union, parts))
+    return lefts.join(pairs, "_t1").join(rights, "_t2").drop("_t1", "_t2")
 
 
 def creators_line(names: Column, most: int = 3) -> Column:

@@ -443,11 +443,10 @@ def jn3_fl17_doi_without_text(spark, d):
 
 @query()
 def jn4_u1_fuzzy_titles(spark, d):
-    """Hits and records whose titles share their first five words and resemble each other: an equi join first. No SQL states the ratio."""
-    block = lambda c: F.array_join(F.slice(F.split(T.normalised_name(c), " "), 1, 5), " ")
-    hits = table(spark, d, "papers").where("title is not null").select("hit_id", F.col("title").alias("t1"), block(F.col("title")).alias("b"))
-    recs = table(spark, d, "extract_results").where("metadata.title is not null").select("rec_id", F.col("metadata.title").alias("t2"), block(F.col("metadata.title")).alias("b"))
-    return L.fuzzy_titles(hits, recs, ["b"], "t1", "t2", 0.85).select("hit_id", "rec_id", F.round("ratio", 6).alias("ratio"))
+    """All hits and records whose titles resemble each other. No SQL states the ratio."""
+    hits = table(spark, d, "papers").where("title is not null").select("hit_id", F.col("title").alias("t1"))
+    recs = table(spark, d, "extract_results").where("metadata.title is not null").select("rec_id", F.col("metadata.title").alias("t2"))
+    return L.fuzzy_titles(hits, recs, "t1", "t2", 0.85).select("hit_id", "rec_id", F.round("ratio", 6).alias("ratio"))
 
 
 _LAST = "list_transform(list_slice(authors, 1, 3), lambda n: coalesce(nullif(list_extract(string_split(trim(n), ' '), -1), ''), '?'))"

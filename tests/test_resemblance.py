@@ -1,0 +1,35 @@
+import random
+from difflib import SequenceMatcher
+
+import pytest
+
+from litloom.functions.resemblance import Signed, candidates
+from litloom.operators import library as L
+
+
+@pytest.mark.parametrize("least", [0.6, 0.85, 0.95])
+def test_no_pair_is_lost(least):
+    rnd = random.Random(7)
+    words = ["granular", "estimator", "in", "of", "β-phase", "glacier", "noise", "材料", "aaaa", "x"]
+    texts = [" ".join(rnd.choices(words, k=rnd.choice((1, 2, 5, 9, 24)))) for _ in range(120)]
+    other = []
+    for t in texts:
+        chars = list(t)
+        for _ in range(rnd.randrange(max(1, len(chars) // 5) + 1)):
+            k = rnd.randrange(len(chars) or 1)
+            chars[k : k + 1] = rnd.choice(([], ["q"], chars[k : k + 1] * 2))
+        other.append("".join(chars) or "y")
+    left, right = Signed(texts), Signed(other)
+    found = {(int(i), int(j)) for x, y in candidates(left, right, least) for i, j in zip(x, y)}
+    true = {(i, j) for i, a in enumerate(left.texts) for j, b in enumerate(right.texts) if SequenceMatcher(None, a, b).ratio() > least}
+    assert true and true <= found
+
+
+def test_differences_in_the_first_words(spark, monkeypatch):
+    monkeypatch.setattr(L, "SLICE", 2)
+    hits = [(1, "Granular estimat0r in humid reef layers"), (2, "Estimator granular in humid reef layers of x"), (3, "unlike"), (4, ""), (5, None), (6, "granular estimat0r in humid reef layers")]
+    recs = [(1, "Granular estimator in humid reef layers"), (2, "Granular  in humid reef layers of x"), (3, ""), (4, None)]
+    got = L.fuzzy_titles(spark.createDataFrame(hits, "hit_id long, t1 string"), spark.createDataFrame(recs, "rec_id long, t2 string"), "t1", "t2", 0.85)
+    true = {(h, r): q for h, a in hits for r, b in recs if a and b and (q := SequenceMatcher(None, a.lower(), b.lower()).ratio()) > 0.85}
+    assert {(1, 1), (6, 1)} <= set(true)
+    assert {(r.hit_id, r.rec_id): r.ratio for r in got.collect()} == true
