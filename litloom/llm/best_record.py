@@ -1,8 +1,9 @@
 """Best representative of each duplicate group (problem 4).
 
-Field by field, the group's values are brought to comparable tokens (characters of a DOI, authors of a list, single
-tokens for journal and year), aligned one after the other to the alignment so far, and vote per column with the
-weight of the record they come from; what is emitted is the existing value closest to the consensus.
+Field by field, the group's values are brought to comparable tokens (characters of a DOI, authors of a list) and aligned
+one after the other to the alignment so far, and vote per column with the weight of the record they come from. Of DOIs
+the existing value closest to the consensus is emitted, of author lists the number of columns voted for. Journal and
+year are single tokens: the one of the greatest weight is emitted.
 
 Records of a group never meet as rows: their values are summed up per (group, field, value) with partial aggregation
 first, so a group that holds a third of all records arrives as its different values.
@@ -185,23 +186,62 @@ def same_author(p: list[str], q: list[str]) -> bool:
     return not p[2] or not q[2] or p[2][0] == q[2][0]
 
 
-def count_authors(rows: list[tuple[str, str, int]]) -> str:
-    """The columns of the aligned author lists: their different authors."""
-    columns: list[list[list[str]]] = []
-    seen: dict[str, bool] = {}
-    lists = sorted(((v.split("\x1e"), w) for v, _, w in rows), key=lambda x: (-len(x[0]), -x[1], x[0]))
-    for names, _ in lists:
-        for t in names:
-            if t in seen:
-                continue
-            seen[t] = True
+class Author:
+    """A column of the aligned author lists: the spellings of one author."""
+
+    def __init__(self, *spellings: list[str]):
+        self.spellings = list(spellings)
+
+
+def align_authors(columns: list[Author], known: dict[str, Author], names: list[str]) -> list[Author]:
+    """The columns of the names of one more list, which are added to the alignment.
+
+    Names are anchored at the column of their author, wherever it stands; the others take the free columns between the
+    anchors around them, one after the other, as misreadings do; what then is left makes columns of its own.
+    """
+    anchors: list[Author | None] = []
+    for t in names:
+        if t not in known:
             p = t.split("|")
-            col = next((c for c in columns if any(same_author(p, q) for q in c)), None)
-            if col is None:
-                columns.append([p])
-            elif len(col) < 6:
-                col.append(p)
-    return str(len(columns))
+            if (c := next((c for c in columns if any(same_author(p, q) for q in c.spellings)), None)) is not None:
+                known[t] = c
+                c.spellings.append(p)
+        anchors.append(known.get(t))
+    place = {id(c): k for k, c in enumerate(columns)}
+    used = {id(c) for c in anchors if c is not None}
+    out: list[Author] = []
+    last: Author | None = None
+    for i, t in enumerate(names):
+        c = anchors[i]
+        if c is None and (p := t.split("|")) and (c := next((o for o in out if any(same_author(p, q) for q in o.spellings)), None)) is None:
+            begin = place[id(last)] + 1 if last is not None else 0
+            end = next((place[id(n)] for n in anchors[i + 1 :] if n is not None), len(columns))
+            c = next((o for o in columns[begin:end] if id(o) not in used), None)
+            if c is None:
+                c = Author(p)
+                columns.insert(begin, c)
+                place = {id(o): k for k, o in enumerate(columns)}
+                known[t] = c
+            used.add(id(c))
+        last = c
+        if c not in out:
+            out.append(c)
+    return out
+
+
+def count_authors(rows: list[tuple[str, str, int]]) -> str:
+    """The columns of the aligned author lists that are voted for: a list votes for its names, and against a column it lacks before its last name, as it may be cut short behind that."""
+    columns: list[Author] = []
+    known: dict[str, Author] = {}
+    lists = sorted(((v.split("\x1e"), w) for v, _, w in rows), key=lambda x: (-x[1], -len(x[0]), x[0]))
+    aligned = [(align_authors(columns, known, names), w) for names, w in lists]
+    place = {id(c): k for k, c in enumerate(columns)}
+    vote = [0] * len(columns)
+    for mine, w in aligned:
+        held = {place[id(c)] for c in mine}
+        for k in range(max(held, default=-1) + 1):
+            vote[k] += w if k in held else -w
+    return str(sum(v >= 0 for v in vote))
 
 
 CHOOSE = {"doi": best_doi, "journal": best_journal, "year": best_year, "authors": count_authors}

@@ -35,3 +35,22 @@ def test_fields(spark):
 def test_a_hot_group(spark):
     recs = [(i, "publisher", True, ["Zoë Kintouvegurm"], "Tidal Optics Reviews", 2015, "10.99016/s2015.00000001") for i in range(3000)]
     assert found(spark, [(1, i) for i in range(3000)], recs)[1] == {"doi": "10.99016/s2015.00000001", "journal": "3", "year": "2015", "authors": "1"}
+
+
+def authors(*lists):
+    return op.count_authors([(op.author_tokens(names), "", w) for names, w in lists])
+
+
+def test_author_lists_vote_by_column():
+    full = ["Zoë Kintouvegurm", "Bo Trainexeojail", "Cy Moxurtuclesk"]
+    assert authors((full, 12), ([full[0], "Xy Qqqqqqq", full[2]], 3)) == "3"  # misread beyond recognition
+    assert authors((full, 12), ([full[0], "Dan Wolzerapint", *full[1:]], 3)) == "3"  # a stray name, outvoted
+    assert authors((full[:1] + full[2:], 3), (full, 12)) == "3"  # lacking in the lighter list
+    assert authors((full[:1], 12), (full, 1)) == "3"  # a cut list doesn't vote against what it lacks
+    assert authors((full, 6), (full[::-1], 6)) == "3"
+
+
+def test_more_than_six_spellings():
+    name = "kintouvegurmas"
+    spelt = [["Bo K" + "x" * k + name[1 + k :]] for k in range(9)]
+    assert authors(*((s, 20 - k) for k, s in enumerate(spelt))) == "1"
