@@ -1,13 +1,17 @@
 """Variant spellings of names typed by people (problem 1).
 
-Different strings only are worked on. Each is parsed into its family name, given name and initials whatever their
-order (the token-order permutations), collective authors into their naming word and the initials of the others.
-
-Family names are linked by a trie join: they are sharded by a prefix and by a suffix (one slip can't touch both), the
-shard's names form a trie, and each name walks it with a Levenshtein automaton, so that its neighbours within one
-edit, look-alike glyphs counting as none, are found without comparing pairs. A name links to its most frequent neighbour,
-and links are followed to their ends. Within a family, given names agree if they are equal, short forms of one name, or
-within one slip; bare initials go to the one person they fit, and to nobody if they fit several.
+Different strings only are worked on. Each is read into words and initials; a comma, a middle initial or a lone full
+word tells the family name. Where nothing does (``Kumar Rajesh``), the token orders are checked against the whole
+corpus: how often each word, its slips included, stood in the place of a family name and of a given name elsewhere.
+Collective authors are read into their naming word and the initials of the others.
+
+Words are linked by a trie join: they are sharded by half of the word and its length (one slip can't touch both
+halves), a shard's words form a trie, and each walks it with a Levenshtein automaton, so that its neighbours within one
+edit, look-alike glyphs counting as none, are found without comparing pairs. A word links to its most frequent
+neighbour, if that is more frequent by a factor that is greater for short words; links are followed to their ends,
+however long the chain. Within a family, given names agree if one is a slip of the other (its neighbour, and many times
+rarer in the whole corpus, as one slip often makes another name: ``Ramesh``, ``Rajesh``), if they are short forms of one
+name, or one is the cut form of another; bare initials go to the one person they fit, and to nobody if they fit several.
 
 Only the different (given name, initials) of one family meet in one task, never its records; the pairs of an author
 with many spellings are made in blocks.
@@ -18,63 +22,46 @@ or marks are different strings; repeated rows count once; extra columns are igno
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import regex as re
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.glyphs import SINGLE, distance, folded
 from litloom.llm.names import FULL_OF, ascii_fold
 from litloom.plans.lineage import cut
 
-#: Members of an author that one block of pairs takes.
+#: Members of an author that one block of pairs takes, on average.
 BLOCK = 256
-FOLLOW = 3
+#: How many times more frequent a neighbour must be for a word of at most that many letters to be its slip.
+FAMILY_RATIO = ((4, 20), (6, 8), (99, 1))
+GIVEN_RATIO = 8
+#: The same where only look-alike glyphs differ.
+ALIKE_RATIO = 3
+#: Given names that hold at least one in so many of all are known to the other operators: never more than that many.
+GIVEN_SHARE = 20_000
 # What stands around names without being part of them, and the words of collective authors.
 TITLES = frozenset("dr prof professor mr mrs ms phd md msc bsc dphil jr sr ii iii mme mlle herr frau sir dipl ing".split())
 LEADING = re.compile(r"^(?:on behalf of|for|from|by)\s+(?:the\s+)?|^the\s+", re.I)
 BODY = ("group", "network", "consortium", "consort", "laboratory", "lab", "institute", "inst", "collaboration", "collab", "centre", "center", "society", "team", "project", "initiative", "study", "working", "cons", "alliance", "committee", "association", "department", "program", "programme", "research", "council", "foundation", "university", "net", "grp", "soc", "labor", "institut")
 
 
+@functools.lru_cache(1 << 16)
 def is_body(word: str) -> bool:
     return word in BODY or any(len(b) > 5 and (len(word) > 3 and b.startswith(word) or abs(len(b) - len(word)) < 2 and distance(b, word, 1) <= 1) for b in BODY)
 
 
-LISTED = frozenset(full for k in FULL_OF.values() for full in k)
-
-
-@functools.lru_cache(1 << 16)
-def given_options(word: str) -> tuple[str, ...]:
-    """The listed full given names that a folded word may stand for, itself or within one slip, the likeliest first."""
-    first = word.split("-")[0]
-    if first in FULL_OF:
-        return FULL_OF[first]
-    f = folded(first)
-    found = set()
-    for k, full in FULL_OF.items():
-        if abs(len(k) - len(first)) > 2 or len(k) < 3 or len(first) < 3:
-            continue
-        fk = folded(k)
-        short = len(k) + len(first) < 7
-        d = 0 if fk == f else 2 if short else min(distance(k, first, 1), distance(fk, f, 1))
-        if d <= 1:
-            found |= {(d, -len(k), x) for x in full}
-    return tuple(dict.fromkeys(x for *_, x in sorted(found)))
-
-
-def given_of(word: str) -> str | None:
-    return next(iter(given_options(word)), None)
-
+def shape(name: str) -> tuple[str, list[str], int, str]:
+    """(kind, full words, which of them is the family name, initials) of a name as typed.
 
-def parse(name: str) -> tuple[str, str, str]:
-    """(kind and naming word, given name, initials) of a name as typed; the first is '' if there is nothing to read.
-
-    ``p:`` marks a person's family name, ``c:`` the naming word of a collective author, whose other words' first
-    letters stand as initials.
+    The kind is ``p`` for a person and ``c`` for a collective author, whose one word is its naming word and whose other
+    words' first letters stand as initials; it is '' if there is no full word. The family name is -1 if the string
+    itself doesn't tell it.
     """
     s = LEADING.sub("", name.strip())
     s = re.sub(r"\([^)]*\)|\[[^\]]*\]|[*†‡§¶]", " ", s)
@@ -84,47 +71,73 @@ def parse(name: str) -> tuple[str, str, str]:
     low = [w.lower().replace("'", "").replace("’", "") for w in words]
     parts = [x for w in low for x in w.split("-")]
     caps = [w for w in words if len(w) > 1 and w.isupper()]
-    letters_end = 0 < len(caps) < len(words) - 1 and len(caps[-1]) < 6 and comma < 0 and not any(given_of(w) for w in low if len(w) > 2)
-    if letters_end or len(parts) > 2 and any(is_body(x) for x in parts if len(x) > 2) and not (len(words) <= 3 and any(given_of(w) for w in low if len(w) > 3)):
+    letters_end = 0 < len(caps) < len(words) - 1 and len(caps[-1]) < 6 and comma < 0 and caps[-1].lower() not in TITLES
+    if letters_end or len(parts) > 2 and any(is_body(x) for x in parts if len(x) > 2):
         content = [x for x in parts if x not in ("the", "and", "of", "for", "und", "et")]
         naming = max(content, key=lambda x: (not is_body(x), len(x)))
         rest = list(content)
         rest.remove(naming)
         short = {x.lower() for w in words for x in w.split("-") if w.isupper() and len(x) < 5} if not s.isupper() else set()
-        return f"c:{naming}", "", "".join(sorted("".join(x if x in short else x[0] for x in rest)))
+        return "c", [naming], 0, "".join(sorted("".join(x if x in short else x[0] for x in rest)))
     full, initials, before_comma = [], [], set()
-    seen_at = 0
+    seen_at, between = 0, False
     for w, l in zip(words, low):
         at = plain.find(w, seen_at)
         seen_at = at + len(w)
-        if l in TITLES and not (len(words) == 2 and (l in FULL_OF or w.isupper() and len(w) == 2)):
+        if l in TITLES and not (len(words) == 2 and w.isupper() and len(w) == 2):
             continue
         letters = [c for c in w if c.isalpha()]
-        if len(letters) == 1 and len(w) == 1 or w.isupper() and (len(w) <= 3 and l not in FULL_OF or len(w) <= 5 and len(words) == 2 and not any(len(x) > 5 and x.isupper() for x in words)):
-            initials += [c.lower() for c in letters]
-        elif "-" in w and all(len(x) == 1 for x in w.split("-")):
+        typed_as_word = plain.isupper() and len(w) > 2 and bool(re.search("[AEIOUY]", w))
+        if len(w) == 1 and letters or w.isupper() and not typed_as_word and (len(w) <= 3 or len(w) <= 5 and len(words) == 2 and not any(len(x) > 5 and x.isupper() for x in words)) or "-" in w and all(len(x) == 1 for x in w.split("-")):
+            between = between or len(full) == 1
             initials += [c.lower() for c in letters]
         elif len(letters) > 1:
             if comma >= 0 and at < comma:
                 before_comma.add(len(full))
             full.append(l)
     if not full:
-        return "", "", "".join(initials)
+        return "", [], -1, "".join(initials)
     if len(full) == 1:
         if len(initials) > 2 and any(len(w) > 2 and w.isupper() for w in words if w.lower() != full[0]):
-            return f"c:{full[0]}", "", "".join(sorted(initials))  # a collective author by its letters
-        return f"p:{full[0]}", "", "".join(initials)
+            return "c", full, 0, "".join(sorted(initials))  # a collective author by its letters
+        return "p", full, 0, "".join(initials)
     if before_comma and len(before_comma) < len(full):
-        k = max(before_comma, key=lambda k: len(full[k]))
-    else:
-        listed = [k for k, w in enumerate(full) if len(w) < 13 and given_of(w)]
-        others = [k for k in range(len(full)) if k not in listed]
-        if others and listed:
-            k = max(others, key=lambda k: (len(full[k]), k))
-        else:
-            k = len(full) - 1 if len(full[-1]) >= len(full[0]) or not others else max(range(len(full)), key=lambda k: len(full[k]))
-    given = next((w for j, w in enumerate(full) if j != k), "")
-    return f"p:{full[k]}", given, "".join(initials)
+        return "p", full, max(before_comma, key=lambda k: len(full[k])), "".join(initials)
+    return "p", full, 1 if between and len(full) == 2 and comma < 0 else -1, "".join(initials)
+
+
+class Given:
+    """Words known to be given names, and their slips."""
+
+    def __init__(self, words: Collection[str] = ()):
+        self.words = frozenset(words)
+        self.tries = (Trie(), Trie())
+        for w in self.words:
+            if len(w) > 3:
+                for trie, form in zip(self.tries, forms(w)):
+                    trie.add(form, (0, w))
+        self.root = functools.lru_cache(1 << 16)(self._root)
+
+    def _root(self, word: str) -> str | None:
+        first = word.split("-")[0]
+        if first in self.words:
+            return first
+        found = [best[1] for trie, form in zip(self.tries, forms(first)) if len(first) > 3 and (best := max(trie.near(form), default=None))]
+        return max(found, default=None)
+
+    def __contains__(self, word: str) -> bool:
+        return self.root(word) is not None
+
+
+def parse(name: str, given: Given) -> tuple[str, str, str]:
+    """(kind and family or naming word, given name, initials), the order decided by the given names known."""
+    kind, words, k, initials = shape(name)
+    if not kind:
+        return "", "", initials
+    if k < 0:
+        others = [j for j, w in enumerate(words) if w not in given]
+        k = others[-1] if others else len(words) - 1
+    return f"{kind}:{words[k]}", next((w for j, w in enumerate(words) if j != k), ""), initials
 
 
 def forms(word: str) -> tuple[str, str]:
@@ -134,14 +147,14 @@ def forms(word: str) -> tuple[str, str]:
 
 
 def _pieces(word: str) -> set[str]:
-    """Shards of both forms of a word: one edit leaves its prefix or its suffix whole."""
+    """Shards of both forms of a word: of two words within one edit, the longer of n letters, half the other n - 1 are equal."""
     out = set()
     for way, form in zip("<(", forms(word)):
         kind = form[:2] if form[1:2] == ":" else ""
         form = form[len(kind) :]
-        for n in {len(form) - 1, len(form), len(form) + 1}:
-            k = min(3, max(1, (n - 2) // 2))
-            out |= {way + kind + form[:k], (">" if way == "<" else ")") + kind + form[-k:]}
+        for n in (len(form), len(form) + 1):
+            k = (n - 1) // 2
+            out |= {f"{way}{n}{kind}{form[:k]}", f"{'>' if way == '<' else ')'}{n}{kind}{form[len(form) - (n - 1 - k) :]}"}
     return out
 
 
@@ -199,8 +212,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple
         yield key, rows
 
 
-def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of each shard its most frequent neighbour, if that is more frequent than itself."""
+def _join_shards(batches: Iterator[pa.RecordBatch], ratio: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
+    """For each word of each shard its most frequent neighbour, if that is more frequent than itself by the ratio."""
     words, to, freq = [], [], []
 
     def out() -> pa.RecordBatch:
@@ -211,13 +224,18 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         trie, back, pairs = Trie(), shard[0] in ">)", shard[0] in "()"
         shown = [(forms(w)[pairs][:: -1 if back else 1], n, w, asked) for _, w, n, asked in rows]
+        alike: dict[str, tuple[int, str]] = {}
         for form, n, w, _ in shown:
             trie.add(form, (n, w))
+            alike[form] = max((n, w), alike.get(form, (n, w)))
         for form, n, w, asked in shown:
             if not asked:
                 continue
+            times = next(r for most, r in ratio if len(w) - 2 * (w[1:2] == ":") <= most)
             best = max(trie.near(form))
-            if best > (n, w):
+            if not (best > (n, w) and best[0] >= times * n):
+                best = alike[form]
+            if best > (n, w) and best[0] >= min(times, ALIKE_RATIO) * n:
                 words.append(w)
                 to.append(best[1])
                 freq.append(best[0])
@@ -227,65 +245,96 @@ def _join_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def linked(words: DataFrame) -> DataFrame:
+def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(p, w, n, a) for w, n, a in zip(*(c.to_pylist() for c in b.columns)) for p in sorted(_pieces(w))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["shard", "word", "n", "asked"])
+
+
+def followed(links: DataFrame) -> DataFrame:
+    """``word, link`` with each link followed to its end: the pointers are doubled until none moves."""
+    while True:
+        further = links.select(F.col("word").alias("link"), F.col("link").alias("_next"))
+        doubled = cut(links.join(further.hint("merge"), "link", "left").select("word", F.coalesce("_next", "link").alias("link"), F.col("_next").isNotNull().alias("moved")))
+        links = doubled.select("word", "link")
+        if doubled.where("moved").isEmpty():
+            return links
+
+
+def linked(words: DataFrame, ratio: tuple[tuple[int, int], ...] = ((99, 1),)) -> DataFrame:
     """``word, root``: words (with their frequencies ``n``) and the frequent word that each is a slip of, or itself.
 
-    With a boolean column ``asked`` only those words are followed; the others are there to be found.
+    With a boolean column ``asked`` only those words are followed; the others are there to be found. ``ratio`` gives, up
+    to a number of letters, how many times more frequent the neighbour must be.
     """
     asked = F.col("asked") if "asked" in words.columns else F.lit(True)
-    pieces = F.udf(lambda w: sorted(_pieces(w)), "array<string>")
-    shards = words.select(F.explode(pieces("word")).alias("shard"), "word", "n", asked.alias("asked"))
-    found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_join_shards, "word string, link string, n long")
-    links = cut(found.groupBy("word").agg(F.max(F.struct("n", "link")).alias("x")).select("word", "x.link"))
+    shards = words.select("word", F.col("n").cast("long").alias("n"), asked.alias("asked")).mapInArrow(_sharded, "shard string, word string, n long, asked boolean")
+    found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _join_shards(it, ratio), "word string, link string, n long")
     # The links grow with the data, so they are never to be broadcast.
-    root = words.select("word").join(links.hint("merge"), "word", "left").select("word", F.coalesce("link", "word").alias("root"))
-    for _ in range(FOLLOW):
-        root = root.join(links.select(F.col("word").alias("root"), F.col("link").alias("_next")).hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root"))
-    return root
+    links = followed(cut(found.groupBy("word").agg(F.max(F.struct("n", "link")).alias("x")).select("word", "x.link")))
+    return words.select("word").join(links.hint("merge"), "word", "left").select("word", F.coalesce("link", "word").alias("root"))
 
 
-def persons(keys: list[tuple[str, str, int]]) -> dict[tuple[str, str], str]:
-    """The person of each (given name, initials, frequency) within one family, named by a given name or initials."""
-    out: dict[tuple[str, str], str] = {}
+def _lessened(form: str) -> set[str]:
+    """A form whole and with one letter left out: two within one edit share one of these."""
+    return {form, *(form[:k] + form[k + 1 :] for k in range(len(form)))}
+
+
+def _slips(anywhere: dict[str, int]) -> dict[str, str]:
+    """Each given name of a family that is a slip of another of the family, to the most frequent such one."""
+    ways: dict[str, list[str]] = defaultdict(list)
+    for g in anywhere:
+        if len(g) > 2:
+            for x in set().union(*map(_lessened, forms(g))):
+                ways[x].append(g)
+    out = {}
+    for g, n in anywhere.items():
+        if len(g) < 3 or g in FULL_OF:
+            continue
+        near = {r for x in set().union(*map(_lessened, forms(g))) for r in ways[x] if anywhere[r] >= ALIKE_RATIO * n and r != g}
+        fits = [r for r in near if folded(r) == folded(g) or anywhere[r] >= GIVEN_RATIO * n and min(distance(x, y, 1) for x, y in zip(forms(r), forms(g))) <= 1]
+        if fits:
+            out[g] = max(fits, key=lambda r: (anywhere[r], r))
+    return out
+
+
+def persons(keys: list[tuple[str, str, int, int]]) -> dict[tuple[str, str], str]:
+    """The person of each (given name, initials, frequency, frequency of the given name anywhere) within one family, named by a given name or initials."""
     exact: Counter = Counter()
-    for g, _, n in keys:
-        if len(FULL_OF.get(g.split("-")[0], ())) == 1:
-            exact[FULL_OF[g.split("-")[0]][0]] += n
+    anywhere: dict[str, int] = {}
+    for g, _, n, everywhere in keys:
+        if g:
+            exact[g] += n
+            anywhere[g] = everywhere
+    slip = _slips(anywhere)
 
-    @functools.cache
     def full(g: str) -> str:
-        """The full name meant: of several, one that the family has."""
-        options = given_options(g)
-        if len(options) > 1 and any(exact[o] for o in options):
-            return max(options, key=lambda o: (exact[o], o))
-        return options[0] if options else g.split("-")[0]
-
-    count: Counter = Counter()
-    for g, _, n in keys:
-        if g:
-            count[full(g)] += n
-    known = sorted((g for g in count), key=lambda g: (-count[g], g))
+        """The full name meant by a slip or a short form: of several, one that the family has."""
+        while g in slip:
+            g = slip[g]
+        options = FULL_OF.get(g, ())
+        return g if not options or g in options else max(options, key=lambda o: (exact[o], -options.index(o)))
+
+    known = sorted({full(g) for g in exact})
     resolved: dict[str, str] = {}
     for g in known:
-        near = None
-        if g not in LISTED:
-            others = [r for r in known if count[r] >= count[g] and r != g and r in resolved]
-            near = next((r for r in others if len(g) > 2 and len(r) > 2 and (folded(r) == folded(g) or distance(folded(r), folded(g), 1) <= 1)), None)
-            if near is None and len(g) > 2:
-                begun = [r for r in known if r != g and r.startswith(g)]
-                near = begun[0] if len(begun) == 1 else None
-        resolved[g] = resolved.get(near, near) if near else g
+        # A cut form: the one longer name that begins with it, if that is much more frequent than the cut form is anywhere.
+        at = bisect.bisect_right(known, g)
+        begun = [x for x in known[at : at + 2] if len(g) > 2 and x.startswith(g)]
+        resolved[g] = begun[0] if len(begun) == 1 and anywhere.get(begun[0], 1) >= GIVEN_RATIO * anywhere.get(g, 1) else g
+    out: dict[tuple[str, str], str] = {}
     middle: dict[str, set[str]] = defaultdict(set)
-    for g, i, _ in keys:
+    for g, i, *_ in keys:
         if g:
-            p = resolved[full(g)]
-            out[g, i] = p
+            p = out[g, i] = resolved[full(g)]
             if i:
                 middle[p].add(i[-1:])
-    people = set(resolved.values())
-    for g, i, _ in keys:
+    by_letter: dict[str, list[str]] = defaultdict(list)
+    for p in sorted(set(out.values())):
+        by_letter[p[0]].append(p)
+    for g, i, *_ in keys:
         if not g:
-            fits = [p for p in people if i and p[0] == i[0]]
+            fits = by_letter.get(i[:1], []) if i else []
             if len(fits) > 1 and len(i) > 1:
                 fits = [p for p in fits if i[1] in middle[p]] or fits
             out[g, i] = fits[0] if len(fits) == 1 else f".{i[:1]}" if len(fits) == 0 else f".{i}?"
@@ -295,9 +344,9 @@ def persons(keys: list[tuple[str, str, int]]) -> dict[tuple[str, str], str]:
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for root, rows in _groups(batches):
         if root.startswith("c:"):
-            got = {(g, i): f"={i}" for _, g, i, _ in rows}
+            got = {(g, i): f"={i}" for _, g, i, *_ in rows}
         else:
-            got = persons([(g, i, n) for _, g, i, n in rows])
+            got = persons([(g, i, n, e) for _, g, i, n, e in rows])
         yield pa.RecordBatch.from_arrays([pa.array([root] * len(got)), pa.array([k[0] for k in got]), pa.array([k[1] for k in got]), pa.array([f"{root}|{p}" for p in got.values()])], names=["root", "given", "initials", "author"])
 
 
@@ -313,28 +362,68 @@ def _batched(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [parse(x) for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[k] for g in got], pa.string()) for k in range(3))], names=["name", "n", "word", "given", "initials"])
+        got = [shape(x) for x in b.column(0).to_pylist()]
+        words = [[f"{g[0]}:{w}" for w in g[1]] for g in got]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string())), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string())], names=["name", "n", "words", "family", "initials"])
+
+
+def shaped(df: DataFrame, names: Column) -> DataFrame:
+    """``name, n, words, family, initials``: each different string of the arrays with a full word, and what it tells by itself."""
+    strings = df.select(F.explode(names).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return cut(strings.mapInArrow(_shaped, "name string, n long, words array<string>, family int, initials string").where("size(words) > 0"))
+
+
+def _roles(tokens: DataFrame, word: str) -> DataFrame:
+    """``word, f, g``: how many strings have the word in the place of a family name and of a given name; the order of a plain name counts a quarter."""
+    sure, last = F.col("family") >= 0, F.col("at") == F.col("size") - 1
+    f = F.when(sure, F.when(F.col("at") == F.col("family"), 4).otherwise(0)).when(last, 1).otherwise(0)
+    g = F.when(sure, F.when(F.col("at") == F.col("family"), 0).otherwise(4)).when(F.col("at") == 0, 1).otherwise(0)
+    return tokens.groupBy(word).agg(F.sum(f).alias("f"), F.sum(g).alias("g"))
+
+
+def _tokens(shapes: DataFrame) -> DataFrame:
+    return shapes.select("name", "n", "family", F.size("words").alias("size"), F.posexplode("words").alias("at", "word"))
+
+
+def usual_given(df: DataFrame, names: Column) -> list[str]:
+    """The words that stand as given names at least ``1 / GIVEN_SHARE`` of all times: never more than that many."""
+    roles = cut(_roles(_tokens(shaped(df, names)).where("word like 'p:%'"), "word"))
+    total = roles.agg(F.sum("g")).first()[0] or 0
+    return [r["word"][2:] for r in roles.where((F.col("g") > 2 * F.col("f")) & (F.col("g") * GIVEN_SHARE >= total)).select("word").collect()]
 
 
 def authors(df: DataFrame, names: Column) -> DataFrame:
     """``name, author``: each different string of the arrays and the author it denotes."""
-    strings = df.select(F.explode(names).alias("name")).where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    parsed = cut(strings.mapInArrow(_parsed, "name string, n long, word string, given string, initials string").where("word <> ''"))
-    roots = linked(parsed.groupBy("word").agg(F.sum("n").alias("n")))
-    rooted = parsed.join(roots.hint("merge"), "word")
-    keys = rooted.groupBy("root", "given", "initials").agg(F.sum("n").alias("n"))
+    shapes = shaped(df, names)
+    tokens = _tokens(shapes)
+    roots = linked(tokens.groupBy("word").agg(F.sum("n").alias("n")), FAMILY_RATIO)
+    rooted = cut(tokens.join(roots.hint("merge"), "word"))
+    roles = _roles(rooted, "root")
+    # Of the words of one string, the one that stands most clearly as a family name elsewhere; of equal ones the last.
+    score = (F.col("f") + 1) / (F.col("g") + 1)
+    chance = F.when(F.col("family") >= 0, (F.col("at") == F.col("family")).cast("double")).otherwise(score)
+    read = rooted.join(roles.hint("merge"), "root").groupBy("name").agg(
+        F.max_by(F.struct("root", "at"), F.struct(chance.alias("c"), F.col("at").alias("a"))).alias("k"),
+        F.collect_list(F.struct("at", "word")).alias("all"),
+    )
+    given = F.array_min(F.filter("all", lambda x: x["at"] != F.col("k.at")))["word"]
+    first = F.element_at(F.split(F.substring(F.coalesce(given, F.lit("")), 3, 1000), "-"), 1)
+    split = cut(read.select("name", F.col("k.root").alias("root"), first.alias("word")).join(shapes.select("name", "n", "initials").hint("merge"), "name"))
+    anywhere = split.groupBy("word").agg(F.sum("n").alias("anywhere"))
+    told = split.join(anywhere.hint("merge"), "word").select("name", "n", "root", F.col("word").alias("given"), "initials", "anywhere")
+    keys = told.groupBy("root", "given", "initials").agg(F.sum("n").alias("n"), F.max("anywhere").alias("anywhere"))
     people = keys.repartition("root").sortWithinPartitions("root").mapInArrow(lambda it: _batched(_resolve(it)), "root string, given string, initials string, author string")
-    return rooted.join(people.hint("merge"), ["root", "given", "initials"]).select("name", "author")
+    return told.join(people.hint("merge"), ["root", "given", "initials"]).select("name", "author")
 
 
 def pairs(members: DataFrame) -> DataFrame:
-    """``name_a, name_b`` for any two names of one author, made in blocks of ``BLOCK`` names against all."""
-    w = Window.partitionBy("author")
-    ranked = members.withColumn("_r", F.row_number().over(w.orderBy("name")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).where("_n > 1")
-    left = ranked.select("author", F.floor(F.col("_r") / BLOCK).alias("_b"), F.col("name").alias("name_a"))
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_r") / BLOCK))
-    right = ranked.select("author", F.explode(blocks).alias("_b"), F.col("name").alias("name_b"))
-    return left.join(right, ["author", "_b"]).where("name_a < name_b").select("name_a", "name_b")
+    """``name_a, name_b`` for any two names of one author: its names fall into blocks of about ``BLOCK``, and each block meets all of them."""
+    kept = cut(members)
+    size = kept.groupBy("author").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / BLOCK)
+    sized = kept.join(size.hint("merge"), "author").withColumn("_of", blocks)
+    left = sized.select("author", F.pmod(F.xxhash64("name"), "_of").alias("_b"), F.col("name").alias("name_a"))
+    right = sized.select("author", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)).alias("_b"), F.col("name").alias("name_b"))
+    return left.join(right.hint("merge"), ["author", "_b"]).where("name_a < name_b").select("name_a", "name_b")

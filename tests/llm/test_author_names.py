@@ -51,5 +51,33 @@ def test_trie_finds_all_within_one_edit():
 
 
 def test_ambiguous_initials_join_nobody():
-    got = op.persons([("richard", "", 5), ("robert", "", 5), ("", "r", 2), ("", "k", 1)])
+    got = op.persons([("richard", "", 5, 5), ("robert", "", 5, 5), ("", "r", 2, 0), ("", "k", 1, 0)])
     assert len({got["richard", ""], got["robert", ""], got["", "r"], got["", "k"]}) == 4
+
+
+def test_names_that_differ_by_one_letter_stay_apart():
+    got = op.persons([("ramesh", "", 3, 40), ("rajesh", "", 9, 60), ("rajfsh", "", 1, 1), ("bob", "", 1, 9), ("robert", "", 1, 9)])
+    assert got["ramesh", ""] != got["rajesh", ""] == got["rajfsh", ""] and got["bob", ""] == got["robert", ""]
+
+
+def test_orders_of_names_on_no_list(spark):
+    people = [("Rajesh", "Kumar"), ("Olumide", "Okafor"), ("Priya", "Raghunathan"), ("Wei", "Zhang"), ("Emma", "Lindqvist"), ("Thabo", "Mokoena"), ("Sakura", "Fujimoto"), ("Bogdan", "Ionescu")]
+    for g, f in people:
+        forms = [f"{g} {f}", f"{f} {g}", f"{f}, {g}", f"{f}, {g[0]}.", f"{g[0]}. {f}", f"{g} X. {f}"]
+        got = found(spark, [[n] for n in forms])
+        assert len(got) == 15, (g, f, got)
+
+
+def test_chains_of_any_length(spark):
+    chain = ["aaaaaaaaaaaa"[: 12 - k] + "bbbbbbbbbbbb"[:k] for k in range(12)]
+    df = spark.createDataFrame([(w, 2 ** k) for k, w in enumerate(chain)], "word string, n long")
+    assert {r["root"] for r in op.linked(df).collect()} == {chain[-1]}
+
+
+def test_shards_meet_all_within_one_edit():
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("xyz") for _ in range(rng.randint(2, 9))) for _ in range(500)})
+    for a in words[:200]:
+        for b in words:
+            if a != b and distance(a, b, 1) <= 1:
+                assert op._pieces(a) & op._pieces(b), (a, b)
