@@ -1,8 +1,16 @@
 """Personal information inside free text (problem 10).
 
 Anchor expansion: one Aho-Corasick automaton finds anchors (at-signs and their spelled forms, plus signs and telephone
-cues, cues of identity numbers, street words, given names and name cues); a deterministic local parser then reads
-outward from each anchor and validates what it finds. Nothing else of the text is looked at.
+cues, cues of identity numbers, street words, name cues); a deterministic local parser then reads outward from each
+anchor and validates what it finds, as many numbers as one cue announces. What has a form of its own needs no cue and is
+swept for by pattern over the whole text: telephone numbers of a national or international form, researcher numbers,
+initials with a family name, lines of nothing but names, and runs of capitalised words.
+
+No list says what a name is. A run of capitalised words is a person's name if each of its words is used like a name in
+the corpus (``Uses``): not in lower case, not behind an article as nouns are, not only where a sentence begins. The
+words that make up at least one in ``SHARE`` of all words are counted over the whole corpus; of rarer ones the text
+itself tells whether it has them in lower case. Names inside those of foundations, methods and awards are left out by
+what follows and precedes them.
 
 ``find`` gives the different values of each document, ``redact`` the text with typed placeholders ([EMAIL], [PHONE],
 [ID_NUMBER], [ADDRESS], [NAME]), where of overlapping findings the longer wins.
@@ -14,17 +22,21 @@ different per id. Extra columns are ignored. Empty tables give empty results.
 
 from __future__ import annotations
 
+import bisect
 import functools
-import itertools
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.names import FULL_OF, WORDS, ascii_fold
+from litloom.llm.names import FULL_OF
+from litloom.plans.lineage import cut
 
+#: Words that hold at least one in so many of all are judged by the corpus: never more than that many.
+SHARE = 50_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # The cues that announce each kind, in the languages of the corpus.
@@ -34,8 +46,8 @@ ID_CUES = ("passport", "identity card", "identity number", "id card", "id no", "
 STREETS = ("street", "st", "st.", "avenue", "ave", "ave.", "lane", "ln", "road", "rd", "rd.", "close", "court", "drive", "dr.", "way", "terrace", "place", "square", "boulevard", "blvd", "crescent", "row", "hill", "gardens", "park")
 STREET_ANCHORS = tuple(f" {s}" for s in ("street", "st,", "st.", "avenue", "ave", "lane", "ln", "road", "rd", "close", "court", "drive", "way", "terrace", "place", "square", "boulevard", "blvd", "crescent"))
 OTHER_ADDRESS = ("p.o. box", "po box", "p. o. box", "postfach", "straße ", "strasse ", "str. ", "weg ", "platz ", "allee ", "gasse ", "ring ", "rue ", "avenue d", "boulevard ", "place d", "chemin ", "calle ", "avda", "avenida ", "plaza ", "paseo ", "c/ ", "apartado", "号", "丁目", "番地")
-NAME_CUES = ("author:", "author note:", "interviewee:", "contact ", "contact : ", "kontakt: ", "contacto: ", "interview ", "signed as ", "form of ", "addressed to ", "forwarded by ", "repaired by ", "participant (", "probandin ", "proband ", "patient ", "patiente ", "participante ", "we thank ", "thanks to ", "thank ", "remercions ", "agradecemos a ", "dank an ", "danken ", "frau ", "herrn ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "monsieur ", "madame ", "señora ", "señor ", "通讯作者：", "感谢 ", "感谢", "协力者 ", "協力者 ", "連絡先：", "联系人：", "written by ", "by ")
-INSTITUTIONS = ("foundation", "fellowship", "award", "prize", "medal", "institute", "lecture", "lectureship", "chair", "scholarship", "fund", "trust", "society", "center", "centre", "laboratory", "lab", "school", "hospital", "library", "university", "college", "museum", "grant", "method", "test", "model", "algorithm", "equation", "index", "criterion", "theorem", "effect", "procedure", "protocol", "estimator", "score", "scale", "transform", "filter", "kernel", "stiftung", "preis", "stipendium", "fondation", "bourse", "prix", "fundación", "premio", "beca", "基金", "奖", "財団", "賞")
+NAME_CUES = ("author:", "author note:", "interviewee:", "contact ", "contact : ", "kontakt: ", "contacto: ", "interview ", "signed as ", "form of ", "addressed to ", "forwarded by ", "repaired by ", "participant (", "probandin ", "proband ", "patient ", "patiente ", "participante ", "we thank ", "thanks to ", "thank ", "remercions ", "agradecemos a ", "dank an ", "danken ", "frau ", "herrn ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "monsieur ", "madame ", "señora ", "señor ", "通讯作者：", "感谢 ", "感谢", "协力者 ", "協力者 ", "連絡先：", "联系人：", "患者", "受访者：", "written by ", "by ")
+INSTITUTIONS = ("foundation", "fellowship", "award", "prize", "medal", "institute", "lecture", "lectureship", "chair", "scholarship", "fund", "trust", "society", "center", "centre", "laboratory", "lab", "school", "hospital", "library", "university", "college", "museum", "grant", "method", "test", "model", "algorithm", "equation", "index", "criterion", "theorem", "effect", "procedure", "protocol", "estimator", "score", "scale", "transform", "filter", "kernel", "simulation", "analysis", "statistic", "statistics", "plot", "curve", "regression", "distribution", "correction", "chain", "sampling", "syndrome", "disease", "law", "constant", "process", "network", "architecture", "river", "lake", "island", "islands", "sea", "ocean", "bay", "valley", "city", "stiftung", "preis", "stipendium", "fondation", "bourse", "prix", "fundación", "premio", "beca", "基金", "奖", "財団", "賞")
 
 LOCAL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?$")
 DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+|\s?[\[({]\.[\])}]\s?)"
@@ -55,7 +67,12 @@ PHONE = re.compile(
     r")(?![\w-])(?![.,/]\d)"
 )
 #: Shapes that are telephone numbers by themselves; the others need a cue before them.
-SELF = re.compile(r"\+|00\d|\(\d{3}\)|\d{3}([ .-])555\1\d{4}|020 ")
+SELF = re.compile(r"\+|00\d|\(\d{3}\)|[2-9]\d{2}([.-])[2-9]\d{2}\1\d{4}$|0\d{2,4}[ /]\d{6,8}$|020 ")
+#: Where such a number may begin, and what makes another number of it.
+OPEN_PHONE = re.compile(r"(?<![\w./@#-])(?:[2-9]\d{2}([.-])[2-9]\d{2}\1\d{4}|0\d{2,4}[ /]\d{6,8})(?![\w-])(?![.,/]\d)")
+OTHER_NUMBER = re.compile(r"(?:grant|award|lot|batch|trial|catalogue|catalog|cat|accession|serial|order|invoice|ticket|ref|isbn|issn|doi|version|no|nr|nº|numbers?|id|编号|番号)[.:#]?\s*$|[\d.,]\s$", re.I)
+#: What may stand between the numbers that one cue announces.
+BETWEEN = re.compile(r"(?:\s*\([^()\d\n]{1,30}\))?\s*(?:[,;/、，]|(?:,\s*)?\b(?:and|or|und|oder|et|ou|y|o)\b|\s)\s*(?:[\p{L}.]{1,10}[:.]?\s+)?")
 ID_SHAPES = re.compile(
     r"(?<![\w])(?:"
     r"\d{4}-\d{4}-\d{4}-\d{3}[\dX]"
@@ -84,20 +101,118 @@ CHINESE = re.compile(r"(?:\p{Han}{2,6}省)?(?:\p{Han}{1,5}市)?(?:\p{Han}{1,5}[
 JAPANESE = re.compile(r"(?:〒\d{3}-\d{4}\s?)?(?:\p{Han}{2,3}[都道府県])?\p{Han}{1,5}[市区町村]\p{Han}{1,6}\d+(?:丁目|-)\d+(?:番地?|-\d+)?(?:\d+号)?")
 ADDRESSES = (ENGLISH, BOX, GERMAN, FRENCH, SPANISH, CHINESE, JAPANESE)
 
-_given = "|".join(sorted(map(re.escape, WORDS | {w.upper() for w in WORDS if len(w) > 2}), key=lambda w: (-len(w), w)))
-GIVEN_NAME = rf"(?:{_given})(?:-(?:{_given}))?(?![\p{{L}}])"
+# Words of closed classes, and those that begin lines and places, in the languages of the corpus.
+NOT_NAME = frozenset("""the this that these those neither both each either no some all any many most few several other another such a an i we he she it they you our their his her its my your
+one two three four five six seven eight nine ten first second third as at by for from in into of off on onto out over to up with within without since until while when where what which who whom whose why how if because although though unless whereas after before during between among under above below about across against along around behind beyond despite except like near per than through toward towards unlike upon via versus
+and or but nor so yet not also only even just then once now here there thus hence however therefore moreover furthermore nevertheless meanwhile still again today yesterday tomorrow recently finally together taken future studies is are was were be been being has have had do does did can could might must shall should would let
+der die das den dem des ein eine einen einem einer eines und oder aber im am vom zum zur bei beim mit nach von vor seit laut gemäß durch für gegen ohne um aus auf über unter zwischen wegen trotz während wenn weil dass wie wir ich sie er es ihr unser jede jeder jedes kein keine nicht auch nur
+le la les un une des du de et ou mais dans sur sous avec sans pour par selon chez entre depuis pendant nous vous ils elles il elle on ce cette ces son sa ses notre leur si comme que qui
+el los las una unos unas y o pero en con sin para por según entre desde durante nosotros este esta estos estas su sus nuestro como si que quien
+abstract introduction background methods method results discussion conclusion conclusions references appendix acknowledgements acknowledgments figure fig table section chapter supplementary keywords funding author authors reviewer editor dear corresponding contact university department institute street avenue road north south east west new san santa saint los monte great united
+january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday dr prof professor mr mrs ms phd md frau herr herrn mme monsieur madame señor señora sr sra dra""".split())
+ARTICLES = frozenset("the a an der die das den dem des ein eine einen einem einer eines im am vom zum zur le la les un une du au aux el los las una unos unas al del".split())
+PARTICLE = r"(?:(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|el|al|bin|ibn|ten|ter|zu) ){1,3}"
+HAN_FAMILIES = "王李张陈刘杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严"
+KANJI_FAMILIES = "佐藤|鈴木|高橋|田中|伊藤|渡辺|山本|中村|小林|加藤|吉田|山田|佐々木|山口|松本|井上|木村|林|斎藤|清水|山崎|森|池田|橋本|阿部|石川|山下|中島|石井|小川|前田|岡田|長谷川|藤田|後藤|近藤|村上|遠藤|青木|坂本|斉藤|福田|太田|西村|藤井|金子|岡本|藤原|三浦|中野"
+HAN_NAME = re.compile(rf"[{HAN_FAMILIES}]\p{{Han}}{{1,2}}(?=[，。、；：:,;（(\s]|的|老师|教授|博士|先生|女士|等|和|与|对|$)|(?:{KANJI_FAMILIES})\s?[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}]{{1,3}}(?=[，。、；：:,;（(\s]|氏|さん|様|先生|教授|博士|に|の|と|$)")
+
+#: A capitalised word (hyphens and inner capitals included), initials, and a single one without a point.
+W = r"\p{Lu}[\p{L}'’]*\p{L}(?:-\p{Lu}[\p{L}'’]*\p{L})*(?![\p{L}])"
 INITIALS = r"\p{Lu}\.(?:[ -]?\p{Lu}\.){0,2}"
-FAMILY = r"(?:\p{Lu}[\p{Ll}'’]{1,3}\p{Lu}[\p{L}'’]+|\p{Lu}[\p{L}'’]{3,})(?:-\p{Lu}[\p{L}'’]{3,})?(?![\p{L}])"
-FULL = re.compile(rf"(?<![\p{{L}}.'’-])(?:{GIVEN_NAME}(?: (?:{INITIALS}|\p{{Lu}}(?![\p{{L}}.])))? {FAMILY}|{GIVEN_NAME} {INITIALS})")
-TURNED = re.compile(rf"(?<![\p{{L}}.'’-]){FAMILY},? {GIVEN_NAME}(?: (?:{INITIALS}|\p{{Lu}}(?![\p{{L}}.])))?")
-SHORT = re.compile(rf"(?<![\p{{L}}.'’\d-])(?<!\d )(?:{INITIALS} ?{FAMILY})")
-SHORT_TURNED = re.compile(rf"(?<![\p{{L}}.'’-]){FAMILY},? {INITIALS}(?![\p{{L}}])")
-#: After a cue, a given name that is not listed will do as well.
-CUED = re.compile(rf"(?:(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Frau|Herrn?|Mme|M\.|Sr\.|Sra\.|Dra\.)\s)*({FAMILY}(?:-{FAMILY})?(?:, {GIVEN_NAME})|{U}(?: (?:{INITIALS}|\p{{Lu}}(?![\p{{L}}.])))? {FAMILY}|{INITIALS} ?{FAMILY}|{FAMILY},? (?:{INITIALS}))")
-BYLINE = re.compile(rf"(?:{FULL.pattern}|{TURNED.pattern}|{SHORT.pattern}|{SHORT_TURNED.pattern})")
+MIDDLE = rf"(?:{INITIALS}|\p{{Lu}}(?![\p{{L}}.'’-]))"
+RUN = re.compile(rf"(?<![\p{{L}}\p{{N}}.'’@/_-]){W}(?: (?:{MIDDLE}|(?:{PARTICLE})?{W}))+")
+SHORT = re.compile(rf"(?<![\p{{L}}.'’\d/-])(?<!\d )(?:{INITIALS} ?(?:{PARTICLE})?{W})")
+SEPARATE = r"\s*[;·|•]\s*|\s+(?:and|und|et|y|&)\s+"
+ONE = rf"(?:{W}(?: {MIDDLE})?(?: (?:{PARTICLE})?{W}){{1,2}}|{INITIALS} ?(?:{PARTICLE})?{W}|(?:{PARTICLE})?{W}, {W}(?: {MIDDLE})?(?! ?{W})|{W},? {INITIALS})"
+NAME = re.compile(ONE)
+TURNED = re.compile(rf"(?<![\p{{L}}.'’-]){W}, {W}(?: {MIDDLE})?(?! ?(?:{MIDDLE} )?{W})")
+CUED = re.compile(rf"\s?(?:(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Frau|Herrn?|Mme|M\.|Sr\.|Sra\.|Dra\.)\s)*({ONE})")
+#: Cues that announce other things as well.
+WEAK = frozenset(("by ", "contact ", "patient ", "interview ", "form of "))
 ARTICLE = re.compile(r"(?:\b(?:[Tt]he|THE|[Dd]er|[Dd]ie|[Dd]as|[Ll]a|[Ll]e|[Ee]l|[Ll]os)\s)$")
 FOLLOWED = re.compile(rf"(?:['’]s)?[\s-](?:\p{{L}}+[\s-])?(?:{'|'.join(INSTITUTIONS)})\b", re.I)
-NOT_FAMILY = frozenset("the this that these those neither both each either future studies unlike taken with once when while our for from costs future only abstract introduction methods results discussion conclusion figure table section university street avenue".split())
+BEGUN = re.compile(r"(?:^|[.!?:。！？：\n•–—*>|]|\d[.)])[\s\"'“«(\[]*$")
+WORDS = re.compile(r"\p{L}{2,}").findall
+SPLIT = re.compile(rf"({SEPARATE})")
+ENDED = re.compile(rf"$|{SEPARATE}")
+NO_INITIALS = re.compile(r"U\.K|U\.S|P\.O|D\.C")
+AFTER_NUMBER = re.compile(r"\d\s?$")
+LISTED = re.compile(r":\s*$|\), $|, $")
+FIRST_WORD = re.compile(r"\p{L}+").match
+ID_LEAD = re.compile(r"[\p{L}'’-]*(?:[ -]?(?:(?:number is|number|nummer|num|no|nr|nº|n°|card|id|code)(?!\p{L})|号码|号|番号))?\.?(?:\s(?:number|no|nr|nº|n°|card|id)(?!\p{L})\.?)?(?:\s?[:：#(]|\s(?:is|was|lautet|est|es)(?!\p{L})|是|は)?\s?", re.I)
+
+
+class Uses:
+    """How the corpus uses words: ``ordinary`` ones are no names, ``given`` ones stand before a family name."""
+
+    def __init__(self, ordinary: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()):
+        self.ordinary, self.given = ordinary, given
+
+    def like_name(self, word: str, here: Container[str] = ()) -> bool:
+        low = word.lower()
+        return low not in NOT_NAME and (low in self.given or low not in self.ordinary and low not in here)
+
+
+NO_USES = Uses()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens, low, cap, noun, first, given = (Counter() for _ in range(6))
+        for t in b.column(0).to_pylist():
+            if not t:
+                continue
+            tokens.update(t.split())
+            for m in CAPITAL.finditer(t):
+                w, a = m.group().lower(), m.start()
+                cap[w] += 1
+                if t[a - 1 : a] == " " and t[a - 2 : a - 1].isalpha():
+                    before = t[max(0, a - 12) : a - 1].rsplit(None, 1)
+                    if before and before[-1].lower() in ARTICLES:
+                        noun[w] += 1
+                    elif NEXT(t, m.end()):
+                        given[w] += 1
+                elif BEGUN.search(left := t[max(0, a - 16) : a]) and not ABBREVIATED.search(left):
+                    first[w] += 1
+                elif NEXT(t, m.end()):
+                    given[w] += 1
+        for w, n in tokens.items():
+            if (x := w.strip(AROUND)).islower() and x.isalpha():
+                low[x] += n
+        words = list(low.keys() | cap.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (low, cap, noun, first, given))], names=["word", "low", "cap", "noun", "first", "given"])
+
+
+AROUND = ".,;:!?()[]{}\"'“”‘’«»„*_-–—"
+CAPITAL = re.compile(r"(?<![\p{L}\p{N}@._'’-])\p{Lu}[\p{L}'’]*\p{L}")
+NEXT = re.compile(rf"(?:-\p{{Lu}}\p{{L}}+)? (?:{MIDDLE} )?{W}").match
+ABBREVIATED = re.compile(r"\b\p{L}\.\s?$|\b(?:Dr|Prof|Mrs?|Ms|Sra?|Dra)\.\s?$")
+
+
+class Lower:
+    """Holds the words that a text has in lower case, parts of addresses apart."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def __contains__(self, word: object) -> bool:
+        t, n, at = self.text, len(word), self.text.find(word)
+        while at >= 0:
+            before, after = t[at - 1 : at] if at else "", t[at + n : at + n + 1]
+            if not (before.isalnum() or before and before in "@._-" or after.isalpha() or after and after in "@_"):
+                return True
+            at = t.find(word, at + n)
+        return False
+
+
+def uses(df: DataFrame, text: str) -> Uses:
+    """The uses of words, counted over all texts."""
+    counts = cut(df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t")).mapInArrow(_counted, "word string, low long, cap long, noun long, first long, given long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("low", "cap", "noun", "first", "given"))))
+    total = counts.agg(F.sum(F.col("low") + F.col("cap"))).first()[0] or 0
+    usual = counts.where(f"cap > 0 and (low + cap) * {SHARE} >= {total}")
+    # A name stands rarely in lower case, not as often behind an article as a noun does (though a method may be named after it), and not only where sentences begin.
+    rows = usual.select("word", F.expr("low > cap / 4 or noun > cap * 0.4 or first = cap and cap > 4").alias("ordinary"), F.expr("2 * given > cap - first - noun and given > 2").alias("given")).where("ordinary or given").collect()
+    return Uses(frozenset(r["word"] for r in rows if r["ordinary"]), frozenset(r["word"] for r in rows if r["given"]))
 
 
 @functools.cache
@@ -106,11 +221,9 @@ def automaton():
     import ahocorasick
 
     kinds: dict[str, set[str]] = {}
-    for words, kind in ((AT, "email"), (("+", "(2", "(3", "(4", "(0", "00", "-555-", ".555.", " 555 ", "020 "), "phone"), (PHONE_CUES, "phone"), (ID_CUES, "id_number"), (STREET_ANCHORS, "address"), (OTHER_ADDRESS, "address"), (NAME_CUES, "cue")):
+    for words, kind in ((AT, "email"), (("+", *(f"({d}" for d in range(10)), "00", "020 "), "phone"), (PHONE_CUES, "phone"), (ID_CUES, "id_number"), (STREET_ANCHORS, "address"), (OTHER_ADDRESS, "address"), (NAME_CUES, "cue")):
         for w in words:
             kinds.setdefault(w, set()).add(kind)
-    for w in WORDS:
-        kinds.setdefault(w.lower(), set()).add("name")
     a = ahocorasick.Automaton()
     for w, k in kinds.items():
         a.add_word(w, (len(w), tuple(sorted(k))))
@@ -152,30 +265,30 @@ def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
     return start, end
 
 
-def _phones(text: str, low: str, at: int, end: int, cue: str) -> Iterator[tuple[int, int]]:
-    if cue in ("+",) or cue[0] in "(" or cue in ("00", "020 "):
-        starts = [at]
-    elif cue.strip("-. ") == "555":
-        starts = [max(0, at - k) for k in range(6)]
-    else:
-        starts = []
-    for s in starts:
-        m = PHONE.match(text, s)
+def _phones(text: str, at: int, end: int, stop: int, cue: str) -> Iterator[tuple[int, int]]:
+    """The number that begins at an anchor, or those that a cue announces up to ``stop``, the next cue."""
+    if cue[0] in "+(" or cue in ("00", "020 "):
+        m = PHONE.match(text, at)
         if m and SELF.match(m.group()):
             yield m.span()
-            return
-    if not starts:
-        stop = re.search(r"[\n;。；]", text[end : end + 90])
-        window = text[end : end + (stop.start() if stop else 90)]
-        for m in itertools.islice(PHONE.finditer(text, end, end + len(window)), 2):
-            between = text[end : m.start()]
-            if SELF.match(m.group()) or len(between) <= 14 or cue == "contact" and re.search(r":\s*$|\), $|, $", between):
-                yield m.span()
+        return
+    clause = CLAUSE.search(text, end, stop)
+    stop = clause.start() if clause else stop
+    last = None
+    for m in PHONE.finditer(text, end, stop):
+        between = text[last if last is not None else end : m.start()]
+        near = BETWEEN.fullmatch(between) if last is not None else len(between) <= 14 or cue == "contact" and LISTED.search(between)
+        if near or SELF.match(m.group()):
+            last = m.end()
+            yield m.span()
+
+
+CLAUSE = re.compile(r"[\n;。；]")
 
 
 def _id(text: str, end: int) -> tuple[int, int] | None:
-    m = re.match(r"[\p{L}'’-]*(?:[ -]?(?:(?:number is|number|nummer|num|no|nr|nº|n°|card|id|code)(?!\p{L})|号码|号|番号))?\.?(?:\s(?:number|no|nr|nº|n°|card|id)(?!\p{L})\.?)?\s?[:：#(]?\s?", text[end : end + 40], re.I)
-    at = end + (m.end() if m else 0)
+    m = ID_LEAD.match(text, end, end + 60)
+    at = m.end() if m else end
     got = ID_SHAPES.match(text, at)
     return got.span() if got and sum(c.isdigit() for c in got.group()) >= 5 else None
 
@@ -185,101 +298,114 @@ def _is_case(text: str, a: int, b: int) -> bool:
     return not (FOLLOWED.match(text, b) or ARTICLE.search(text, max(0, a - 6), a) and re.match(r"[ -]\p{L}", text[b : b + 2]))
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+def spans(text: str | None, known: Uses = NO_USES) -> list[tuple[int, int, str]]:
     """Findings of a text as (start, end, kind), without overlap, in order."""
     if not text or not text.strip():
         return []
     low = lower(text)
     found: list[tuple[int, int, str]] = []
-    done: set[tuple[int, str]] = set()
-    address_from = 0
-    for last, (size, kinds) in automaton().iter(low):
-        a, b = last - size + 1, last + 1
-        for kind in kinds:
-            if kind == "email":
-                if got := _email(text, a, b):
-                    found.append((*got, "email"))
-            elif kind == "phone":
-                found += [(*x, "phone") for x in _phones(text, low, a, b, low[a:b])]
-            elif kind == "id_number":
-                if (got := _id(text, b)) is not None:
-                    found.append((*got, "id_number"))
-            elif kind == "address":
-                lo = max(0, a - 60)
-                for p in ADDRESSES:
-                    for m in p.finditer(text, lo, min(len(text), b + 90)):
-                        if m.start() < b and m.end() > a:
-                            found.append((*m.span(), "address"))
-            elif kind == "name":
-                if text[a : a + 1].isupper() and not low[max(0, a - 1) : a].isalpha() and (a, "name") not in done:
-                    done.add((a, "name"))
-                    found += _names(text, a)
-            elif kind == "cue":
-                if m := CUED.match(text, b):
-                    s, e = m.span(1)
-                    w = [x.strip(".,").lower() for x in text[s:e].split()]
-                    if not NOT_FAMILY & set(w) and _is_case(text, s, e) and _trusted(text, a, b, s, e):
-                        found.append((s, e, "name"))
+    here = Lower(text)
+    anchors = [(last - size + 1, last + 1, kind) for last, (size, kinds) in automaton().iter(low) for kind in kinds]
+    cues = sorted(a for a, b, kind in anchors if kind == "phone" and low[a].isalpha())
+    for a, b, kind in anchors:
+        if kind == "email":
+            if got := _email(text, a, b):
+                found.append((*got, "email"))
+        elif kind == "phone":
+            nxt = bisect.bisect_left(cues, b)
+            found += [(*x, "phone") for x in _phones(text, a, b, cues[nxt] if nxt < len(cues) else len(text), low[a:b])]
+        elif kind == "id_number":
+            if (got := _id(text, b)) is not None:
+                found.append((*got, "id_number"))
+        elif kind == "address":
+            lo = max(0, a - 60)
+            for p in ADDRESSES:
+                for m in p.finditer(text, lo, min(len(text), b + 90)):
+                    if m.start() < b and m.end() > a:
+                        found.append((*m.span(), "address"))
+        elif kind == "cue":
+            if m := CUED.match(text, b):
+                s, e = m.span(1)
+                words = WORDS(text[s:e])
+                sure = not any(w.lower() in NOT_NAME for w in words) and (low[a:b] not in WEAK or any(known.like_name(w, here) for w in words))
+                if sure and _is_case(text, s, e):
+                    found.append((s, e, "name"))
+            elif m := HAN_NAME.match(text, b):
+                found.append((*m.span(), "name"))
     for m in SHORT.finditer(text):
-        if _initials_case(text, *m.span()):
+        if _initials_case(text, *m.span(), known, here):
             found.append((*m.span(), "name"))
     found += [(*m.span(), "id_number") for m in OPEN_ID.finditer(text)]
-    found += _bylines(text)
+    found += [(*m.span(), "phone") for m in OPEN_PHONE.finditer(text) if not OTHER_NUMBER.search(text, max(0, m.start() - 20), m.start())]
+    found += _bylines(text, known, here)
+    found += _runs(text, known, here)
     return _best(found)
 
 
-def _trusted(text: str, a: int, b: int, s: int, e: int) -> bool:
-    """A weak cue (``by ``, ``contact ``) needs a listed given name or initials."""
-    cue = text[a:b].lower()
-    if cue not in ("by ", "contact ", "patient ", "interview ", "form of "):
-        return True
-    words = re.findall(r"[\p{L}]+", text[s:e])
-    return any(ascii_fold(w).lower() in FULL_OF or len(w) == 1 for w in words)
-
-
-def _initials_case(text: str, a: int, b: int) -> bool:
+def _initials_case(text: str, a: int, b: int, known: Uses, here: Container[str]) -> bool:
     family = re.split(r"[. ]+", text[a:b])[-1]
-    return len(family) >= 5 and family.lower() not in NOT_FAMILY and not re.match(r"(?:U\.K|U\.S|P\.O|D\.C)", text[a:b]) and not re.search(r"\d\s?$", text[max(0, a - 2) : a]) and _is_case(text, a, b)
-
-
-def _names(text: str, a: int) -> Iterator[tuple[int, int, str]]:
-    m = FULL.match(text, a)
-    if m:
-        family = re.findall(r"[\p{L}]+", m.group())[-1].lower()
-        if family not in NOT_FAMILY and _is_case(text, *m.span()):
+    return known.like_name(family, here) and not NO_INITIALS.match(text, a) and not AFTER_NUMBER.search(text, max(0, a - 2), a) and _is_case(text, a, b)
+
+
+PIECE = re.compile(rf"{INITIALS}|[\p{{L}}'’-]+")
+
+
+def _runs(text: str, known: Uses, here: Container[str]) -> Iterator[tuple[int, int, str]]:
+    """Names in running text: capitalised words side by side, each used like a name; and ``Family, Given`` of known given names."""
+    for m in RUN.finditer(text):
+        part: list[tuple[int, int]] = []
+        full = 0
+        for p in [*PIECE.finditer(m.group()), None]:
+            w = p.group() if p else ""
+            small = w[:1].islower()
+            if p and (len(w) == 1 or w.endswith(".") or small or all(known.like_name(x, here) for x in w.split("-") if len(x) > 1)):
+                if part or not (small or len(w) == 1 or w.endswith(".")):
+                    part.append(p.span())
+                    full += not small and len(w) > 1 and not w.endswith(".")
+                continue
+            a, b = (m.start() + part[0][0], m.start() + part[-1][1]) if part else (0, 0)
+            if 1 < full < 4 and _sure_run(text, a, b, full, known):
+                yield a, b, "name"
+            part, full = [], 0
+    for m in TURNED.finditer(text):
+        family, _, given = m.group().partition(", ")
+        first = FIRST_WORD(given).group().lower()
+        if first in known.given and family.lower() not in known.given and all(known.like_name(x, here) for x in family.split("-")) and _is_case(text, *m.span()):
             yield (*m.span(), "name")
-    left = re.search(rf"{FAMILY},? (?:\p{{Lu}}\p{{Ll}}+-)?$", text[max(0, a - 60) : a])
-    if left and (", " in left.group() or not m or m.group().count(" ") == 0):
-        t = TURNED.match(text, max(0, a - 60) + left.start())
-        comma = ", " in left.group()
-        if t and t.end() > a and (comma or not m) and left.group().split(",")[0].split()[0].lower() not in NOT_FAMILY and ascii_fold(left.group().rstrip(", ")).lower() not in FULL_OF and _is_case(text, *t.span()) and _turned_case(text, *t.span(), comma):
-            yield (*t.span(), "name")
 
 
-def _turned_case(text: str, a: int, b: int, comma: bool) -> bool:
-    """``Family, Given`` must not be two items of a list: what follows the given name isn't its own family name."""
-    return not re.match(rf"(?: (?:{INITIALS}|\p{{Lu}}(?![\p{{L}}.])))? {FAMILY}", text[b : b + 60]) and (comma or len(text[a:b].split()[0]) > 6)
+def _sure_run(text: str, a: int, b: int, full: int, known: Uses) -> bool:
+    words = WORDS(text[a:b])
+    if any(len(w) > 1 and w.isupper() for w in words) and (words[0].isupper() or len(words[-1]) < 3) and words[0].lower() not in known.given:
+        return False
+    # Three words where a sentence begins: the first may be any word that the corpus hasn't shown yet.
+    if full > 2 and words[0].lower() not in known.given and BEGUN.search(text, max(0, a - 6), a):
+        return False
+    return _is_case(text, a, b)
 
 
-def _bylines(text: str) -> Iterator[tuple[int, int, str]]:
+def _bylines(text: str, known: Uses, here: Container[str]) -> Iterator[tuple[int, int, str]]:
     """Lines that hold nothing but names."""
     pos = 0
     for line in text.split("\n"):
         s = line.strip()
-        if 5 < len(s) < 4000 and s[0].isupper():
+        if len(s) > 5 and s[0].isupper() and (m := NAME.match(s)) and ENDED.match(s, m.end()):
             parts, at, ok = [], 0, True
-            for part in re.split(r"(\s*[;·|•]\s*|\s+(?:and|und|et|y|&)\s+)", s):
-                if at == 0 or parts is not None:
-                    m = BYLINE.fullmatch(part)
-                    if m:
-                        parts.append((at, at + len(part)))
-                    elif part.strip() and not re.fullmatch(r"\s*(?:[;·|•]|and|und|et|y|&)\s*", part):
+            for part in SPLIT.split(s):
+                if NAME.fullmatch(part):
+                    words = WORDS(part)
+                    if any(w.lower() in NOT_NAME for w in words):
                         ok = False
                         break
+                    parts.append((at, at + len(part), all(known.like_name(w, here) or w.lower() in FULL_OF for w in words)))
+                elif part.strip() and not SPLIT.fullmatch(part):
+                    ok = False
+                    break
                 at += len(part)
-            if ok:
+            # A name that is a word as well (``Will``) stands beside names that are none.
+            if ok and parts and 2 * sum(sure for *_, sure in parts) >= len(parts):
                 base = pos + line.index(s)
-                yield from ((base + x, base + y, "name") for x, y in parts if text[base + x : base + y].split()[-1].strip(".,").lower() not in NOT_FAMILY)
+                yield from ((base + x, base + y, "name") for x, y, sure in parts if sure or len(parts) > 1)
         pos += len(line) + 1
 
 
@@ -287,16 +413,17 @@ def _best(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The longest of overlapping findings; of equal ones the kind that stands first."""
     out: list[tuple[int, int, str]] = []
     for f in sorted(set(found), key=lambda f: (f[0] - f[1], f[0], KINDS.index(f[2]))):
-        if all(f[1] <= o[0] or f[0] >= o[1] for o in out):
-            out.append(f)
-    return sorted(out)
+        k = bisect.bisect_left(out, f)
+        if (k == 0 or out[k - 1][1] <= f[0]) and (k == len(out) or out[k][0] >= f[1]):
+            out.insert(k, f)
+    return out
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, known: Uses = NO_USES) -> str | None:
     if text is None:
         return None
     parts, at = [], 0
-    for a, b, kind in spans(text):
+    for a, b, kind in spans(text, known):
         parts += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join([*parts, text[at:]])
@@ -304,10 +431,11 @@ def redacted(text: str | None) -> str | None:
 
 def find(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """``row_id, kind, found_value``: each different value of each document."""
+    shared = df.sparkSession.sparkContext.broadcast(uses(df, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, kind, t[x:y]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x, y, kind in spans(t)]
+            rows = [(i, kind, t[x:y]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x, y, kind in spans(t, shared.value)]
             rows = list(dict.fromkeys(rows))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=[row_id, "kind", "found_value"])
 
@@ -318,9 +446,10 @@ def find(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 def redact(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """``row_id, text`` with typed placeholders; every row is kept."""
+    shared = df.sparkSession.sparkContext.broadcast(uses(df, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redacted(t) for t in b.column(1).to_pylist()], pa.string())], names=[row_id, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redacted(t, shared.value) for t in b.column(1).to_pylist()], pa.string())], names=[row_id, "text"])
 
     return df.select(F.col(row_id).cast("long").alias(row_id), F.col(text).alias("_t")).mapInArrow(run, f"`{row_id}` long, text string")

@@ -30,6 +30,62 @@ def test_kinds(text, want):
     assert found(text) == want
 
 
+GIVEN = "Rajesh Priya Olumide Wei Emma Mohammed Sakura Ngozi Lars Aoife Mateo Chiara Thabo Linh Bogdan Amara Noah Freya Diego Yuki".split()
+FAMILY = "Kumar Li Okafor Ng Larsen Murphy Rossi Nguyen Petrov Lee Al-Sayed García Wójcik O'Brien MacDonald".split()
+FRAMES = (
+    "At noon {} opened the valve. The valve was old.",
+    "The samples that {} had dried were weighed again.",
+    "Two pumps failed, so {} and the crew stayed on shore.",
+    "Contact {} about the pumps.",
+    "{}; Quentin Moxarteskeir\n\nWe weighed the samples.",
+    "We thank {} for help.",
+)
+
+
+def test_names_on_no_list():
+    cases = [(f"{g} {f}", frame) for k, g in enumerate(GIVEN) for j, f in enumerate(FAMILY) if (k + j) % 3 == 0 for frame in FRAMES]
+    hits = sum(("name", name) in found(frame.format(name)) for name, frame in cases)
+    assert hits >= 0.98 * len(cases)
+    turned = [f"{f}, {g}" for g, f in zip(GIVEN, FAMILY)]
+    assert all(("name", t) in found(f"We thank {t} for help.") for t in turned)
+    assert all(("name", f"J. {f}") in found(f"The valve that J. {f} opened.") for f in FAMILY)
+
+
+def test_capitalised_words_that_are_no_names():
+    known = op.Uses(frozenset(("selon", "marine", "biology", "membran")), frozenset(("rajesh",)))
+    texts = ["Selon Kumar, la phase reste stable.", "Marine Biology\n\nText.", "Die Membran Kumar", "We used a Monte Carlo simulation.", "The Rajesh Kumar Fellowship pays.", "5 mg/L. Selon the rest.", "In New York it rained."]
+    assert [op.spans(t, known) for t in texts] == [[] for _ in texts]
+    assert [t[a:b] for t in ["So did Kumar, Rajesh and others."] for a, b, _ in op.spans(t, known)] == ["Kumar, Rajesh"]
+
+
+def test_numbers_of_any_exchange_and_all_that_a_cue_announces():
+    numbers = [f"212-867-53{k:02d}" for k in range(40)]
+    assert found("Tel: " + ", ".join(numbers)) == {("phone", n) for n in numbers}
+    assert found("Ring " + " or ".join(f"0{30 + k} 123456{k % 10}" for k in range(3))) == {("phone", f"0{30 + k} 123456{k % 10}") for k in range(3)}
+    assert found("He left 415-867-5309 as his number.") == {("phone", "415-867-5309")}
+    assert found("Her SSN is 123-45-6789.") == {("id_number", "123-45-6789")}
+    assert found("Lot 415-867-5309 of order 212.867.5309 is there.") == set()
+
+
+def test_a_line_of_names_of_any_length():
+    names = [f"{g} {f}" for g in GIVEN for f in FAMILY] * 4
+    line = "; ".join(names)
+    assert len(line) > 12_000 and len(op.spans(line)) == len(names)
+
+
+def test_names_in_han_behind_a_cue():
+    assert found("感谢王小明的帮助。") == {("name", "王小明")}
+    assert found("連絡先：佐藤太郎、電話は後で。") == {("name", "佐藤太郎")}
+
+
+def test_uses_come_from_the_whole_corpus(spark):
+    rows = [(k, f"Selon Foskal{k} la phase reste stable. Le {w} de Will Foskal{k}; Will Kumar{k}.") for k, w in enumerate(["Membran"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = op.uses(df, "text")
+    assert {"selon", "membran"} <= known.ordinary and "will" in known.given
+    assert op.uses(df.limit(0), "text").ordinary == frozenset()
+
+
 def test_redaction_keeps_the_rest():
     assert op.redacted("Mail a@b.example, then call +44 20 7946 0710 ext. 7.") == "Mail [EMAIL], then call [PHONE] ext. 7."
     assert op.redacted(None) is None and op.redacted("") == "" and op.redacted(" \n") == " \n"
