@@ -6,15 +6,16 @@ and dropped small words no longer matter.
 
     1  all content words of the title, and an author in common
     2  all content words of a long title, authors missing on a side or misspelt, years at most one apart
-    3  the title's first (or last) four content words, all three of a title of three: one title is a cut form of the other, or differs in one word
-       that is a slip; an author in common
+    3  a title that is a cut form of the other (the same first four words in any order), or that differs in one word that is a slip
+       (equal in the others: one key for each word left out; long titles, by halves); an author in common
     4  no usable title: the same two or more family names and the same year
 
-Rules 3 and 4 only see pairs or records that the rules before them left unresolved. Each rule's confidence is its
-precision on labelled pairs of records, smoothed (``(right + 1) / (all + 2)``).
+Each rule only takes pairs of which at least one side is still unresolved: a pair whose hit and record both have a
+match by a stronger rule isn't looked at again. Each rule's confidence is its precision on labelled pairs of records,
+smoothed (``(right + 1) / (all + 2)``).
 
 The frequent words are those that make up at least 1/20000 of all title words, hence at most 20000, whatever the
-data; only they are sent to the executors. Joins are on hashed keys; titles that hold no value have no key, and one hot
+data; only they are sent to the executors. Joins are on keys of twice 64 bits, or on hashed keys whose words are compared afterwards; titles that hold no value have no key, and one hot
 work is split by the adaptive skew join.
 
 Defined results: null or placeholder titles and null authors take no part in the rules that need them; rows with a
@@ -32,9 +33,9 @@ import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.author_names import TITLES, Trie, forms, is_body
+from litloom.llm.author_names import TITLES, Trie, forms, is_body, usual_given
 from litloom.llm.glyphs import distance, folded
-from litloom.llm.names import FULL_OF, ascii_fold
+from litloom.llm.names import ascii_fold
 from litloom.plans.lineage import cut
 
 SHARE = 20_000
@@ -88,20 +89,28 @@ class Vocabulary:
         return (found[1], True) if found else (word, False)
 
 
-@functools.lru_cache(1 << 18)
-def _family(word: str) -> str | None:
-    w = ascii_fold(word).lower().replace("'", "").replace("’", "")
-    return folded(w) if len(w) > 4 and w.split("-")[0] not in FULL_OF and w not in TITLES and not is_body(w) else None
+class Families:
+    """Family names of author lists: of each name the longest word that is no given name of those known."""
 
+    def __init__(self, given: list[str]):
+        self.given = frozenset(given)
+        self.word = functools.lru_cache(1 << 18)(self._word)
 
-def families(names: list[str | None] | None) -> list[str]:
-    """Look-alike-folded words of author names that may be family names, without given names and titles."""
-    out = set()
-    for n in names or ():
-        ws = [f for w in re.findall(r"[\p{L}\d'’]+(?:-[\p{L}\d'’]+)*", n or "") if (f := _family(w))]
-        if ws:
-            out.add(max(ws, key=len))
-    return sorted(out)
+    def _word(self, word: str) -> str | None:
+        w = ascii_fold(word).lower().replace("'", "").replace("’", "")
+        return folded(w) if len(w) > 1 and w.split("-")[0] not in self.given and w not in TITLES and not is_body(w) else None
+
+    def of(self, names: list[str | None] | None) -> list[str]:
+        """Look-alike-folded, each once, in order."""
+        out = set()
+        for n in names or ():
+            ws = [f for w in NAME_WORD(n or "") if (f := self.word(w))]
+            if ws:
+                out.add(max(ws, key=len))
+        return sorted(w for w in out if len(w) > 1)
+
+
+NAME_WORD = re.compile(r"[\p{L}\d'’]+(?:-[\p{L}\d'’]+)*").findall
 
 
 def year_of(y) -> int | None:
@@ -127,32 +136,25 @@ def vocabulary(titles: DataFrame) -> dict[str, int]:
 SIDE = "id long, words array<string>, rare array<string>, n int, shortened boolean, families array<string>, year int"
 
 
-def side(df: DataFrame, row_id: Column, title: Column, authors: Column, year: Column, words: dict[str, int]) -> DataFrame:
-    """What the rules compare, with their keys: ``k_all``, ``k_short``, ``k_first``, ``k_last``, ``k_people``."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+def side(df: DataFrame, row_id: Column, title: Column, authors: Column, year: Column, words: dict[str, int], given: list[str]) -> DataFrame:
+    """What the rules compare, with the keys of the whole title (``k_all``, ``k_too``) and of people and year (``k_people``)."""
+    shared = df.sparkSession.sparkContext.broadcast((words, given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(shared.value)
+        v, known = Vocabulary(shared.value[0]), Families(shared.value[1])
         for b in batches:
             rows = []
             for i, t, a, y in zip(*(c.to_pylist() for c in b.columns)):
                 ws, short = title_words(t)
                 got = [x for w in ws if (x := v.right(w))[0] not in SMALL]
-                rows.append((i, [w for w, _ in got], [w for w, ok in got if not ok], len(got), short, families(a), year_of(y)))
+                rows.append((i, [w for w, _ in got], [w for w, ok in got if not ok], len(got), short, known.of(a), year_of(y)))
             types = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=["id", "words", "rare", "n", "shortened", "families", "year"])
 
     read = df.select(row_id.cast("long").alias("id"), title.alias("title"), authors.alias("authors"), year.cast("string").alias("year")).where("id is not null").mapInArrow(run, SIDE)
-    key = lambda words: F.xxhash64(F.array_join(F.array_sort(words), " "))
+    whole = F.array_join(F.array_sort("words"), " ")
     people = F.when((F.size("families") > 1) & F.col("year").isNotNull(), F.xxhash64(F.array_join("families", " "), "year"))
-    return read.select("*", F.when(F.col("n") > 1, key(F.col("words"))).alias("k_all"), F.when(F.col("n") > 2, key(F.slice("words", 1, 3))).alias("k_short"), F.when(F.col("n") > 3, key(F.slice("words", 1, 4))).alias("k_first"), F.when(F.col("n") > 3, key(F.slice("words", -4, 4))).alias("k_last"), people.alias("k_people"))
-
-
-def _joined(a: DataFrame, b: DataFrame, key: str, *fields: str) -> DataFrame:
-    """Rows of both sides with an equal key, as ``a`` and ``b``, with no more than the fields needed."""
-    left = a.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", *fields).alias("a"))
-    right = b.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct("id", *fields).alias("b"))
-    return left.join(right, "_k")
+    return read.select("*", F.when(F.col("n") > 1, F.xxhash64(whole)).alias("k_all"), F.when(F.col("n") > 1, F.xxhash64(F.lit("too"), whole)).alias("k_too"), people.alias("k_people"))
 
 
 SHARED = "arrays_overlap(a.families, b.families)"
@@ -160,15 +162,46 @@ NEAR_YEAR = "(a.year is null or b.year is null or abs(a.year - b.year) <= 1)"
 KIN = "(size(a.families) = 0 or size(b.families) = 0 or exists(a.families, x -> exists(b.families, y -> levenshtein(x, y, 3) between 0 and 3)))"
 
 
-def _rule_12(a: DataFrame, b: DataFrame) -> DataFrame:
+def _whole_titles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with the same whole title, and whether rule 1 or 2 takes them."""
     rule = F.expr(f"case when {SHARED} then 1 when least(a.n, b.n) >= 4 and {NEAR_YEAR} and {KIN} then 2 end")
-    return _joined(a, b, "k_all", "n", "families", "year").select("a.id", F.col("b.id").alias("id_b"), rule.alias("rule")).where("rule is not null")
+    part = lambda s, as_: s.where("k_all is not null").select("k_all", "k_too", F.struct("id", "n", "families", "year").alias(as_))
+    return part(a, "a").join(part(b, "b"), ["k_all", "k_too"]).select("a.id", F.col("b.id").alias("id_b"), rule.alias("rule")).where("rule is not null")
+
+
+def _open(s: DataFrame, done: DataFrame, c: str) -> DataFrame:
+    """Rows with a column ``open``: no pair found so far has them."""
+    seen = done.select(F.col(c).alias("id"), F.lit(False).alias("_o")).distinct()
+    return s.join(seen.hint("merge"), "id", "left").withColumn("open", F.coalesce("_o", F.lit(True))).drop("_o")
+
+
+def _still_open(found: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of which at least one side is unresolved."""
+    one = _open(found, done, "id").withColumnRenamed("open", "_a").withColumnsRenamed({"id": "_i", "id_b": "id"})
+    return _open(one, done, "id_b").where("_a or open").select(F.col("_i").alias("id"), F.col("id").alias("id_b"), "rule")
+
+
+#: Titles of more words than this are keyed by their halves, the others by all words but one.
+HALVES_FROM = 8
+#: Two titles that differ in one word, the longer of m words, share a key: the other m - 1 words, or half of them in place.
+KEYS = f"""concat(
+  case when n > 3 then array(concat_ws(' ', 'first', array_sort(slice(words, 1, 4)))) else array() end,
+  case when n between 3 and {HALVES_FROM} then array(concat_ws(' ', 'but', array_sort(words))) else array() end,
+  case when n between 4 and {HALVES_FROM + 1} then transform(sequence(1, n), i -> concat_ws(' ', 'but', array_sort(concat(slice(words, 1, i - 1), slice(words, i + 1, n))))) else array() end,
+  case when n > {HALVES_FROM} then flatten(transform(sequence(n, n + 1), m -> array(concat_ws(' ', 'p', m, array_sort(slice(words, 1, (m - 1) div 2))), concat_ws(' ', 's', m, array_sort(slice(words, 1 + n - (m div 2), m div 2)))))) else array() end)"""
+
+
+def _narrow(s: DataFrame, keys: str, where: str, as_: str) -> DataFrame:
+    """A row per key with what is asked before anything wide is joined: ``bits`` has a bit for each family name."""
+    row = F.expr("named_struct('id', id, 'open', open, 'year', year, 'k_all', k_all, 'bits', aggregate(families, 0L, (x, f) -> x | shiftleft(1L, cast(pmod(xxhash64(f), 63) as int))))")
+    return s.where(where).select(F.explode(F.expr(f"array_distinct(transform({keys}, x -> xxhash64(x)))")).alias("k"), row.alias(as_))
 
 
 def _rule_3(a: DataFrame, b: DataFrame) -> DataFrame:
-    # Candidates are found on keys alone; what is compared joins them afterwards.
-    keyed = lambda s: s.select("id", "n", "k_all", F.explode(F.expr("filter(array(named_struct('t', 0, 'k', k_first), named_struct('t', 1, 'k', k_last), named_struct('t', 2, 'k', k_short)), x -> x.k is not null)")).alias("x")).select("id", "n", "k_all", F.xxhash64("x.t", "x.k").alias("k"), F.col("x.t").alias("t"))
-    both = _joined(keyed(a), keyed(b), "k", "n", "k_all", "t").where("a.t = b.t and a.k_all <> b.k_all and (a.t < 2 or a.n = 3 or b.n = 3)").select("a.id", F.col("b.id").alias("id_b")).distinct()
+    near = f"(a.open or b.open) and a.k_all <> b.k_all and {NEAR_YEAR} and (a.bits & b.bits <> 0 or a.bits = 0 or b.bits = 0)"
+    three = "array(concat_ws(' ', array_sort(slice(words, 1, 3))))"
+    met = [_narrow(a, k, p, "a").join(_narrow(b, k, q, "b"), "k").where(near).select("a.id", F.col("b.id").alias("id_b")) for k, p, q in ((KEYS, "n > 2", "n > 2"), (three, "n = 3", "n > 3"), (three, "n > 3", "n = 3"))]
+    both = met[0].unionByName(met[1]).unionByName(met[2]).distinct()
     shown = F.struct("words", "rare", "n", "shortened", "families", "year")
     both = both.join(a.select("id", shown.alias("a")), "id").join(b.select(F.col("id").alias("id_b"), shown.alias("b")), "id_b")
     d = both.select("id", "id_b", "a", "b", F.expr("array_except(a.words, b.words)").alias("x"), F.expr("array_except(b.words, a.words)").alias("y"))
@@ -180,24 +213,27 @@ def _rule_3(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _rule_4(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _joined(a, b, "k_people", "n").where("a.n = 0 or b.n = 0").select("a.id", F.col("b.id").alias("id_b"), F.lit(4).alias("rule"))
+    part = lambda s, as_: s.where("k_people is not null").select("k_people", F.struct("id", "n", "open", "families", "year").alias(as_))
+    both = part(a, "a").join(part(b, "b"), "k_people").where("(a.n = 0 or b.n = 0) and (a.n = 0 and a.open or b.n = 0 and b.open) and a.families = b.families and a.year = b.year")
+    return both.select("a.id", F.col("b.id").alias("id_b"), F.lit(4).alias("rule"))
 
 
 def cascade(a: DataFrame, b: DataFrame) -> DataFrame:
     """``id, id_b, rule``: pairs of the two sides, each with the first rule that gives it."""
-    done = cut(_rule_12(a, b))
-    done = cut(done.unionByName(_rule_3(a, b)))
-    left = lambda s, c: s.join(done.select(F.col(c).alias("id")).distinct(), "id", "left_anti")
-    rest = _rule_4(left(a, "id"), b).unionByName(_rule_4(a, left(b, "id_b"))).distinct()
-    found = done.unionByName(rest)
-    return found.groupBy("id", "id_b").agg(F.min("rule").alias("rule"))
+    whole = cut(_whole_titles(a, b))
+    first = whole.where("rule = 1")
+    done = cut(first.unionByName(_still_open(whole.where("rule = 2"), first)).distinct())
+    for rule in (_rule_3, _rule_4):
+        done = cut(done.unionByName(rule(_open(a, done, "id"), _open(b, done, "id_b")))).distinct()
+    return done.groupBy("id", "id_b").agg(F.min("rule").alias("rule"))
 
 
 def sides(papers: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = F.col("metadata")
     words = vocabulary(papers.select("title").unionByName(records.select(m["title"].alias("title"))))
-    hits = side(papers, F.col("hit_id"), F.col("title"), F.col("authors"), F.col("year"), words)
-    recs = side(records, F.col("rec_id"), m["title"], m["authors"], m["year"], words)
+    given = usual_given(papers.select("authors").unionByName(records.select(m["authors"].alias("authors"))), F.col("authors"))
+    hits = side(papers, F.col("hit_id"), F.col("title"), F.col("authors"), F.col("year"), words, given)
+    recs = side(records, F.col("rec_id"), m["title"], m["authors"], m["year"], words, given)
     return cut(hits), cut(recs)
 
 
