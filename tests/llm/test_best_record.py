@@ -54,3 +54,30 @@ def test_more_than_six_spellings():
     name = "kintouvegurmas"
     spelt = [["Bo K" + "x" * k + name[1 + k :]] for k in range(9)]
     assert authors(*((s, 20 - k) for k, s in enumerate(spelt))) == "1"
+
+
+def test_hot_groups_split_give_what_whole_ones_give(spark):
+    import random
+
+    rng = random.Random(4)
+    full = ["Zoë Kintouvegurm", "Bo Trainexeojail", "Cy Moxurtuclesk", "Dan Wolzerapint"]
+    recs = []
+    for i in range(400):
+        doi = list("10.99016/sieve2014.00008357")
+        doi[rng.randint(10, 25)] = rng.choice("0123456789abcdef")
+        names = [n if rng.random() < 0.8 else n.replace("o", "0") for n in full if rng.random() < 0.9]
+        recs.append((i, rng.choice(("publisher", "scan")), True, names, "Tidal Optics Reviews", 2014 + (rng.random() < 0.2), "".join(doi)))
+    groups = [(1 + i % 2, i) for i in range(400)] + [(3, 0)]
+    e = spark.createDataFrame([(i, o, (None, a, j, y, d), "clash") for i, o, m, a, j, y, d in recs], E)
+    g = spark.createDataFrame(groups, G)
+    known = Entries([(3, "Tidal Optics Reviews")])
+    rows = lambda hot: {(r.group_id, r.field): r.best_value for r in op.best(g, e, known, hot).collect()}
+    whole, split = rows(5000), rows(20)
+    assert whole == split | {k: v for k, v in whole.items() if k[1] == "doi" and k[0] < 3}
+    assert all(split[k, "authors"] == "4" for k in (1, 2))
+    assert sum(a != b for a, b in zip(split[1, "doi"], "10.99016/sieve2014.00008357")) <= 1
+
+
+def test_years():
+    assert [op.clean_year(y, 2024) for y in (None, 0, 1900, 1899, 2025, 2026, 9999)] == [None, None, None, 1899, 2025, None, None]
+    assert op.clean_year(2051) == 2051
