@@ -15,11 +15,12 @@ Extra columns are ignored. With an empty list every value gives -1; an empty tab
 
 from __future__ import annotations
 
+import bisect
 import functools
 import itertools
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex as re
@@ -47,6 +48,83 @@ def words_of(value: str) -> list[str]:
     return re.findall(r"[\p{L}\d]+", v.replace("'", "").replace("’", ""))
 
 
+class Words:
+    """A trie of words, walked with the rows of an edit distance (neighbour swaps included)."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]]):
+        """``pairs``: (form, word)."""
+        self.root: dict = {}
+        for form, word in pairs:
+            node = self.root
+            for c in form:
+                node = node.setdefault(c, {})
+            node.setdefault("", []).append(word)
+
+    def walk(self, form: str, most: int) -> tuple[dict[str, int], list[dict]]:
+        """Words within ``most`` edits, with their distance, and the nodes whose beginnings are within one edit."""
+        n = len(form)
+        near: dict[str, int] = {}
+        begun = []
+        first = list(range(n + 1))
+        stack = [(node, c, first, None, "", 1) for c, node in self.root.items() if c]
+        while stack:
+            node, c, row, before, last, depth = stack.pop()
+            new = [depth] + [0] * n
+            for j in range(1, n + 1):
+                d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (form[j - 1] != c))
+                if before is not None and j > 1 and form[j - 1] == last and form[j - 2] == c:
+                    d = min(d, before[j - 2] + 1)
+                new[j] = d
+            if new[n] <= most:
+                for w in node.get("", ()):
+                    near[w] = min(new[n], near.get(w, 99))
+            if new[n] <= 1 and depth > 2:
+                begun.append(node)
+            if min(new) <= most:
+                stack += [(child, x, new, row, c, depth + 1) for x, child in node.items() if x]
+        return near, begun
+
+
+def under(nodes: list[dict]) -> set[str]:
+    """The words below nodes of a trie."""
+    out: set[str] = set()
+    stack = [child for node in nodes for c, child in node.items() if c]
+    while stack:
+        node = stack.pop()
+        out.update(node.get("", ()))
+        stack += [child for c, child in node.items() if c]
+    return out
+
+
+def cheapest(costs: list[list[float]]) -> float:
+    """The least sum of one cost per row, each from another column (square, by shortest augmenting paths)."""
+    n = len(costs)
+    u, v, of = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        of[0], j, reach, seen, way = i, 0, [float("inf")] * (n + 1), [False] * (n + 1), [0] * (n + 1)
+        while of[j]:
+            seen[j] = True
+            row, step, nxt = of[j], float("inf"), 0
+            for k in range(1, n + 1):
+                if not seen[k]:
+                    c = costs[row - 1][k - 1] - u[row] - v[k]
+                    if c < reach[k]:
+                        reach[k], way[k] = c, j
+                    if reach[k] < step:
+                        step, nxt = reach[k], k
+            for k in range(n + 1):
+                if seen[k]:
+                    u[of[k]] += step
+                    v[k] -= step
+                else:
+                    reach[k] -= step
+            j = nxt
+        while j:
+            of[j] = of[way[j]]
+            j = way[j]
+    return -v[0]
+
+
 class Entries:
     def __init__(self, names: list[tuple[int, str]]):
         """``names``: (id, name or alias), canonical names first."""
@@ -77,9 +155,15 @@ class Entries:
             self.automaton.add_word(f" {key} ", (i, len(key) + 2))
         if self.by_name:
             self.automaton.make_automaton()
-        self.starting: dict[str, list[str]] = defaultdict(list)
+        self.sorted = sorted(self.vocabulary)
+        self.by_fold: dict[str, list[str]] = defaultdict(list)
+        self.skeleton: dict[tuple[str, str], set[str]] = defaultdict(set)
         for w in self.vocabulary:
-            self.starting[w[:1]].append(w)
+            self.by_fold[folded(w)].append(w)
+            for c in w[2:4]:
+                self.skeleton[w[0], c].add(w)
+        self.plain_trie = Words((w, w) for w in self.sorted)
+        self.fold_trie = Words((folded(w), w) for w in self.sorted)
         self.stands_for = functools.lru_cache(1 << 16)(self._stands_for)
         self.memo: dict[str, int | None] = {}
 
@@ -94,31 +178,41 @@ class Entries:
         take(t, 0)
         if t in SHORTENED:
             take(SHORTENED[t], 0.1)
-        f = folded(t)
-        for w in self.vocabulary:
-            n = len(t)
-            if w.startswith(t):
-                take(w, 0.1 if n < len(w) else 0)
-                continue
-            fw = folded(w)
-            if fw == f:
-                take(w, 0.4)
-                continue
+        f, n = folded(t), len(t)
+        begins = set()
+        for k in range(bisect.bisect_left(self.sorted, t), len(self.sorted)):
+            if not (w := self.sorted[k]).startswith(t):
+                break
+            begins.add(w)
+            take(w, 0.1 if n < len(w) else 0)
+        alike = set(self.by_fold.get(f, ())) - begins
+        for w in alike:
+            take(w, 0.4)
+        done = begins | alike
+
+        def slip(w: str) -> bool:
             # One slip leaves the first letter, or puts it second, or the second first.
-            if f[:1] not in (fw[:1], fw[1:2]) and f[1:2] not in (fw[:1], fw[1:2]):
-                continue
-            if n >= 3:
-                k = 2 if n >= 8 else 1
-                d = min(distance(t, w, k), distance(f, fw, k))
-                if d <= k and n >= 4:
-                    take(w, float(d))
-                # a slip inside an abbreviation
-                if n < len(w) and (n >= 4 or fw.startswith(f)):
-                    for m in (n, n - 1, n + 1):
-                        if 2 < m < len(w) and min(distance(t, w[:m], 1), distance(f, folded(w[:m]), 1)) <= 1:
-                            take(w, 1.2 if not fw.startswith(f) else 0.5)
-            elif n == 2 and w[:1] == t[:1] and t[1] in w[2:4]:
-                take(w, 1.2)
+            fw = folded(w)
+            return w not in done and (f[:1] in (fw[:1], fw[1:2]) or f[1:2] in (fw[:1], fw[1:2]))
+
+        if n >= 3:
+            most = 2 if n >= 8 else 1
+            walks = [self.plain_trie.walk(t, most), self.fold_trie.walk(f, most)]
+            if n >= 4:
+                for near, _ in walks:
+                    for w, d in near.items():
+                        if slip(w):
+                            take(w, float(d))
+            # a slip inside an abbreviation
+            for w in under([node for _, begun in walks for node in begun]):
+                if n < len(w) and slip(w):
+                    starts = folded(w).startswith(f)
+                    if n >= 4 or starts:
+                        take(w, 0.5 if starts else 1.2)
+        elif n == 2:
+            for w in self.skeleton.get((t[0], t[1]), ()):
+                if slip(w):
+                    take(w, 1.2)
         return tuple(sorted(out.items(), key=lambda x: (x[1], x[0])))
 
     def mentions(self, words: list[str]) -> int | None:
@@ -187,15 +281,11 @@ class Entries:
         costs = [dict(o) for o in options]
         if all(w in c for c, w in zip(costs, content)):
             return sum(c[w] for c, w in zip(costs, content))
-        best = None
-        if len(content) > 7:
-            return None
-        for p in itertools.permutations(range(len(content))):
-            if all(content[j] in costs[k] for k, j in enumerate(p)):
-                turned = all((p[k] + 1) % len(p) == p[(k + 1) % len(p)] for k in range(len(p)))
-                c = sum(costs[k][content[j]] for k, j in enumerate(p)) + (0.1 if turned else 0.6)
-                best = c if best is None or c < best else best
-        return best
+        n = len(content)
+        turned = [sum(costs[k][content[(k + by) % n]] for k in range(n)) for by in range(1, n) if all(content[(k + by) % n] in costs[k] for k in range(n))]
+        free = cheapest([[c.get(w, 1e6) for w in content] for c in costs])
+        best = min([x + 0.1 for x in turned] + [free + 0.6])
+        return best if best < 1e5 else None
 
     def map(self, value: str | None) -> int | None:
         """The entry's id, -1 if the value is not in the list, None if it is no value."""

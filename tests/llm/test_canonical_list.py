@@ -27,3 +27,35 @@ def test_rows(spark):
     assert op.mapped(df.limit(0), "rec_id", F.col("j"), known(spark)).collect() == []
     empty = op.entries(spark.createDataFrame([], "journal_id long, name string, notes string"), "journal_id", "name", "notes")
     assert {r.entry_id for r in op.mapped(df, "rec_id", F.col("j"), empty).collect()} == {-1}
+
+
+def test_long_names_in_any_order():
+    name = "Annals of Tidal Optics Plasma Ecology Glacier Archive Sediment Records"
+    known = op.Entries([(5, name), (6, "Annals of Tidal Optics")])
+    words = name.replace(" of", "").split()
+    assert known.map(" ".join(words[3:] + words[:3])) == 5
+    assert known.map(" ".join(reversed(words))) == 5
+    assert known.map(" ".join(words[1:])) == -1
+
+
+def test_tokens_by_trie_as_by_all_words():
+    import random
+
+    from litloom.llm.glyphs import distance
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abno") for _ in range(rng.randint(4, 9))) for _ in range(300)]
+    trie = op.Words((w, w) for w in words)
+    for w in words[:60]:
+        near, _ = trie.walk(w, 2)
+        assert near == {x: d for x in words if (d := distance(w, x, 2)) <= 2}
+
+
+def test_cheapest_assignment():
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    for n in (1, 2, 3, 5):
+        costs = [[rng.randint(0, 9) for _ in range(n)] for _ in range(n)]
+        assert op.cheapest(costs) == min(sum(costs[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
