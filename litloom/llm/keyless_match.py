@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from litloom.llm.author_names import TITLES, Trie, forms, is_body, usual_given
 from litloom.llm.glyphs import distance, folded
 from litloom.llm.names import ascii_fold
-from litloom.plans.lineage import cut
+from litloom.plans.lineage import cut, hinted
 
 SHARE = 20_000
 LEAST = 8
@@ -137,7 +137,7 @@ SIDE = "id long, words array<string>, rare array<string>, n int, shortened boole
 
 
 def side(df: DataFrame, row_id: Column, title: Column, authors: Column, year: Column, words: dict[str, int], given: list[str]) -> DataFrame:
-    """What the rules compare, with the keys of the whole title (``k_all``, ``k_too``) and of people and year (``k_people``)."""
+    """What the rules compare, with the keys of the whole title (``k_all``, ``k_too``) and of people and year (``k_people``, ``k_persons``)."""
     shared = df.sparkSession.sparkContext.broadcast((words, given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +153,8 @@ def side(df: DataFrame, row_id: Column, title: Column, authors: Column, year: Co
 
     read = df.select(row_id.cast("long").alias("id"), title.alias("title"), authors.alias("authors"), year.cast("string").alias("year")).where("id is not null").mapInArrow(run, SIDE)
     whole = F.array_join(F.array_sort("words"), " ")
-    people = F.when((F.size("families") > 1) & F.col("year").isNotNull(), F.xxhash64(F.array_join("families", " "), "year"))
-    return read.select("*", F.when(F.col("n") > 1, F.xxhash64(whole)).alias("k_all"), F.when(F.col("n") > 1, F.xxhash64(F.lit("too"), whole)).alias("k_too"), people.alias("k_people"))
+    people = lambda seed: F.when((F.size("families") > 1) & F.col("year").isNotNull(), F.xxhash64(F.lit(seed), F.array_join("families", " "), "year"))
+    return read.select("*", F.when(F.col("n") > 1, F.xxhash64(whole)).alias("k_all"), F.when(F.col("n") > 1, F.xxhash64(F.lit("too"), whole)).alias("k_too"), people(1).alias("k_people"), people(2).alias("k_persons"))
 
 
 SHARED = "arrays_overlap(a.families, b.families)"
@@ -169,41 +169,39 @@ def _whole_titles(a: DataFrame, b: DataFrame) -> DataFrame:
     return part(a, "a").join(part(b, "b"), ["k_all", "k_too"]).select("a.id", F.col("b.id").alias("id_b"), rule.alias("rule")).where("rule is not null")
 
 
-def _open(s: DataFrame, done: DataFrame, c: str) -> DataFrame:
-    """Rows with a column ``open``: no pair found so far has them."""
-    seen = done.select(F.col(c).alias("id"), F.lit(False).alias("_o")).distinct()
-    return s.join(seen.hint("merge"), "id", "left").withColumn("open", F.coalesce("_o", F.lit(True))).drop("_o")
-
-
 def _still_open(found: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of which at least one side is unresolved."""
-    one = _open(found, done, "id").withColumnRenamed("open", "_a").withColumnsRenamed({"id": "_i", "id_b": "id"})
-    return _open(one, done, "id_b").where("_a or open").select(F.col("_i").alias("id"), F.col("id").alias("id_b"), "rule")
+    """Pairs of which at least one side has no match in ``done``."""
+    seen = lambda c, flag: done.select(F.col(c), F.lit(True).alias(flag)).distinct().hint("merge")
+    flagged = found.join(seen("id", "_a"), "id", "left").join(seen("id_b", "_b"), "id_b", "left")
+    return flagged.where("_a is null or _b is null").drop("_a", "_b")
 
 
 #: Titles of more words than this are keyed by their halves, the others by all words but one.
 HALVES_FROM = 8
+_ALL = "aggregate({}, 0L, (s, x) -> s ^ x)"
 #: Two titles that differ in one word, the longer of m words, share a key: the other m - 1 words, or half of them in place.
+#: A set of words is the exclusive or of their hashes, so their order doesn't matter and leaving one out is one operation.
 KEYS = f"""concat(
-  case when n > 3 then array(concat_ws(' ', 'first', array_sort(slice(words, 1, 4)))) else array() end,
-  case when n between 3 and {HALVES_FROM} then array(concat_ws(' ', 'but', array_sort(words))) else array() end,
-  case when n between 4 and {HALVES_FROM + 1} then transform(sequence(1, n), i -> concat_ws(' ', 'but', array_sort(concat(slice(words, 1, i - 1), slice(words, i + 1, n))))) else array() end,
-  case when n > {HALVES_FROM} then flatten(transform(sequence(n, n + 1), m -> array(concat_ws(' ', 'p', m, array_sort(slice(words, 1, (m - 1) div 2))), concat_ws(' ', 's', m, array_sort(slice(words, 1 + n - (m div 2), m div 2)))))) else array() end)"""
+  case when n > 3 then array({_ALL.format('slice(h, 1, 4)')} ^ 1) else array() end,
+  case when n between 3 and {HALVES_FROM} then array(total) else array() end,
+  case when n between 4 and {HALVES_FROM + 1} then transform(h, x -> total ^ x) else array() end,
+  case when n > {HALVES_FROM} then flatten(transform(sequence(n, n + 1), m -> array({_ALL.format('slice(h, 1, (m - 1) div 2)')} ^ xxhash64('p', m), {_ALL.format('slice(h, 1 + n - (m div 2), m div 2)')} ^ xxhash64('s', m)))) else array() end,
+  case when n = 3 then array(total ^ {{whole}}) when n > 3 then array({_ALL.format('slice(h, 1, 3)')} ^ {{begun}}) else array() end)"""
 
 
-def _narrow(s: DataFrame, keys: str, where: str, as_: str) -> DataFrame:
-    """A row per key with what is asked before anything wide is joined: ``bits`` has a bit for each family name."""
-    row = F.expr("named_struct('id', id, 'open', open, 'year', year, 'k_all', k_all, 'bits', aggregate(families, 0L, (x, f) -> x | shiftleft(1L, cast(pmod(xxhash64(f), 63) as int))))")
-    return s.where(where).select(F.explode(F.expr(f"array_distinct(transform({keys}, x -> xxhash64(x)))")).alias("k"), row.alias(as_))
+def _keyed(s: DataFrame, name: str, whole: int, begun: int) -> DataFrame:
+    """``k`` and the id under a name, a row per key. A title of three words meets those that begin with it: one side's ``whole`` is the other's ``begun``."""
+    h = s.where("n > 2").select("id", "n", F.expr("transform(words, w -> xxhash64(w))").alias("h"))
+    return h.withColumn("total", F.expr(_ALL.format("h"))).select(F.explode(F.array_distinct(F.expr(KEYS.format(whole=whole, begun=begun)))).alias("k"), F.col("id").alias(name))
 
 
-def _rule_3(a: DataFrame, b: DataFrame) -> DataFrame:
-    near = f"(a.open or b.open) and a.k_all <> b.k_all and {NEAR_YEAR} and (a.bits & b.bits <> 0 or a.bits = 0 or b.bits = 0)"
-    three = "array(concat_ws(' ', array_sort(slice(words, 1, 3))))"
-    met = [_narrow(a, k, p, "a").join(_narrow(b, k, q, "b"), "k").where(near).select("a.id", F.col("b.id").alias("id_b")) for k, p, q in ((KEYS, "n > 2", "n > 2"), (three, "n = 3", "n > 3"), (three, "n > 3", "n = 3"))]
-    both = met[0].unionByName(met[1]).unionByName(met[2]).distinct()
+def _rule_3(a: DataFrame, b: DataFrame, done: DataFrame) -> DataFrame:
+    # Candidates are found on keys alone; what is compared joins those that are still open.
+    met = _keyed(a, "id", 2, 3).join(_keyed(b, "id_b", 3, 2), "k").select("id", "id_b").distinct()
+    both = hinted(cut(_still_open(met.join(done.hint("merge"), ["id", "id_b"], "left_anti"), done)), 1_000_000)
     shown = F.struct("words", "rare", "n", "shortened", "families", "year")
-    both = both.join(a.select("id", shown.alias("a")), "id").join(b.select(F.col("id").alias("id_b"), shown.alias("b")), "id_b")
+    both = a.select("id", shown.alias("a")).join(both, "id")
+    both = b.select(F.col("id").alias("id_b"), shown.alias("b")).join(hinted(cut(both), 200_000), "id_b")
     d = both.select("id", "id_b", "a", "b", F.expr("array_except(a.words, b.words)").alias("x"), F.expr("array_except(b.words, a.words)").alias("y"))
     part = lambda p, q, side: f"(size({p}) = 0 and size({q}) > 0 and {side[0]}.n < {side[1]}.n and size({q}) <= 4 and size(array_except({side[0]}.words, slice({side[1]}.words, 1, {side[0]}.n + 1))) = 0 or {side[0]}.shortened and size({p}) = 1 and {side[0]}.n <= {side[1]}.n and exists({q}, w -> startswith(w, substring(get({p}, 0), 1, greatest(1, length(get({p}, 0)) - 1)))))"
     slip = "size(x) <= 1 and size(y) <= 1 and abs(a.n - b.n) <= 1 and (size(array_intersect(x, a.rare)) = 1 or size(array_intersect(y, b.rare)) = 1) and (size(x) = 0 or size(y) = 0 or levenshtein(get(x, 0), get(y, 0), 3) between 0 and 3)"
@@ -212,19 +210,19 @@ def _rule_3(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.where(ok).select("id", "id_b", F.lit(3).alias("rule")).distinct()
 
 
-def _rule_4(a: DataFrame, b: DataFrame) -> DataFrame:
-    part = lambda s, as_: s.where("k_people is not null").select("k_people", F.struct("id", "n", "open", "families", "year").alias(as_))
-    both = part(a, "a").join(part(b, "b"), "k_people").where("(a.n = 0 or b.n = 0) and (a.n = 0 and a.open or b.n = 0 and b.open) and a.families = b.families and a.year = b.year")
-    return both.select("a.id", F.col("b.id").alias("id_b"), F.lit(4).alias("rule"))
+def _rule_4(a: DataFrame, b: DataFrame, done: DataFrame) -> DataFrame:
+    part = lambda s, name, where: s.where(f"k_people is not null and {where}").select("k_people", "k_persons", F.col("id").alias(name))
+    met = [part(a, "id", p).join(part(b, "id_b", q), ["k_people", "k_persons"]).select("id", "id_b") for p, q in (("n = 0", "true"), ("n > 0", "n = 0"))]
+    return _still_open(met[0].unionByName(met[1]), done).select("id", "id_b", F.lit(4).alias("rule")).distinct()
 
 
 def cascade(a: DataFrame, b: DataFrame) -> DataFrame:
     """``id, id_b, rule``: pairs of the two sides, each with the first rule that gives it."""
     whole = cut(_whole_titles(a, b))
-    first = whole.where("rule = 1")
-    done = cut(first.unionByName(_still_open(whole.where("rule = 2"), first)).distinct())
+    first = whole.where("rule = 1").distinct()
+    done = cut(first.unionByName(_still_open(whole.where("rule = 2"), first).select("id", "id_b", "rule").distinct()))
     for rule in (_rule_3, _rule_4):
-        done = cut(done.unionByName(rule(_open(a, done, "id"), _open(b, done, "id_b")))).distinct()
+        done = cut(done.unionByName(rule(a, b, done)))
     return done.groupBy("id", "id_b").agg(F.min("rule").alias("rule"))
 
 
