@@ -77,14 +77,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.array([first]), pa.array([first]), pa.array([last], pa.string()), EDGE)
 
 
+def keyed(df: DataFrame, key: Column, row_id: str) -> DataFrame:
+    """``key, id`` of the rows that have both, written once: the range partition samples its input, and must not parse it twice."""
+    return cut(df.select(key.alias("key"), F.col(row_id).cast("long").alias("id")).where("key is not null and id is not null"))
+
+
 def copies(df: DataFrame, key: Column, row_id: str) -> DataFrame:
     """``first_id, id`` for each row whose key another row with a smaller id has, ids being unique.
 
     Rows whose key is null belong to no set.
     """
-    keyed = df.select(key.alias("key"), F.col(row_id).cast("long").alias("id")).where("key is not null and id is not null")
-    parts = shuffle_partitions(df)
-    runs = cut(keyed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, RUNS))
+    return _copies(keyed(df, key, row_id))
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    runs = cut(rows.repartitionByRange(shuffle_partitions(rows), "key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, RUNS))
     # One or two rows per partition: their number follows the partitions, not the data.
     edges = runs.where(F.col("kind") == EDGE).select("pid", "key", "first_id")
     firsts = edges.groupBy("key").agg(F.min("first_id").alias("true_first"))
@@ -96,8 +103,8 @@ def copies(df: DataFrame, key: Column, row_id: str) -> DataFrame:
 
 def representatives(df: DataFrame, key: Column, row_id: str) -> DataFrame:
     """``first_id, n_copies``: one row for each set, single records included, with its exact size."""
-    found = copies(df, key, row_id)
+    rows = keyed(df, key, row_id)
+    found = cut(_copies(rows))
     more = found.groupBy("first_id").agg(F.count(F.lit(1)).alias("more"))
-    ids = df.select(key.alias("key"), F.col(row_id).cast("long").alias("first_id")).where("key is not null and first_id is not null").select("first_id")
-    firsts = ids.join(found.select(F.col("id").alias("first_id")), "first_id", "left_anti")
-    return firsts.join(more, "first_id", "left").select("first_id", (F.coalesce("more", F.lit(0)) + 1).alias("n_copies"))
+    firsts = rows.select(F.col("id").alias("first_id")).join(found.select(F.col("id").alias("first_id")).hint("merge"), "first_id", "left_anti")
+    return firsts.join(more.hint("merge"), "first_id", "left").select("first_id", (F.coalesce("more", F.lit(0)) + 1).alias("n_copies"))

@@ -80,6 +80,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("first_id").alias("first_file_id"), F.col("id").alias("file_id"))
 
 
+def p6_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from litloom.llm import exact_copies as op
+
+    got = op.representatives(table(spark, sf_dir, "result_files"), op.canonical_key(F.col("body")), "file_id")
+    return got.select(F.col("first_id").alias("first_file_id"), "n_copies")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litloom.llm import sentences as op
 
@@ -128,11 +135,12 @@ _PLAIN = r"regexp_replace(lower(upper(coalesce({0}, ''))), '[^\p{{L}}\p{{M}}\p{{
 _P6 = f"""
 with f as (select file_id, json_extract(body, '$.metadata') as m from result_files where json_valid(body)),
      k as (select file_id, concat_ws(chr(31), {_PLAIN.format("m->>'$.title'")}, array_to_string(list_transform(from_json(m->'$.authors', '["VARCHAR"]'), lambda a: {_PLAIN.format('a')}), chr(30)),
-                                     {_PLAIN.format("m->>'$.journal'")}, {_PLAIN.format("m->>'$.year'")}, {_PLAIN.format(r"regexp_replace(lower(m->>'$.doi'), '^.*?(10\.)', '\1')")}) as key from f where m is not null),
-     g as (select min(file_id) over (partition by key) as first_file_id, file_id from k)
-select first_file_id, file_id from g where first_file_id <> file_id
+                                     {_PLAIN.format("m->>'$.journal'")}, {_PLAIN.format("m->>'$.year'")}, {_PLAIN.format(r"regexp_replace(lower(m->>'$.doi'), '^.*?(10\.)', '\1')")}) as key from f where m is not null)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": _P6}
+    return {
+        "p6_found": f"{_P6} select first_file_id, file_id from (select min(file_id) over (partition by key) as first_file_id, file_id from k) where first_file_id <> file_id",
+        "p6_representatives": f"{_P6} select min(file_id) as first_file_id, cast(count(*) as bigint) as n_copies from k group by key",
+    }

@@ -40,3 +40,9 @@ def test_a_group_that_crosses_partitions(spark):
     df = spark.createDataFrame(rows, "file_id long, body string")
     n = {r.first_id: r.n_copies for r in op.representatives(df, op.canonical_key(F.col("body")), "file_id").collect()}
     assert n[0] == 400 and sum(n.values()) == 450 and len(n) == 51
+
+
+def test_representatives_count_every_row(spark):
+    df = spark.createDataFrame([(k, f"k{k % 7}" if k else None) for k in range(100)], "id long, key string")
+    got = {r.first_id: r.n_copies for r in op.representatives(df, F.col("key"), "id").collect()}
+    assert sum(got.values()) == 99 and set(got) == {1, 2, 3, 4, 5, 6, 7}
