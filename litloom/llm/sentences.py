@@ -1,13 +1,14 @@
 """Sentence boundaries across languages and scripts (problem 7).
 
-Candidate boundaries are the ends of terminator runs with their closing quotes and brackets (in Thai, spaces). Each is
+Candidate boundaries are the ends of terminator runs with their closing quotes and brackets, and in Thai the spaces. Each is
 classified by a maximum-entropy model over the neighbouring tokens, their case, length, digits and script. The model
 is fitted on boundaries that are reliable by themselves: a candidate before a blank line or the end of a text is one;
 a candidate followed by a lower-case word, or beside a token that is frequent there and yet never stands at the edge
-of a paragraph (``Dr.``, ``Abb.``, ``3.`` before a month), is none. Blank lines and heading lines part units by
-definition and need no model.
+of a paragraph (``Dr.``, ``Abb.``, ``3.`` before a month), is none, nor is a Thai space beside a figure or a unit of
+measure. Blank lines and heading lines part units by definition and need no model.
 
-The fit takes at most ``FIT_ROWS`` texts, those with the smallest hash of their id; every text is then segmented.
+The fit takes at most ``FIT_ROWS`` texts, those with the smallest hash of their id, and of these as many as make up at
+most ``FIT_CHARACTERS``; it runs in one task, and only the fitted model comes to the driver. Every text is then segmented.
 
 Defined results: null, empty and blank texts have no units; rows with a null id are left out; a text that occurs
 twice gives its units for each id; a null language is guessed from the script and the commonest short words of
@@ -17,6 +18,8 @@ the fitted languages. Extra columns are ignored; empty tables give empty results
 from __future__ import annotations
 
 import functools
+import itertools
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 #: Most texts that the model is fitted on.
 FIT_ROWS = 4000
+FIT_CHARACTERS = 12_000_000
 DIMENSIONS = 1 << 18
 #: A token that should have stood at a paragraph's edge this many times and never did can't end (or begin) a unit.
 EXPECTED = 4.5
@@ -165,15 +169,23 @@ def candidates(text: str, a: int, b: int, lang: str) -> list[Candidate]:
     return out
 
 
-def thai_starts(text: str, a: int, b: int) -> list[int]:
-    """In Thai a space parts units unless a figure or a unit of measure stands beside it."""
+def thai_class(token: str) -> str:
+    return "digit" if token[:1].isdigit() or token[-1:].isdigit() else "unit" if THAI_UNIT.match(token.rstrip(",;")) else "word"
+
+
+def thai_candidates(text: str, a: int, b: int) -> list[Candidate]:
+    """In Thai, the spaces of a block, beside Thai letters or the end of a sentence in another script; and the block's end."""
     out, words = [], [(m.start(), m.group()) for m in re.finditer(r"\S+", text[a:b])]
-    for (_, left), (at, right) in zip(words, words[1:]):
-        if not (THAI.search(left[-1:]) or THAI.search(right[:1]) or left[-1:] in ".!?"):
+    for (_, left), (at, right) in zip(words, [*words[1:], (b - a, "")]):
+        if right and not (THAI.search(left[-1:]) or THAI.search(right[:1]) or left[-1:] in ".!?"):
             continue
-        if left[-1:].isdigit() or right[:1].isdigit() or THAI_UNIT.match(left) or THAI_UNIT.match(right.rstrip(",;")):
-            continue
-        out.append(a + at)
+        c = Candidate()
+        c.at, c.edge, c.gap = a + at, not right, "space"
+        c.prev, c.next, c.next_raw = "", "", right
+        beside = ("digit" if left[-1:].isdigit() else "unit" if THAI_UNIT.match(left) else "word", "digit" if right[:1].isdigit() else thai_class(right) if right else "none")
+        c.kind = "thai" if set(beside) <= {"word", "none"} else "figure"
+        c.features = ["l=th", "m=space", f"tl={beside[0]}", f"tr={beside[1]}", f"tt={beside[0]}|{beside[1]}"]
+        out.append(c)
     return out
 
 
@@ -183,6 +195,7 @@ class Model:
     def __init__(self, rows: list[tuple[str | None, str]]):
         self.words = self._common_words(rows)
         seen: list[tuple[str, Candidate]] = []
+        thai: list[Candidate] = []
         starts: Counter = Counter()
         for lang, text in rows:
             lang = lang or self.guess(text)
@@ -195,6 +208,8 @@ class Model:
                     raw = text[a:b].lstrip(OPENERS + " ")
                     starts[lang, raw[:2] if re.match(rf"[{NO_SPACE}]", raw) else token_class(w.group() if w else raw[:1])] += 1
                 seen += [(lang, c) for c in found]
+                if THAI.search(text, a, b):
+                    thai += thai_candidates(text, a, b)
         prev_all, prev_edge, next_all = Counter(), Counter(), Counter()
         for lang, c in seen:
             prev_all[lang, c.prev] += 1
@@ -221,6 +236,7 @@ class Model:
                 labelled.append((self.indices(lang, c), 0))
             elif (lang, c.next) in starts and (lang, c.prev) in prev_edge and c.gap != "none":
                 labelled.append((self.indices(lang, c), 1))
+        labelled += [(np.array([_hash(f) for f in c.features[: 3 if c.edge else 5]], np.int64), int(c.edge)) for c in thai if c.edge or c.kind == "figure"]
         self.weights = np.zeros(DIMENSIONS, np.float32)
         self._fit(labelled)
 
@@ -297,7 +313,7 @@ class Model:
                 continue
             found = {c.at for c in candidates(text, a, b, lang) if not c.edge and self.accepts(self.language_at(text, c.at, lang), c)}
             if lang == "th" or THAI.search(text, a, b):
-                found |= set(thai_starts(text, a, b))
+                found |= {c.at for c in thai_candidates(text, a, b) if not c.edge and float(self.weights[[_hash(f) for f in c.features]].sum()) > 0}
             out += sorted(found)
         return out
 
@@ -311,9 +327,20 @@ def _hash(s: str) -> int:
     return h % (DIMENSIONS - 1) + 1
 
 
-def fit(df: DataFrame, row_id: str, text: str, lang: str, rows: int = FIT_ROWS) -> Model:
-    some = df.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.xxhash64(row_id).alias("_h"), F.col(row_id).alias("_i"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
-    return Model([(r["_l"], r["_t"]) for r in some.orderBy("_h", "_i", "_t").limit(rows).collect() if r["_t"].strip()])
+def fit(df: DataFrame, row_id: str, text: str, lang: str, rows: int = FIT_ROWS, characters: int = FIT_CHARACTERS) -> Model:
+    """The model, fitted in one task on a sample bounded in texts and in characters."""
+    some = df.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.xxhash64(row_id).alias("_h"), F.col(row_id).cast("long").alias("_i"), F.col(lang).alias("_l"), F.col(text).alias("_t"))
+    sizes = some.select("_h", "_i", F.length("_t").alias("_n")).orderBy("_h", "_i", "_n").limit(rows).collect()
+    upto = list(itertools.takewhile(lambda total: total <= characters, itertools.accumulate(r["_n"] for r in sizes)))
+    last = sizes[len(upto) - 1] if upto else None
+    few = some.where((F.col("_h") < last["_h"]) | (F.col("_h") == last["_h"]) & (F.col("_i") <= last["_i"])) if last else some.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)) if r[3].strip()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model([(l, t) for _, _, l, t in sorted(read, key=str)]))], pa.binary())], names=["model"])
+
+    made = few.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else Model([])
 
 
 def segment(df: DataFrame, row_id: str, text: str, lang: str, model: Model | None = None) -> DataFrame:

@@ -65,3 +65,12 @@ def test_held_out_boundaries():
                 total += 1
                 right += len(a) + len(gap) in fitted.starts(a + gap + b, r["lang"])
     assert total > 500 and right / total > 0.98, (right, total)
+
+
+def test_the_fit_is_bounded_in_characters(spark):
+    rows = [(k, "en", f"Reef {k} grew. It was warm.\n\nThe sea rose in {k}. Nobody saw.") for k in range(60)] + [(99, None, None), (100, "en", "  ")]
+    df = spark.createDataFrame(rows, "sec_id long, lang string, full_text string")
+    whole, few, none = (op.fit(df, "sec_id", "full_text", "lang", characters=n) for n in (10**9, 400, 1))
+    assert (whole.weights != 0).sum() > (few.weights != 0).sum() > (none.weights != 0).sum() == 0
+    assert op.segment(df, "sec_id", "full_text", "lang", whole).count() >= 120
+    assert op.segment(df.limit(0), "sec_id", "full_text", "lang").count() == 0
