@@ -9,33 +9,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Where none is set, a temporary one, but only in local mode (tests); on a cluster no other node would see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="litloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="litloom-"))
     return sc.getCheckpointDir()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+def release(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` has written so far, for long sessions: what was made from them can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        where = jvm.org.apache.hadoop.fs.Path(_written.pop())
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release(spark)
     except Exception:  # the session is gone: its folder is the cluster's to clean
-        pass
+        _written.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again, without its lineage.
 
     Unlike a checkpoint of rows, the table is columnar: later readers take only the columns they use, and its size is
-    known to the planner. It is removed when the session's Python ends.
+    known to the planner. It stays until ``release`` or the end of the session's Python.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(_release_at_exit, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
