@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from litloom.llm.author_names import TITLES, Trie, forms, is_body, usual_given
 from litloom.llm.glyphs import distance, folded
 from litloom.llm.names import ascii_fold
-from litloom.plans.lineage import cut, hinted
+from litloom.plans.lineage import cut
 
 SHARE = 20_000
 LEAST = 8
@@ -198,10 +198,11 @@ def _keyed(s: DataFrame, name: str, whole: int, begun: int) -> DataFrame:
 def _rule_3(a: DataFrame, b: DataFrame, done: DataFrame) -> DataFrame:
     # Candidates are found on keys alone; what is compared joins those that are still open.
     met = _keyed(a, "id", 2, 3).join(_keyed(b, "id_b", 3, 2), "k").select("id", "id_b").distinct()
-    both = hinted(cut(_still_open(met.join(done.hint("merge"), ["id", "id_b"], "left_anti"), done)), 1_000_000)
+    both = cut(_still_open(met.join(done.hint("merge"), ["id", "id_b"], "left_anti"), done))
     shown = F.struct("words", "rare", "n", "shortened", "families", "year")
-    both = a.select("id", shown.alias("a")).join(both, "id")
-    both = b.select(F.col("id").alias("id_b"), shown.alias("b")).join(hinted(cut(both), 200_000), "id_b")
+    # The candidates grow with the data, so they are merged, never broadcast.
+    both = both.hint("merge").join(a.select("id", shown.alias("a")), "id")
+    both = both.hint("merge").join(b.select(F.col("id").alias("id_b"), shown.alias("b")), "id_b")
     d = both.select("id", "id_b", "a", "b", F.expr("array_except(a.words, b.words)").alias("x"), F.expr("array_except(b.words, a.words)").alias("y"))
     part = lambda p, q, side: f"(size({p}) = 0 and size({q}) > 0 and {side[0]}.n < {side[1]}.n and size({q}) <= 4 and size(array_except({side[0]}.words, slice({side[1]}.words, 1, {side[0]}.n + 1))) = 0 or {side[0]}.shortened and size({p}) = 1 and {side[0]}.n <= {side[1]}.n and exists({q}, w -> startswith(w, substring(get({p}, 0), 1, greatest(1, length(get({p}, 0)) - 1)))))"
     slip = "size(x) <= 1 and size(y) <= 1 and abs(a.n - b.n) <= 1 and (size(array_intersect(x, a.rare)) = 1 or size(array_intersect(y, b.rare)) = 1) and (size(x) = 0 or size(y) = 0 or levenshtein(get(x, 0), get(y, 0), 3) between 0 and 3)"
