@@ -26,6 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces remembered by a worker before it starts afresh; bounds memory, not results.
 MEMO = 400_000
+#: Longer pieces hardly come again and aren't remembered.
+MEMO_LENGTH = 64
 
 
 def _byte_symbols() -> dict[str, str]:
@@ -141,7 +143,9 @@ class ByteBPE:
                 if len(memo) >= MEMO:
                     memo.clear()
                     self.beside.clear()
-                got = memo[piece] = self.encode_piece(piece)
+                got = self.encode_piece(piece)
+                if len(piece) <= MEMO_LENGTH:
+                    memo[piece] = got
             out += got
         return out
 
