@@ -8,6 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of all kinds, also such as the engine's ``\\s`` leaves out.
+SPACE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+#: Letters and digits as ``\\w`` should know them: the engines' word boundaries differ outside of ASCII.
+LETTER = "[\\p{L}\\p{M}\\p{N}_]"
+
+
+def clean(c: Column) -> Column:
+    """Runs of white space of any kind as one space, none at the ends; '' for null."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
+
+
+def bare(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def word(pattern: str) -> str:
+    """A pattern that begins and ends at a word's edge, in classes that all engines read alike."""
+    return f"(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:{pattern})(?:[^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends (SQL's ``trim`` takes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -32,8 +54,9 @@ def contains_any(c: Column, words: Sequence[str]) -> Column:
 
 
 def keyword_sentences(text: Column, words: Sequence[str]) -> Column:
-    """Stripped sentences of a text that hold a keyword, whatever its case."""
-    return F.transform(F.filter(sentences(text), lambda s: contains_any(F.lower(s), words)), strip)
+    """Stripped sentences of a text that hold a keyword, whatever its case; each sentence is brought to lower case once."""
+    both = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("l")))
+    return F.transform(F.filter(both, lambda x: contains_any(x["l"], words)), lambda x: strip(x["s"]))
 
 
 def first_distinct(items: Column, key_chars: int = 120) -> Column:
@@ -75,8 +98,8 @@ def html_escaped(c: Column) -> Column:
 
 def inline_markup(c: Column) -> Column:
     """Escaped text whose ``**x**`` and ``==x==`` became highlighted spans."""
-    span = '<span class="highlight">$1</span>'
-    return F.regexp_replace(F.regexp_replace(html_escaped(c), r"\*\*(.+?)\*\*", span), r"==(.+?)==", span)
+    span = '<span class="text-highlight">$1</span>'
+    return F.regexp_replace(F.regexp_replace(html_escaped(c), r"\*\*([^\n]+?)\*\*", span), r"==([^\n]+?)==", span)
 
 
 def normalised_name(c: Column) -> Column:

@@ -44,3 +44,8 @@ def top_blocks(found: DataFrame, key: str, most: int = 12) -> DataFrame:
     """The weightiest blocks of each document, ties in text order."""
     w = Window.partitionBy(key).orderBy(F.desc("importance"), "pos")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def of_type(found: DataFrame, kind: str) -> DataFrame:
+    """The blocks of a type."""
+    return found.where(F.col("type") == kind)

@@ -90,14 +90,66 @@ def above_score(caption: Column, image: Column, page_width: float, page_height:
     return F.when(fits, F.round(0.4 * overlap + 0.4 * near + rest, 6))
 
 
-def best_above(captions: DataFrame, images: DataFrame, page: Sequence[str], caption_id: str, image_id: str, page_width: float, page_height: float, least: float = 0.3, other: bool = False) -> DataFrame:
-    """Each caption with the image of its page that scores best, if above ``least``: an equi join on the page, then the top one."""
+def best_above(captions: DataFrame, images: DataFrame, page: Sequence[str], caption_id: str, image_id: str, page_width: float, page_height: float, least: float = 0.3, other: bool = False, slack: float = 5.0, confidence: str | None = None, column: tuple[float, float] | None = None) -> DataFrame:
+    """Each caption with the image (or, with a confidence, the region) of its page that scores best, if above ``least``: an equi join on the page, then the top one.
+
+    With ``column``, only boxes count whose middle lies in the caption's column.
+    """
     both = captions.join(images, list(page))
-    pairs = (both.where(F.col(caption_id) != F.col(image_id)) if other else both).withColumn("score", above_score(F.col("caption_box"), F.col("image_box"), page_width, page_height)).where(F.col("score") > least)
+    if other:
+        both = both.where(F.col(caption_id) != F.col(image_id))
+    score = above_score(F.col("caption_box"), F.col("image_box"), page_width, page_height, slack, F.col(confidence) if confidence else None, column)
+    pairs = both.withColumn("score", score).where(F.col("score") > least)
     top = pairs.groupBy(*page, caption_id).agg(F.min_by(F.struct(image_id, "score"), F.struct((-F.col("score")).alias("a"), F.col(image_id).alias("b"))).alias("_x"))
     return top.select(*page, caption_id, f"_x.{image_id}", "_x.score")
 
 
+def padded_union(images: DataFrame, page: Sequence[str], box: str, page_width: float, page_height: float, share: float = 0.05, pad: float = 15.0) -> DataFrame:
+    """``page, x0, y0, x1, y1, n_boxes``: one box around a page's images, those of no size left out, padded and kept on the page."""
+    b = F.col(box)
+    some = images.where((width(b) > page_width * share) & (height(b) > page_height * share))
+    u = group_box(some, page, box)
+    return u.select(*page, F.greatest(F.lit(0.0), F.col("x0") - pad).alias("x0"), F.greatest(F.lit(0.0), F.col("y0") - pad).alias("y0"), F.least(F.lit(page_width), F.col("x1") + pad).alias("x1"), F.least(F.lit(page_height), F.col("y1") + pad).alias("y1"), "n_boxes")
+
+
+def by_number(captions: DataFrame, number: str = "number", kind: str = "figure_type", *ties: str) -> DataFrame:
+    """Captions by number, then type."""
+    return captions.orderBy(number, kind, *ties)
+
+
+def by_confidence(regions: DataFrame, confidence: str, *ties: str) -> DataFrame:
+    """Regions by confidence, the surest first."""
+    return regions.orderBy(F.col(confidence).desc(), *ties)
+
+
+def large_unclaimed(images: DataFrame, claimed: DataFrame, key: Sequence[str], box: str, page_width: float, page_height: float, least: float = 0.02) -> DataFrame:
+    """Images of at least a share of the page that no caption has claimed yet: a filter and an anti join."""
+    return images.where(area(F.col(box)) >= least * page_width * page_height).join(claimed.select(*key), list(key), "left_anti")
+
+
+def of_number(figures: DataFrame, key: Sequence[str], number: str, wanted: int, order: str) -> DataFrame:
+    """The first figure of a number in each paper, without its picture."""
+    rest = [c for c in figures.columns if c not in (*key, "image")]
+    first = figures.where(F.col(number) == wanted).groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_x"))
+    return first.select(*key, *(F.col(f"_x.{c}").alias(c) for c in rest))
+
+
+def labels_of(*found: Column) -> Column:
+    """The lower-cased labels that several patterns found, each once, sorted: a union of sets."""
+    out = F.array().cast("array<string>")
+    for c in found:
+        out = F.array_union(out, F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
+    return F.array_sort(out)
+
+
+def best_per_letter(found: DataFrame, key: Sequence[str], letter: str, confidence: str, order: str, least: float = 35.0) -> DataFrame:
+    """Of each letter the surest reading above the least confidence; of equal ones the first."""
+    rest = [c for c in found.columns if c not in (*key, letter)]
+    some = found.where(F.col(confidence) > least)
+    top = some.groupBy(*key, letter).agg(F.min_by(F.struct(*rest), F.struct((-F.col(confidence)).alias("a"), F.col(order).alias("b"))).alias("_x"))
+    return top.select(*key, letter, *(F.col(f"_x.{c}").alias(c) for c in rest))
+
+
 def column_of(x: Column, bounds: Sequence[tuple[float, float]]) -> Column:
     """The first column that holds a position, else 0."""
     out = F.lit(0)
@@ -246,18 +298,30 @@ def claimed_images(scored: DataFrame, page: Sequence[str], caption_id: str, imag
     return _per_page(scored, page, f"{_names(scored, *page, caption_id, image_id)}, score double", of_page)
 
 
-def label_rows(labels: DataFrame, page: Sequence[str], share: float = 0.15) -> DataFrame:
-    """Labels clustered to rows: one joins the row whose mean height lies within ``share`` of the image's height."""
+def label_rows(labels: DataFrame, page: Sequence[str], share: float = 0.15, by: str = "mean") -> DataFrame:
+    """Labels in reading order and the row each falls to.
+
+    In reading order, rows begin at the first label that lies more than ``share`` of the image's height below the row's
+    first one. With ``by="mean"`` the labels so ordered are clustered anew: one joins the row before it if it lies within
+    ``share`` of that row's mean height.
+    """
 
     def of_page(rows: list[dict]) -> list[tuple]:
-        heights: list[list[float]] = []
-        out = []
         limit = share * rows[0]["height"]
+        lines: list[list[dict]] = []
         for r in sorted(rows, key=lambda r: (r["y"], r["x"], r["label"])):
-            k = next((k for k, ys in enumerate(heights) if abs(r["y"] - sum(ys) / len(ys)) <= limit), len(heights))
-            if k == len(heights):
-                heights.append([])
-            heights[k].append(r["y"])
+            if lines and r["y"] - lines[-1][0]["y"] <= limit:
+                lines[-1].append(r)
+            else:
+                lines.append([r])
+        ordered = [(k, r) for k, line in enumerate(lines) for r in sorted(line, key=lambda r: r["x"])]
+        if by == "first":
+            return [(r["label"], k) for k, r in ordered]
+        out, heights, k = [], [], 0
+        for _, r in ordered:
+            if heights and abs(r["y"] - sum(heights) / len(heights)) > limit:
+                heights, k = [], k + 1
+            heights.append(r["y"])
             out.append((r["label"], k))
         return out
 

@@ -1,6 +1,7 @@
 """Text to sections, sentences, classified insights and coverage scores.
 
-Everything is one projection per document; no operator here shuffles but the summaries, which group by document.
+Everything is one projection per document: insights, coverage and the batch summary are columns beside each other, and
+nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -37,55 +38,111 @@ def section(text: Column, name: str, headings: Mapping[str, tuple[str, str]] = V
     return F.when(F.size(parts) > 1, F.substring(text, start + 1, end - start))
 
 
-def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and one column per section."""
-    return df.select(key, F.col(text).alias("full_text"), *(section(F.col(text), n).alias(n) for n in V.HEADINGS))
+def sections(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """``key`` and one column per section, with the columns to keep."""
+    return df.select(key, *keep, F.col(text).alias("full_text"), *(section(F.col(text), n).alias(n) for n in V.HEADINGS))
 
 
-def _together(*cols: str) -> Column:
-    return F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in cols))
+#: Sections are renamed so before fields are selected beside them: some fields and sections share a name.
+APART = "s_"
 
 
-def _joined(hits: Column) -> Column:
-    return F.array_join(hits, ". ")
+def _apart(secs: DataFrame) -> DataFrame:
+    return secs.withColumnsRenamed({n: APART + n for n in ("full_text", *V.HEADINGS)})
 
 
-def research_insights(secs: DataFrame, key: str, words: Mapping[str, Sequence[str]] = V.RESEARCH) -> DataFrame:
-    """The six fields of a research paper, each as an array (empty where nothing is found)."""
+def _together(*cols: str) -> Column:
+    return F.concat_ws(" ", *(F.coalesce(F.col(APART + c), F.lit("")) for c in cols))
+
+
+# The section whose presence adds to a field's coverage, and whether the field is a list.
+RESEARCH_FIELDS = {
+    "research_problem": ("introduction", False),
+    "methodology": ("methodology", False),
+    "key_results": ("results", True),
+    "innovation": ("discussion", True),
+    "application": ("conclusion", False),
+    "limitations": ("discussion", True),
+}
+REVIEW_FIELDS = {
+    "review_scope": ("introduction", True),
+    "review_type": ("full_text", False),
+    "taxonomy": ("taxonomy", True),
+    "literature_selection": ("selection", True),
+    "major_themes": ("discussion", True),
+    "consensus_findings": ("results", True),
+    "controversies": ("discussion", True),
+    "evidence_quality": ("limitations", True),
+    "research_gaps": ("future", True),
+    "future_directions": ("future", True),
+    "key_tables_figures": ("full_text", True),
+}
+TALK = ("discussion", "limitations", "future", "conclusion")
+#: Of each field of a review: the sections it is looked for in, its keywords, the most sentences.
+REVIEW_SCOPES = {
+    "review_scope": (("abstract", "introduction"), "scope", 3),
+    "taxonomy": (("taxonomy", "full_text"), "taxonomy", 5),
+    "literature_selection": (("selection", "methodology"), "selection", 5),
+    "major_themes": (("abstract", "introduction", "taxonomy", *TALK), "themes", 5),
+    "consensus_findings": (("results", *TALK), "consensus", 4),
+    "controversies": ((*TALK, "full_text"), "controversies", 4),
+    "evidence_quality": (("limitations", "selection", *TALK), "evidence_quality", 4),
+    "research_gaps": (TALK, "gaps", 5),
+    "future_directions": (("future", "conclusion"), "future", 4),
+}
+
+
+def research_columns(words: Mapping[str, Sequence[str]] = V.RESEARCH) -> dict[str, Column]:
+    """The six fields of a research paper over the columns of ``sections`` (set apart), each as an array (empty where nothing is found)."""
     hits = lambda scope, name: T.keyword_sentences(scope, words[name])
     scalar = lambda picked, n: F.array_compact(F.array(T.summary(F.array_join(picked, " "), n)))
-    col = lambda c: F.coalesce(F.col(c), F.lit(""))
-    problem = hits(col("introduction"), "problem")
+    problem = hits(_together("introduction"), "problem")
     last_two = F.slice(problem, F.greatest(F.size(problem) - 1, F.lit(1)), 2)
     ends, turned = _together("discussion", "conclusion"), _together("conclusion", "discussion")
-    return secs.select(
-        key,
-        scalar(last_two, 2).alias("research_problem"),
-        scalar(F.slice(hits(col("methodology"), "methodology"), 1, 3), 3).alias("methodology"),
-        F.filter(F.slice(hits(col("results"), "results"), 1, 5), lambda s: s.rlike(r"\d")).alias("key_results"),
-        F.slice(hits(ends, "innovation"), 1, 3).alias("innovation"),
-        scalar(F.slice(hits(turned, "application"), 1, 2), 2).alias("application"),
-        F.slice(hits(ends, "limitations"), 1, 2).alias("limitations"),
-    )
+    return {
+        "research_problem": scalar(last_two, 2),
+        "methodology": scalar(F.slice(hits(_together("methodology"), "methodology"), 1, 3), 3),
+        "key_results": F.filter(F.slice(hits(_together("results"), "results"), 1, 5), lambda s: s.rlike(r"\d")),
+        "innovation": F.slice(hits(ends, "innovation"), 1, 3),
+        "application": scalar(F.slice(hits(turned, "application"), 1, 2), 2),
+        "limitations": F.slice(hits(ends, "limitations"), 1, 2),
+    }
+
+
+def review_columns(words: Mapping[str, Sequence[str]] = V.REVIEW) -> dict[str, Column]:
+    """The eleven fields of a review over the columns of ``sections`` (set apart), each as an array."""
+    found = {f: T.compact_hits(_together(*scope), words[w], n) for f, (scope, w, n) in REVIEW_SCOPES.items()}
+    found |= {"review_type": F.array(review_type(F.col(f"{APART}full_text"))), "key_tables_figures": key_captions(F.col(f"{APART}full_text"))}
+    return {f: found[f] for f in REVIEW_FIELDS}
+
+
+def research_insights(secs: DataFrame, key: str, words: Mapping[str, Sequence[str]] = V.RESEARCH) -> DataFrame:
+    return _apart(secs).select(key, *(c.alias(f) for f, c in research_columns(words).items()))
 
 
 def review_insights(secs: DataFrame, key: str, words: Mapping[str, Sequence[str]] = V.REVIEW) -> DataFrame:
-    """The fields of a review."""
-    # Fields and sections share names, so the sections are set apart first.
-    secs = secs.select(key, *(F.col(c).alias(f"s_{c}") for c in ("full_text", *V.HEADINGS)))
-    talk = ("discussion", "limitations", "future", "conclusion")
-    fields = {
-        "review_scope": (("abstract", "introduction"), "scope", 3),
-        "taxonomy": (("taxonomy", "full_text"), "taxonomy", 5),
-        "literature_selection": (("selection", "methodology"), "selection", 5),
-        "major_themes": (("abstract", "introduction", "taxonomy", *talk), "themes", 5),
-        "consensus_findings": (("results", *talk), "consensus", 4),
-        "controversies": ((*talk, "full_text"), "controversies", 4),
-        "evidence_quality": (("limitations", "selection", *talk), "evidence_quality", 4),
-        "research_gaps": (talk, "gaps", 5),
-        "future_directions": (("future", "conclusion"), "future", 4),
-    }
-    return secs.select(key, *(T.compact_hits(_together(*(f"s_{x}" for x in scope)), words[w], n).alias(f) for f, (scope, w, n) in fields.items()), key_captions(F.col("s_full_text")).alias("key_tables_figures"))
+    return _apart(secs).select(key, *(c.alias(f) for f, c in review_columns(words).items()))
+
+
+def insights(secs: DataFrame, key: str, review: Column, *keep: str) -> DataFrame:
+    """``key``, kept columns, ``core`` and ``coverage``: of research papers their six fields, of reviews their eleven, with the coverage of each in tenths.
+
+    One projection after another over the same row. The fields of the other kind are null; only one kind is computed.
+    """
+    has = {n: F.length(F.col(APART + n)) > 0 for n in ("full_text", *V.HEADINGS)}
+    kinds = ((RESEARCH_FIELDS, research_columns(), ~F.col("_review")), (REVIEW_FIELDS, review_columns(), F.col("_review")))
+    found = [F.when(of, F.struct(*(cols[f].alias(f) for f in fields))).alias(f"_c{k}") for k, (fields, cols, of) in enumerate(kinds)]
+    flags = F.struct(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in has.items())).alias("_has")
+    both = _apart(secs.withColumn("_review", review)).select(key, *keep, "_review", flags, *found)
+    scores = [coverage_tenths(F.col(f"_c{k}")[f], F.col("_has")[n], many).alias(f) for k, (fields, _, _) in enumerate(kinds) for f, (n, many) in fields.items()]
+    core = F.struct(*(F.col(f"_c{k}")[f].alias(f) for k, (fields, _, _) in enumerate(kinds) for f in fields))
+    kind = F.when(F.col("_review"), F.lit("review")).otherwise(F.lit("research"))
+    return both.select(key, *keep, kind.alias("paper_type"), core.alias("core"), F.struct(*scores).alias("coverage"))
+
+
+def batch_summary(found: DataFrame, key: str, *keep: str) -> DataFrame:
+    """One row per document: its type and the coverage of all seventeen fields in tenths, 0 for those of the other type."""
+    return found.select(key, *keep, "paper_type", *(F.coalesce(F.col("coverage")[f], F.lit(0)).alias(f) for f in (*RESEARCH_FIELDS, *REVIEW_FIELDS)))
 
 
 def key_captions(text: Column, terms: Sequence[str] = V.KEY_CAPTION_TERMS, most: int = 6) -> Column:
@@ -93,10 +150,11 @@ def key_captions(text: Column, terms: Sequence[str] = V.KEY_CAPTION_TERMS, most:
     return F.slice(F.filter(found, lambda c: T.contains_any(F.lower(c), terms)), 1, most)
 
 
-def paper_type(front: Column, signs: Sequence[str] = V.REVIEW_SIGNS, research: str = V.RESEARCH_SIGN, chars: int = 8000) -> Column:
-    """``review`` if a sign of one stands in the first characters, and as many as signs of research."""
-    low = F.lower(F.substring(front, 1, chars))
-    hits = sum((low.rlike(rf"\b{s}\b").cast("int") for s in signs), F.lit(0))
+def paper_type(text: Column, title: Column | None = None, signs: Sequence[str] = V.REVIEW_SIGNS, research: str = V.RESEARCH_SIGN, chars: int = 8000) -> Column:
+    """``review`` if a sign of one stands in the title or the text's first characters, and as many as signs of research."""
+    front = F.concat_ws("\n", F.coalesce(title, F.lit("")) if title is not None else F.lit(""), F.substring(text, 1, chars))
+    low = F.lower(front)
+    hits = sum((low.rlike(T.word(s)).cast("int") for s in signs), F.lit(0))
     return F.when((hits >= 1) & (hits >= F.regexp_count(low, F.lit(research))), F.lit("review")).otherwise(F.lit("research"))
 
 
@@ -107,21 +165,14 @@ def review_type(text: Column, chars: int = 12000) -> Column:
 def coverage_tenths(values: Column, section_found: Column, is_list: bool) -> Column:
     """Coverage of a field in tenths: 5 if found, 2 more for a list or more than 50 characters, 3 more with its section."""
     rich = F.lit(2) if is_list else F.when(F.length(F.element_at(values, 1)) > 50, 2).otherwise(0)
-    return F.when(F.size(values) == 0, 0).otherwise(F.least(F.lit(10), F.lit(5) + rich + F.when(section_found, 3).otherwise(0))).cast("int")
-
-
-def research_coverage(secs: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``key, field, tenths``: the coverage of each field of a research paper."""
-    of = {"research_problem": ("introduction", False), "methodology": ("methodology", False), "key_results": ("results", True), "innovation": ("discussion", True), "application": ("conclusion", False), "limitations": ("discussion", True)}
-    both = found.join(secs.select(key, *(F.col(n).isNotNull().alias(f"_{n}") for n in ("introduction", "methodology", "results", "discussion", "conclusion"))), key)
-    scored = F.array(*(F.struct(F.lit(f).alias("field"), coverage_tenths(F.col(f), F.col(f"_{n}"), many).alias("tenths")) for f, (n, many) in of.items()))
-    return both.select(key, F.explode(scored).alias("x")).select(key, "x.field", "x.tenths")
+    return F.when(F.coalesce(F.size(values), F.lit(0)) < 1, 0).otherwise(F.least(F.lit(10), F.lit(5) + rich + F.when(section_found, 3).otherwise(0))).cast("int")
 
 
-def coverage_wide(long: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """One row per document with a column per field, absent ones 0: the batch summary."""
-    wide = long.groupBy(key).pivot("field", list(fields)).agg(F.first("tenths"))
-    return wide.select(key, *(F.coalesce(F.col(f), F.lit(0)).cast("int").alias(f) for f in fields))
+def research_coverage(secs: DataFrame, key: str) -> DataFrame:
+    """``key`` and the coverage in tenths of each field of a research paper: columns beside the insights, without a join."""
+    flags = [F.col(APART + n).isNotNull().alias(f"_has_{n}") for n in dict.fromkeys(n for n, _ in RESEARCH_FIELDS.values())]
+    both = _apart(secs).select(key, *flags, *(c.alias(f) for f, c in research_columns().items()))
+    return both.select(key, *(coverage_tenths(F.col(f), F.col(f"_has_{n}"), many).alias(f) for f, (n, many) in RESEARCH_FIELDS.items()))
 
 
 def byline_names(text: Column, lines: int = 50, most: int = 3) -> Column:
@@ -149,4 +200,15 @@ def doi_of(text: Column, strict: bool = False) -> Column:
 
 
 def error_kind(message: Column) -> Column:
-    return T.ladder(F.lower(message), ((("password", "encrypt"), "pdf_encrypted"), (("corrupt", "invalid", "eof"), "pdf_corrupt")), "unknown")
+    """The kind of an extraction error by its message; what memory or decoding raised is told by the exception's name."""
+    return T.ladder(F.lower(message), ERROR_KINDS, "unknown")
+
+
+# Signs of each kind of error, in order.
+ERROR_KINDS = (
+    (("memoryerror", "out of memory"), "pdf_too_large"),
+    (("unicodedecodeerror", "codec can't decode"), "encoding"),
+    (("no text", "text layer"), "no_text"),
+    (("password", "encrypt"), "pdf_encrypted"),
+    (("corrupt", "invalid", "eof"), "pdf_corrupt"),
+)

@@ -1,18 +1,14 @@
-"""Reference library: children, fuzzy titles, item lines, imports."""
+"""Reference library: children, titles that resemble each other, item lines, imports."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Sequence
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from litloom.plans.lineage import cut, shuffle_partitions
-
 
 def has_children(items: DataFrame, children: DataFrame, key: str, present: bool = True) -> DataFrame:
     """Items with (or without) a child: a semi (or anti) join, children need not be unique."""
@@ -42,53 +38,6 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
-def _resembling(left: list[str], right: DataFrame, least: float) -> DataFrame:
-    """``_t1, _t2, ratio`` of the pairs of ``left`` and the titles of ``right``."""
-    shared = right.sparkSession.sparkContext.broadcast(left)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from difflib import SequenceMatcher
-
-        from litloom.functions.resemblance import Signed, candidates
-
-        mine = None
-        for b in batches:
-            if not b.num_rows or not shared.value:
-                continue
-            mine = mine or Signed(shared.value)
-            other = Signed(b.column(0).to_pylist())
-            rows = []
-            for x, y in candidates(mine, other, least):
-                for t1, t2 in ((mine.texts[i], other.texts[j]) for i, j in zip(x, y)):
-                    if (r := SequenceMatcher(None, t1, t2).ratio()) > least:
-                        rows.append((t1, t2, r))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["_t1", "_t2", "ratio"])
-
-    return right.mapInArrow(run, "_t1 string, _t2 string, ratio double")
-
-
-SLICE = 200_000
-
-
-def fuzzy_titles(left: DataFrame, right: DataFrame, left_title: str, right_title: str, least: float) -> DataFrame:
-    """All pairs whose titles' ratio exceeds ``least``, case aside; an empty title resembles none.
-
-    Different titles are compared once each, through bounds that no such pair fails (``functions.resemblance``). Up to
-    ``SLICE`` titles of the left go to all tasks at a time, so memory is bounded; the work grows with the product of both
-    sides' different titles, as a pair above the ratio need not share a single word.
-    """
-    lefts, rights = (df.withColumn(k, F.lower(c)).where(f"{k} <> ''") for df, k, c in ((left, "_t1", left_title), (right, "_t2", right_title)))
-    mine = cut(lefts.select("_t1").distinct())
-    other = cut(rights.select("_t2").distinct())
-    slices = max(1, -(-mine.count() // SLICE))
-    parts = []
-    for k in range(slices):
-        titles = [r[0] for r in mine.where(F.pmod(F.xxhash64("_t1"), F.lit(slices)) == k).toLocalIterator()]
-        parts.append(_resembling(titles, other.repartition(4 * shuffle_partitions(right), "_t2"), least))
-    pairs = cut(reduce(DataFrame.union, parts))
-    return lefts.join(pairs, "_t1").join(rights, "_t2").drop("_t1", "_t2")
-
-
 def creators_line(names: Column, most: int = 3) -> Column:
     """Last names of the first creators and ``et al.``; a name that is missing shows as ``?``."""
     last = F.transform(F.slice(names, 1, most), lambda n: F.coalesce(F.nullif(F.element_at(F.split(F.trim(n), " "), -1), F.lit("")), F.lit("?")))
@@ -113,10 +62,56 @@ def isbn(c: Column) -> Column:
 
 
 def split_name(name: Column) -> Column:
-    """``struct(first, last)`` at the last space."""
-    last = F.element_at(F.split(F.trim(name), " "), -1)
-    first = F.trim(F.substring(F.trim(name), F.lit(1), F.length(F.trim(name)) - F.length(last)))
-    return F.struct(first.alias("first"), last.alias("last"))
+    """``struct(last, first)`` of a name written family name first, parted at its first space."""
+    parts = F.split(F.coalesce(name, F.lit("")), " ", 2)
+    return F.struct(F.element_at(parts, 1).alias("last"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("first"))
+
+
+def item_line(key: Column, names: Column, date: Column, title: Column, kind: Column) -> Column:
+    """An item in one line: its key, creators, year, title and type."""
+    or_ = lambda c, d: F.coalesce(c, F.lit(d))
+    return F.concat(F.lit("["), or_(key, "?"), F.lit("] "), or_(creators_line(names), ""), F.lit(" ("), or_(leading_year(date), ""), F.lit(") "), or_(title, "untitled"), F.lit(" ["), or_(kind, "?"), F.lit("]"))
+
+
+SUMMARY = "title string, fulljournalname string, volume string, issue string, pages string, pubdate string, articleids array<struct<idtype string, value string>>, authors array<struct<name string, authtype string>>"
+
+
+def summary_item(body: Column) -> Column:
+    """A library item from a summary's JSON: names split at their first space, only those marked as authors; the last identifier of a type counts."""
+    w = F.from_json(body, SUMMARY)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    dois = F.transform(F.filter(w["articleids"], lambda i: i["idtype"] == "doi"), lambda i: i["value"])
+    people = F.transform(F.filter(F.coalesce(w["authors"], F.from_json(F.lit("[]"), "array<struct<name string, authtype string>>")), lambda a: a["authtype"] == "Author"), lambda a: F.struct(F.lit("author").alias("creatorType"), split_name(a["name"])["last"].alias("lastName"), split_name(a["name"])["first"].alias("firstName")))
+    return F.struct(F.lit("journalArticle").alias("itemType"), text(w["title"]).alias("title"), people.alias("creators"), text(w["pubdate"]).alias("date"), text(F.get(dois, F.size(dois) - 1)).alias("DOI"), text(w["fulljournalname"]).alias("publicationTitle"), text(w["volume"]).alias("volume"), text(w["issue"]).alias("issue"), text(w["pages"]).alias("pages"))
+
+
+NOT_WORKS = ("attachment", "note")
+
+
+def without_doi(items: DataFrame, doi: str, kind: str) -> DataFrame:
+    """Items that are works and lack a DOI."""
+    return items.where((F.coalesce(F.col(doi), F.lit("")) == "") & ~F.coalesce(F.col(kind), F.lit("")).isin(*NOT_WORKS))
+
+
+def checked_citations(citations: DataFrame, citation: str, resolved: str, library: DataFrame, title: str, order: str, least: float = 0.6) -> DataFrame:
+    """Citations with ``in_library`` and the library's row ``_item``: the resolved title resembles the citation and is, case aside, a title of the library, whose last row of that title counts.
+
+    An equi join on the title; the ratio is asked only of citations that have a resolved title, once each. A citation
+    without one, or with a title that the library lacks, is missing.
+    """
+    last = library.groupBy(F.lower(F.coalesce(F.col(title), F.lit(""))).alias("_t")).agg(F.max_by(F.struct(*library.columns), F.col(order)).alias("_item"))
+    low = F.lower(F.coalesce(F.col(resolved), F.lit("")))
+    asked = citations.withColumn("_t", F.when(ratio_bound(F.lower(citation), low) > least, low)).join(last, "_t", "left")
+    ok = F.col("_item").isNotNull() & (ratio(F.when(F.col("_item").isNotNull(), F.lower(citation)), F.col("_t")) > least)
+    flagged = asked.withColumn("in_library", F.coalesce(ok, F.lit(False)))
+    return flagged.select(*citations.columns, "in_library", F.when(F.col("in_library"), F.col("_item")).alias("_item"))
+
+
+def completed_dois(items: DataFrame, title: str, doi: str, kind: str, candidate_title: str, candidate_doi: str, least: float = 0.85) -> DataFrame:
+    """Works without a DOI and the DOI of their candidate, if that has one and its title resembles theirs, case aside."""
+    works = without_doi(items, doi, kind).where(F.length(title) > 0).where(F.length(candidate_doi) > 0)
+    a, b = F.lower(title), F.lower(F.coalesce(F.col(candidate_title), F.lit("")))
+    return works.where(ratio_bound(a, b) > least).withColumn("_r", ratio(a, b)).where(F.col("_r") > least).withColumn("found_doi", F.col(candidate_doi)).drop("_r")
 
 
 WORK = "DOI string, title array<string>, `container-title` array<string>, volume string, issue string, page string, ISSN array<string>, author array<struct<given string, family string>>, issued struct<`date-parts` array<array<int>>>"
@@ -129,3 +124,29 @@ def work_item(body: Column) -> Column:
     date = F.array_join(F.transform(F.get(w["issued"]["date-parts"], F.lit(0)), lambda x: x.cast("string")), "-")
     people = F.transform(w["author"], lambda a: F.struct(F.lit("author").alias("creatorType"), F.coalesce(a["given"], F.lit("")).alias("firstName"), F.coalesce(a["family"], F.lit("")).alias("lastName")))
     return F.struct(F.lit("journalArticle").alias("itemType"), first(w["title"]).alias("title"), people.alias("creators"), F.coalesce(date, F.lit("")).alias("date"), F.coalesce(w["DOI"], F.lit("")).alias("DOI"), first(w["container-title"]).alias("publicationTitle"), F.coalesce(w["volume"], F.lit("")).alias("volume"), F.coalesce(w["issue"], F.lit("")).alias("issue"), F.coalesce(w["page"], F.lit("")).alias("pages"), first(w["ISSN"]).alias("ISSN"))
+
+
+def found_items(items: DataFrame, needle: str, columns: Sequence[str], order: str, most: int = 25) -> DataFrame:
+    """The first items that hold the needle, attachments and notes included."""
+    from litloom.operators.pages import searched
+
+    return searched(items, columns, needle).orderBy(order).limit(most)
+
+
+def item_of(items: DataFrame, key: str, wanted: str) -> DataFrame:
+    """The item of a key as JSON."""
+    return items.where(F.col(key) == wanted).select(F.to_json(F.struct(*items.columns)).alias("item"))
+
+
+def collection_line(key: Column, name: Column, n: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(key, F.lit("?")), F.lit("] "), F.coalesce(name, F.lit("untitled")), F.lit(" ("), F.coalesce(n, F.lit(0)).cast("string"), F.lit(" items)"))
+
+
+def child_line(key: Column, kind: Column, title: Column, file_name: Column) -> Column:
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.concat(F.lit("["), F.coalesce(key, F.lit("?")), F.lit("] "), F.coalesce(kind, F.lit("?")), F.lit(": "), F.coalesce(some(title), some(file_name), F.lit("untitled")))
+
+
+def tags_of(items: DataFrame, tags: str) -> DataFrame:
+    """The different tags of all items."""
+    return items.select(F.explode(tags).alias("tag")).where("tag is not null").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from litloom.functions import text as T
 from litloom.functions import vocabulary as V
 
+# Lines that open a section, and bullets.
 SECTION_LINE = r"^(?:\d+[.、．]\s*|#{1,3}\s+|[一二三四五六七八九十]+、)(\S.*)$"
 BULLET = r"^\s*(?:[-*•·]|\(\d+\)|（\d+）)\s+"
 
@@ -111,6 +112,30 @@ def frontmatter(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_inline(front: Column, inline: Column) -> Column:
+    """A deck's head: the values of its inline lines, those of its block between ``---`` lines before them."""
+    return F.map_concat(F.map_filter(inline, lambda k, _: ~F.map_contains_key(front, k)), front)
+
+
+def inline_head(text: Column, keys: Mapping[str, Sequence[str]] = META_KEYS, first_lines: int = 20) -> Column:
+    """``map`` of the fields that the first lines name by an exact key; the last line of a field counts."""
+    pattern = "^([^:：]*)[:：]([^\\n]*)$"
+    rows = F.transform(F.slice(F.split(text, T.LINE_END), 1, first_lines), T.bare)
+    name = lambda l: F.lower(T.bare(F.regexp_extract(l, pattern, 1)))
+    field = F.lit(None).cast("string")
+    known = [(w, f) for f, words in keys.items() for w in words]
+
+    def of(l: Column) -> Column:
+        out = field
+        for w, f in known:
+            out = F.when(name(l) == w, F.lit(f)).otherwise(out)
+        return out
+
+    pairs = F.filter(F.transform(rows, lambda l: F.struct(of(l).alias("k"), T.bare(F.regexp_extract(l, pattern, 2)).alias("v"))), lambda p: p["k"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
 def warnings(title: Column, author: Column, n_sections: Column) -> Column:
     blank = lambda c: F.coalesce(T.strip(c), F.lit("")) == ""
     return F.array_compact(F.array(F.when(blank(title), F.lit("missing title")), F.when(blank(author), F.lit("missing author")), F.when(F.coalesce(n_sections, F.lit(0)) == 0, F.lit("missing sections"))))
@@ -126,10 +151,11 @@ def title_fit(title: Column, subtitle: Column | None = None) -> Column:
     return out
 
 
-def motif(title: Column, body: Column) -> Column:
-    """The motif that the title calls for, else the whole text, else the general one."""
-    in_title = T.ladder(F.lower(title), MOTIF_STEPS, "")
-    return F.coalesce(F.nullif(in_title, F.lit("")), T.ladder(F.lower(F.concat_ws(" ", title, body)), MOTIF_STEPS, "motif-general"))
+def motif(title: Column, body: Column, subtitle: Column | None = None) -> Column:
+    """The motif that the title and subtitle call for, else the whole text, else the general one."""
+    top = title if subtitle is None else F.concat_ws(" ", title, subtitle)
+    in_title = T.ladder(F.lower(top), MOTIF_STEPS, "")
+    return F.coalesce(F.nullif(in_title, F.lit("")), T.ladder(F.lower(F.concat_ws(" ", top, body)), MOTIF_STEPS, "motif-general"))
 
 
 def density(n_bullets: Column) -> Column:
@@ -145,11 +171,3 @@ def nav_window(sections: Column, current: Column, size: int = 5) -> Column:
     """``size`` sections around the current one (from 0), moved to stay inside the list."""
     start = F.greatest(F.lit(1), F.least(current - F.lit(size // 2) + 1, F.size(sections) - size + 1))
     return F.slice(sections, start, size)
-
-
-def slide_html(kind: Column, title: Column, bullets: Column) -> Column:
-    """One slide as HTML; text is escaped, then marked up."""
-    head = F.concat(F.lit("<h2>"), T.inline_markup(F.coalesce(title, F.lit(""))), F.lit("</h2>"))
-    items = F.array_join(F.transform(F.coalesce(bullets, F.array().cast("array<string>")), lambda b: F.concat(F.lit("<li>"), T.inline_markup(b), F.lit("</li>"))), "")
-    body = F.when(items != "", F.concat(F.lit("<ul>"), items, F.lit("</ul>"))).otherwise(F.lit(""))
-    return F.concat(F.lit('<section class="'), kind, F.lit(" "), title_fit(title), F.lit('">'), head, body, F.lit("</section>"))

@@ -34,7 +34,7 @@ def timeline_event(line: Column) -> Column:
 
 def first_long_line(text: Column, least: int = 11) -> Column:
     """The first stripped line of some length: a paper's title, for want of better."""
-    return F.get(F.filter(F.transform(F.split(text, "\n"), T.strip), lambda l: F.length(l) >= least), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(text, "\n"), T.bare), lambda l: F.length(l) >= least), F.lit(0))
 
 
 def figure_caption(text: Column, number: Column) -> Column:
@@ -47,12 +47,12 @@ def figure_caption(text: Column, number: Column) -> Column:
 
 def present_sections(text: Column, sections: Sequence[tuple[str, str]] = V.PRESENT) -> Column:
     """Labels of the sections whose words stand anywhere in a text, in order; empty if it has no structure."""
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), F.lit(label)) for label, p in sections)))
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){T.word(p)}"), F.lit(label)) for label, p in sections)))
 
 
 def outline_items(snippet: Column, most: int = 8, least: int = 20, chars: int = 120) -> Column:
     """Sentences fit for an outline: long enough, no references or captions, cut at ``chars``."""
-    kept = F.filter(F.transform(F.split(snippet, r"(?<=[.。!！?？])\s+"), T.strip), lambda s: (F.length(s) >= least) & ~s.rlike(r"^\[?\d+[\].,]") & ~s.rlike(r"(?i)^(Fig|Figure|Table|Scheme)\s*\d+"))
+    kept = F.filter(F.transform(F.split(snippet, rf"(?<=[.。!！?？]){T.SPACE}+"), T.bare), lambda s: (F.length(s) >= least) & ~s.rlike(r"^\[?\d+[\].,]") & ~s.rlike(r"(?i)^(Fig|Figure|Table|Scheme)\s*\d+"))
     return F.slice(F.transform(kept, lambda s: F.when(F.length(s) > chars, F.concat(F.substring(s, 1, chars), F.lit("..."))).otherwise(s)), 1, most)
 
 
@@ -106,6 +106,7 @@ def known_and_rest(body: Column, known: Sequence[str]) -> tuple[Column, Column]:
     return F.map_filter(m, lambda k, _: k.isin(*known)), F.map_filter(m, lambda k, _: ~k.isin(*known))
 
 
+# The syntax of slides in Markdown.
 DIRECTIVE = r"(?i)^\s*(layout|type|title|subtitle|author|affiliation|date|theme)\s*:"
 IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
 NOTES = r"(?:^|\n)[ \t]*:::notes[ \t]*\n([\s\S]*?)(?:\n[ \t]*:::[ \t]*(?=\n|$)|$)"

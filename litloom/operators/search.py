@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,19 @@ def union_sources(sources: Sequence[DataFrame], order: str) -> DataFrame:
     return out
 
 
+#: Most hits that a source gives, whatever is asked for.
+MOST_OF = {"wos": 10}
+
+
+def chosen_sources(sources: Mapping[str, DataFrame], order: str, wanted: str = "all", limit: int | None = None, most_of: Mapping[str, int] = MOST_OF) -> DataFrame:
+    """The union of all sources, or of the one wanted, the first ``limit`` hits of each; some give no more than their own limit."""
+    if wanted != "all" and wanted not in sources:
+        raise ValueError(f"no source {wanted}; there are {', '.join(sources)}")
+    names = [n for n in sources if wanted in ("all", n)]
+    most = {n: min(x for x in (limit, most_of.get(n)) if x is not None) for n in names if limit is not None or n in most_of}
+    return union_sources([sources[n].orderBy(order).limit(most[n]) if n in most else sources[n] for n in names], order)
+
+
 def dedupe_key() -> list[Column]:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return [text("source"), text("url"), text("doi"), F.lower(T.strip(text("title")))]
@@ -27,12 +40,12 @@ def dedupe_key() -> list[Column]:
 def first_seen(df: DataFrame, order: str, key: Sequence[Column] | None = None) -> DataFrame:
     """The first row of each key; the result keeps ``order``, which must be unique, for a final sort.
 
-    The first row is found by an aggregation with partial aggregates, so a key that holds a third of all rows costs its
-    shuffle one row per task, and only the positions of first rows are joined back.
+    One aggregation with partial aggregates, so a key that holds a third of all rows costs its shuffle one row per task.
     """
-    keyed = df.withColumn("_k", F.struct(*(key or dedupe_key())))
-    firsts = keyed.groupBy("_k").agg(F.min(order).alias("_first")).select(F.col("_first").alias(order))
-    return df.join(firsts, order, "left_semi")
+    keys = [c.alias(f"_k{i}") for i, c in enumerate(key or dedupe_key())]
+    keyed = df.select("*", *keys)
+    firsts = keyed.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.col(order)).alias("_x"))
+    return firsts.select(*(F.col("_x").getField(c).alias(c) for c in df.columns))
 
 
 def upsert(library: DataFrame, updates: DataFrame, key: Sequence[str], seq: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries over the core operators and their SQL.
 
-Every query runs over its whole tables. Lists of names and patterns come from ``functions.vocabulary``; where the
+Every query runs over its whole tables; where a column is null, a query may ask for the rows that have a value. Lists of names and patterns come from ``functions.vocabulary``; where the
 tables hold none of a default list's words, the query passes words that they do hold and says so.
 """
 
@@ -22,6 +22,7 @@ from litloom.operators import outline as O
 from litloom.operators import pages as P
 from litloom.operators import search as S
 from litloom.operators import validate
+from litloom.plans.lineage import hinted
 from litloom.sources.sinks import joined_values
 from litloom.sources.tables import table
 
@@ -41,10 +42,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from litloom.plans import documents  # noqa: F401  (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -55,7 +59,7 @@ _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
 def _any(c: str, words) -> str:
-    return "(" + " or ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    return "(" + " or ".join("contains({}, '{}')".format(c, w.replace("'", "''")) for w in words) + ")"
 
 
 def _strip(c: str) -> str:
@@ -157,7 +161,7 @@ def fl4_key_captions(spark, d):
     return table(spark, d, "sections").where("full_text is not null").select("sec_id", joined_values(I.key_captions(F.col("full_text"), CAPTION_WORDS)).alias("captions"))
 
 
-_SIGNS = " + ".join(f"regexp_matches(low, '\\b{s}\\b')::int" for s in V.REVIEW_SIGNS)
+_SIGNS = " + ".join(f"regexp_matches(low, '{T.word(s)}')::int" for s in V.REVIEW_SIGNS)
 
 
 @query(f"""
@@ -265,32 +269,29 @@ _COVER = {"research_problem": ("introduction", False), "methodology": ("m_sectio
 
 
 @query("select sec_id, " + ", ".join(f"{_tenth(f, s, m)} as {f}" for f, (s, m) in _COVER.items()) + f" from {_RESEARCH}")
-def ag8_ag9_coverage_pivot(spark, d):
-    secs = _digital(spark, d)
-    long = I.research_coverage(secs, I.research_insights(secs, "sec_id"), "sec_id")
-    return I.coverage_wide(long, "sec_id", list(_COVER))
+def ag8_research_coverage(spark, d):
+    return I.research_coverage(_digital(spark, d), "sec_id")
 
 
-_TALK = ("discussion", "limitations", "future", "conclusion")
-_REVIEW = {
-    "review_scope": (("abstract", "introduction"), "scope", 3),
-    "major_themes": (("abstract", "introduction", "taxonomy", *_TALK), "themes", 5),
-    "consensus_findings": (("results", *_TALK), "consensus", 4),
-    "controversies": ((*_TALK, "full_text"), "controversies", 4),
-    "research_gaps": (_TALK, "gaps", 5),
-    "future_directions": (("future", "conclusion"), "future", 4),
-}
+def _review_field(f: str) -> str:
+    if f == "review_type":
+        return f"[{_ladder('lower(substr(full_text, 1, 12000))', V.REVIEW_TYPES, V.NO_REVIEW_TYPE)}]"
+    if f == "key_tables_figures":
+        return f"list_slice(list_filter({_CAPS}, lambda c: {_any('lower(c)', V.KEY_CAPTION_TERMS)}), 1, 6)"
+    scope, words, n = I.REVIEW_SCOPES[f]
+    return _compact(_together(*scope), V.REVIEW[words], n)
 
 
-@query("select sec_id, " + ", ".join(f"array_to_string({_compact(_together(*scope), V.REVIEW[w], n)}, ' | ') as {f}" for f, (scope, w, n) in _REVIEW.items()) + f" from {_SECTIONS}")
+@query("select sec_id, " + ", ".join(f"array_to_string({_review_field(f)}, ' | ') as {f}" for f in I.REVIEW_FIELDS) + f" from {_SECTIONS}")
 def review_insight_fields(spark, d):
+    """The eleven fields of a review over its sections."""
     found = I.review_insights(_digital(spark, d), "sec_id")
-    return found.select("sec_id", *(joined_values(F.col(c)).alias(c) for c in _REVIEW))
+    return found.select("sec_id", *(joined_values(F.col(c)).alias(c) for c in I.REVIEW_FIELDS))
 
 
 @query("""
 select kind, cast(count(*) as bigint) as n from (
-  select case when contains(m, 'password') or contains(m, 'encrypt') then 'pdf_encrypted' when contains(m, 'corrupt') or contains(m, 'invalid') or contains(m, 'eof') then 'pdf_corrupt' else 'unknown' end as kind
+  select """ + _ladder("m", I.ERROR_KINDS, "unknown") + """ as kind
   from (select lower(text) as m from documents where text is not null)) group by kind
 """)
 def fl16_error_kinds(spark, d):
@@ -340,7 +341,7 @@ _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 def pr1_pr2_normalised_metrics(spark, d):
     m = table(spark, d, "journal_metrics")
     n = J.normalised_metrics(m).select("name", "jcr_partition", "impact_factor", F.col("is_top_journal"))
-    return n.join(F.broadcast(m.select("name", "journal_id")), "name").select("journal_id", T.normalised_name(F.col("name")).alias("norm"), "jcr_partition", "impact_factor", "is_top_journal")
+    return n.join(hinted(m.select("name", "journal_id")), "name").select("journal_id", T.normalised_name(F.col("name")).alias("norm"), "jcr_partition", "impact_factor", "is_top_journal")
 
 
 @query(f"""
@@ -359,13 +360,13 @@ def jn1_journal_metrics_join(spark, d):
 
 
 @query("""
-with o as (select name, jcr_partition from journal_metrics where journal_id % 3 = 0), b as (select name, 'base' as jcr_partition from journal_metrics where journal_id % 2 = 0)
+with o as (select name, jcr_partition from journal_metrics), b as (select full_name as name, min(abbrev) as jcr_partition from journal_abbrev group by full_name)
 select * from o union all select * from b where name not in (select name from o)
 """)
 def sc20_se2_journal_overlay(spark, d):
-    """Two halves of the dimension overlaid by name; the split of the dimension stands for its two sources."""
-    m = table(spark, d, "journal_metrics")
-    return J.overlay(m.where("journal_id % 2 = 0").select("name", F.lit("base").alias("jcr_partition")), m.where("journal_id % 3 = 0").select("name", "jcr_partition"))
+    """The abbreviated journals as the base, the metrics laid over it by name."""
+    base = table(spark, d, "journal_abbrev").groupBy(F.col("full_name").alias("name")).agg(F.min("abbrev").alias("jcr_partition"))
+    return J.overlay(base, table(spark, d, "journal_metrics").select("name", "jcr_partition"))
 
 
 # search -----------------------------------------------------------------------------------------------------------------------
@@ -441,20 +442,37 @@ def jn3_fl17_doi_without_text(spark, d):
     return L.has_children(items, table(spark, d, "sections"), "rec_id", present=False)
 
 
+@query("""
+with t as (select rec_id, metadata.title as title, lower(coalesce(metadata.title, '')) as low from extract_results),
+     lib as (select low, max(rec_id) as rec_id from t group by low),
+     c as (select hit_id, lower(title) as low, length(title) as n, coalesce(', ' || year, '') as tail from papers)
+select hit_id, l.rec_id is not null as in_library, l.rec_id as rec_id
+from c left join lib l on c.low = l.low and c.low <> '' and 2.0 * n / (2 * n + length(tail)) > 0.6
+""")
+def jn4_u1_checked_citations(spark, d):
+    """Hits as citations (title and year) whose title is the resolved one, against the records; the ratio of a text and its beginning has a formula."""
+    p = table(spark, d, "papers").select("hit_id", F.concat(F.col("title"), F.coalesce(F.concat(F.lit(", "), "year"), F.lit(""))).alias("citation"), F.col("title").alias("resolved"))
+    e = table(spark, d, "extract_results").select("rec_id", F.col("metadata.title").alias("title"))
+    got = L.checked_citations(p, "citation", "resolved", e, "title", "rec_id")
+    return got.select("hit_id", "in_library", F.col("_item.rec_id").alias("rec_id"))
+
+
 @query()
-def jn4_u1_fuzzy_titles(spark, d):
-    """All hits and records whose titles resemble each other. No SQL states the ratio."""
-    hits = table(spark, d, "papers").where("title is not null").select("hit_id", F.col("title").alias("t1"))
-    recs = table(spark, d, "extract_results").where("metadata.title is not null").select("rec_id", F.col("metadata.title").alias("t2"))
-    return L.fuzzy_titles(hits, recs, "t1", "t2", 0.85).select("hit_id", "rec_id", F.round("ratio", 6).alias("ratio"))
+def jn5_u1_completed_dois(spark, d):
+    """Records without a DOI, the other records of their groups as candidates. No SQL states the ratio."""
+    e = table(spark, d, "extract_results").select("rec_id", F.col("metadata.title").alias("title"), F.col("metadata.doi").alias("doi"), "paper_type")
+    g = table(spark, d, "result_groups")
+    other = e.select(F.col("rec_id").alias("other"), F.col("title").alias("c_title"), F.col("doi").alias("c_doi"))
+    pairs = L.without_doi(e, "doi", "paper_type").join(g, "rec_id").join(g.select("group_id", F.col("rec_id").alias("other")), "group_id").where("rec_id <> other").join(other, "other")
+    return L.completed_dois(pairs, "title", "doi", "paper_type", "c_title", "c_doi").select("rec_id", "other", "found_doi")
 
 
 _LAST = "list_transform(list_slice(authors, 1, 3), lambda n: coalesce(nullif(list_extract(string_split(trim(n), ' '), -1), ''), '?'))"
 
 
-@query(f"select hit_id, array_to_string({_LAST}, ', ') || case when len(authors) > 3 then ' et al.' else '' end as creators, nullif(regexp_extract(coalesce(year, ''), '^(\\d{{4}})', 1), '') as year from papers where authors is not null")
+@query(f"select hit_id, '[' || cast(hit_id as varchar) || '] ' || coalesce(array_to_string({_LAST}, ', ') || case when len(authors) > 3 then ' et al.' else '' end, '') || ' (' || coalesce(nullif(regexp_extract(coalesce(year, ''), '^(\\d{{4}})', 1), ''), '') || ') ' || coalesce(title, 'untitled') || ' [' || source || ']' as line from papers")
 def pr5_pr6_item_lines(spark, d):
-    return table(spark, d, "papers").where("authors is not null").select("hit_id", L.creators_line(F.col("authors")).alias("creators"), L.leading_year(F.coalesce("year", F.lit(""))).alias("year"))
+    return table(spark, d, "papers").select("hit_id", L.item_line(F.col("hit_id").cast("string"), F.col("authors"), F.col("year"), F.col("title"), F.col("source")).alias("line"))
 
 
 @query("""select rec_id, regexp_replace(substr(metadata.title, 1, 60), '[\\\\/:*?"<>|]', '_', 'g') || '.pdf' as file_name, substr(md5(coalesce(metadata.title || '_', '') || paper_type), 1, 12) as cache_key from extract_results where metadata.title is not null and paper_type is not null""")
@@ -493,7 +511,7 @@ def wn7_consecutive_labels(spark, d):
 select rec_id, page, min(bbox.x0) as x0, min(bbox.y0) as y0, max(bbox.x1) as x1, max(bbox.y1) as y1, cast(count(*) as bigint) as n_boxes, round((max(bbox.x1) - min(bbox.x0)) * (max(bbox.y1) - min(bbox.y0)), 4) as area
 from captions where bbox is not null group by rec_id, page
 """)
-def ag11_ag20_page_boxes(spark, d):
+def ag11_page_boxes(spark, d):
     return G.group_box(table(spark, d, "captions").where("bbox is not null"), ["rec_id", "page"], "bbox")
 
 
@@ -512,7 +530,7 @@ with p as (select c.rec_id, c.page, c.caption_id, i.caption_id as image_id, roun
   from captions c join captions i on c.rec_id = i.rec_id and c.page = i.page and c.caption_id <> i.caption_id where c.bbox is not null and i.bbox is not null and i.bbox.y0 <= c.bbox.y0 + 5)
 select caption_id, image_id, cast(round(score * 1000) as bigint) as score_mille from (select *, row_number() over (partition by rec_id, page, caption_id order by score desc, image_id) as r from p where score > 0.3) where r = 1
 """)
-def jn6_jn7_best_box_above(spark, d):
+def jn6_best_box_above(spark, d):
     """Boxes of other captions stand for images: the tables hold no others."""
     c = table(spark, d, "captions").where("bbox is not null").select("rec_id", "page", "caption_id", F.col("bbox").alias("caption_box"))
     i = c.select("rec_id", "page", F.col("caption_id").alias("image_id"), F.col("caption_box").alias("image_box"))
@@ -539,26 +557,56 @@ def pr21_pr22_refined_boxes(spark, d):
     return c.select("caption_id", "b.x0", "b.y0", "b.x1", "b.y1", "x0_px")
 
 
-@query()
+_BOXED = "bbox is not null and rec_id is not null and page is not null"
+_NEAR_GROUP = "b.x0 - g.x1 <= 40 and g.x0 - b.x1 <= 40 and b.y0 - g.y1 <= 40 and g.y0 - b.y1 <= 40"
+_FOUND = f"coalesce(list_position(list_transform(r.groups, lambda g: {_NEAR_GROUP}), true), 0)"
+
+
+@query(f"""
+with recursive b as (select rec_id, page, bbox.x0 as x0, bbox.y0 as y0, bbox.x1 as x1, bbox.y1 as y1, row_number() over (partition by rec_id, page order by bbox.y0, bbox.x0, bbox.y1, bbox.x1) as n from captions where {_BOXED}),
+     r as (select rec_id, page, n, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'n': 1}}] as groups from b where n = 1
+       union all
+       select b.rec_id, b.page, b.n, case when {_FOUND} = 0 then list_append(r.groups, {{'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 'n': 1}})
+         else list_transform(r.groups, lambda g, i: case when i = {_FOUND} then {{'x0': least(g.x0, b.x0), 'y0': least(g.y0, b.y0), 'x1': greatest(g.x1, b.x1), 'y1': greatest(g.y1, b.y1), 'n': g.n + 1}} else g end) end
+       from r join b on r.rec_id = b.rec_id and r.page = b.page and b.n = r.n + 1),
+     l as (select rec_id, page, unnest(groups) as g, generate_subscripts(groups, 1) - 1 as group_no from r where n = (select max(n) from b where b.rec_id = r.rec_id and b.page = r.page))
+select rec_id, page, cast(group_no as int) as group_no, g.x0 as x0, g.y0 as y0, g.x1 as x1, g.y1 as y1, cast(g.n as int) as n_boxes from l
+""")
 def ag17_merged_boxes(spark, d):
-    """Neighbouring boxes of a page merged; the growing box is state that SQL can't carry."""
-    c = table(spark, d, "captions").where("bbox is not null and rec_id is not null and page is not null").select("rec_id", "page", "bbox.*")
+    """Neighbouring boxes of a page merged; the growing boxes are the SQL's recursion."""
+    c = table(spark, d, "captions").where(_BOXED).select("rec_id", "page", "bbox.*")
     return G.merged_boxes(c, ["rec_id", "page"], 40.0)
 
 
-@query()
+@query(f"""
+with recursive s as (select c.rec_id, c.page, c.caption_id, i.caption_id as image_id, round(0.4 * {_OVER} + 0.4 * {_NEAR} + 0.2 * {_ALIGN}, 6) as score
+       from captions c join captions i on c.rec_id = i.rec_id and c.page = i.page and c.caption_id <> i.caption_id where c.bbox is not null and i.bbox is not null and i.bbox.y0 <= c.bbox.y0 + 5),
+     o as (select rec_id, page, caption_id, list({{'i': image_id, 's': score}} order by score desc, image_id) as wanted, row_number() over (partition by rec_id, page order by caption_id) as n from s where score > 0.3 group by rec_id, page, caption_id),
+     r as (select rec_id, page, caption_id, n, wanted[1] as got, [wanted[1].i] as taken from o where n = 1
+       union all
+       select o.rec_id, o.page, o.caption_id, o.n, list_filter(o.wanted, lambda w: not list_contains(r.taken, w.i))[1], list_append(r.taken, list_filter(o.wanted, lambda w: not list_contains(r.taken, w.i))[1].i)
+       from r join o on r.rec_id = o.rec_id and r.page = o.page and o.n = r.n + 1)
+select rec_id, page, caption_id, got.i as image_id, got.s as score from r where got is not null
+""")
 def wn9_claimed_boxes(spark, d):
-    """Captions claim their best box in turn; who comes first is state that SQL can't carry."""
-    c = table(spark, d, "captions").where("bbox is not null and rec_id is not null and page is not null").select("rec_id", "page", "caption_id", F.col("bbox").alias("caption_box"))
+    """Captions claim their best box in turn; what is taken is the SQL's recursion."""
+    c = table(spark, d, "captions").where(_BOXED).select("rec_id", "page", "caption_id", F.col("bbox").alias("caption_box"))
     i = c.select("rec_id", "page", F.col("caption_id").alias("image_id"), F.col("caption_box").alias("image_box"))
     scored = c.join(i, ["rec_id", "page"]).where("caption_id <> image_id").withColumn("score", G.above_score(F.col("caption_box"), F.col("image_box"), 612.0, 792.0)).where("score > 0.3").select("rec_id", "page", "caption_id", "image_id", "score")
     return G.claimed_images(scored, ["rec_id", "page"], "caption_id", "image_id")
 
 
-@query()
+@query(f"""
+with recursive w as (select rec_id, page, coalesce(figure_type, '') as text, bbox.x0 as x0, bbox.y0 as y0, bbox.x1 as x1, bbox.y1 as y1, row_number() over (partition by rec_id, page order by bbox.y0, bbox.x0, coalesce(figure_type, '')) as n from captions where {_BOXED}),
+     r as (select *, y0 as anchor, 0 as line_no from w where n = 1
+       union all
+       select w.*, case when abs(w.y0 - r.anchor) <= 30 then r.anchor else w.y0 end, case when abs(w.y0 - r.anchor) <= 30 then r.line_no else r.line_no + 1 end
+       from r join w on r.rec_id = w.rec_id and r.page = w.page and w.n = r.n + 1)
+select rec_id, page, cast(line_no as int) as line_no, string_agg(text, ' ' order by x0, n) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from r group by rec_id, page, line_no
+""")
 def ag15_wn1_text_lines(spark, d):
-    """Boxes of a page gathered to lines by the anchor rule, which drifts from a plain gap rule and so has no SQL."""
-    c = table(spark, d, "captions").where("bbox is not null and rec_id is not null and page is not null").select("rec_id", "page", F.coalesce("figure_type", F.lit("")).alias("text"), "bbox.*")
+    """Boxes of a page gathered to lines by the anchor rule; the anchor is the SQL's recursion."""
+    c = table(spark, d, "captions").where(_BOXED).select("rec_id", "page", F.coalesce("figure_type", F.lit("")).alias("text"), "bbox.*")
     return G.text_lines(c, ["rec_id", "page"], 30.0)
 
 
@@ -606,13 +654,14 @@ def wn11_framed_decks(spark, d):
 
 
 _T = "coalesce(title, '')"
-_W = f"""cast((length({_T}) - length(regexp_replace({_T}, '\\s', '', 'g'))) * 35 + (length({_T}) - length(regexp_replace({_T}, '[ᄀ-ᇿ⺀-꓏가-힯豈-﫿＀-￯]', '', 'g'))) * 100
- + length(regexp_replace(regexp_replace({_T}, '\\s', '', 'g'), '[ᄀ-ᇿ⺀-꓏가-힯豈-﫿＀-￯]', '', 'g')) * 55 as int)"""
+_N = lambda cls: f"(length({_T}) - length(regexp_replace({_T}, '{cls}', '', 'g')))"
+_S, _IDEOGRAPHIC, _WIDE = _N(r"[\s\x0b]"), _N("　"), _N("[ᄀ-ᇿ⺀-꓏가-힯豈-﫿＀-￯]")
+_W = f"cast(({_S} + {_IDEOGRAPHIC}) * 35 + ({_WIDE} - {_IDEOGRAPHIC}) * 100 + (length({_T}) - {_S} - {_WIDE}) * 55 as int)"
 
 
-@query(f"select hit_id, case when {_W} >= 8200 then 'title-fit-xxlong' when {_W} >= 5800 then 'title-fit-xlong' when {_W} >= 3800 then 'title-fit-long' else 'title-fit-normal' end as fit from papers where not contains(coalesce(title, ''), '　')")
+@query(f"select hit_id, case when {_W} >= 8200 then 'title-fit-xxlong' when {_W} >= 5800 then 'title-fit-xlong' when {_W} >= 3800 then 'title-fit-long' else 'title-fit-normal' end as fit from papers")
 def pr18_title_fit(spark, d):
-    return table(spark, d, "papers").where(~F.contains(F.coalesce("title", F.lit("")), F.lit("　"))).select("hit_id", O.title_fit(F.col("title")).alias("fit"))
+    return table(spark, d, "papers").select("hit_id", O.title_fit(F.col("title")).alias("fit"))
 
 
 @query(f"""
@@ -634,15 +683,14 @@ def pr14_pr15_shorten_emphasise(spark, d):
 _ESC = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query(f"""select doc_id, md5(regexp_replace(regexp_replace({_ESC}, '\\*\\*(.+?)\\*\\*', '<span class="highlight">\\1</span>', 'g'), '==(.+?)==', '<span class="highlight">\\1</span>', 'g')) as html from documents where text is not null and not regexp_matches(text, '[\\x{{85}}\\x{{2028}}\\x{{2029}}\\r]')""")
-def pr17_sk8_inline_markup(spark, d):
-    t = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike("[\u0085  \r]"))
-    return t.select("doc_id", F.md5(T.inline_markup(F.col("text"))).alias("html"))
+@query(f"""select doc_id, md5(regexp_replace(regexp_replace({_ESC}, '\\*\\*([^\\n]+?)\\*\\*', '<span class="text-highlight">\\1</span>', 'g'), '==([^\\n]+?)==', '<span class="text-highlight">\\1</span>', 'g')) as html from documents where text is not null""")
+def pr17_inline_markup(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.inline_markup(F.col("text"))).alias("html"))
 
 
-@query("select doc_id, cast(least((n_chars * 7) // 4000, 6) as int) as section from documents where n_chars is not null and n_chars < 4000")
+@query("select doc_id, cast(least((n_chars * 7) // 4000, 6) as int) as section from documents where n_chars is not null")
 def jn10_proportional_sections(spark, d):
-    return table(spark, d, "documents").where("n_chars is not null and n_chars < 4000").select("doc_id", O.proportional_section(F.col("n_chars"), F.lit(4000), F.lit(7)).alias("section"))
+    return table(spark, d, "documents").where("n_chars is not null").select("doc_id", O.proportional_section(F.col("n_chars"), F.lit(4000), F.lit(7)).alias("section"))
 
 
 @query("""
@@ -674,7 +722,7 @@ def fl18_u5_rules(spark, d):
 
 
 @query("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by value desc, event_id) as r from events where value is not null) where r = 1")
-def ag5_best_per_label(spark, d):
+def x_best_per_label(spark, d):
     e = table(spark, d, "events").where("value is not null")
     top = e.groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), F.struct((-F.col("value")).alias("a"), "event_id")).alias("x"))
     return top.select("user_id", "event_type", "x.event_id", "x.value")
@@ -684,8 +732,8 @@ def ag5_best_per_label(spark, d):
 with dd as (select distinct user_id, cast(ts as date) as day from events), g as (select *, date_diff('day', date '1970-01-01', day) - row_number() over (partition by user_id order by day) as island from dd)
 select user_id, cast(min(day) as varchar) as first_day, cast(count(*) as bigint) as days from g group by user_id, island having count(*) >= 2
 """)
-def wn8_islands(spark, d):
-    """Runs of days without a gap, two at least."""
+def x_islands(spark, d):
+    """Extension: runs of days without a gap, two at least."""
     from pyspark.sql import Window
 
     days = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
@@ -741,22 +789,28 @@ def pr28_timeline_events(spark, d):
     return table(spark, d, "captions").where("caption_text is not null").select("caption_id", e.alias("e")).select("caption_id", "e.date", "e.title")
 
 
-@query(f"select sec_id, list_extract(list_filter(list_transform(string_split(full_text, chr(10)), lambda l: {_strip('l')}), lambda l: length(l) > 10), 1) as title from sections where full_text is not null and not regexp_matches(full_text, '[\\x0b\\x85\\xa0]')")
+_BARE = lambda c: f"regexp_replace({c}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g')"
+
+
+@query(f"select sec_id, list_extract(list_filter(list_transform(string_split(full_text, chr(10)), lambda l: {_BARE('l')}), lambda l: length(l) > 10), 1) as title from sections where full_text is not null")
 def pr29_first_long_lines(spark, d):
-    s = table(spark, d, "sections").where("full_text is not null").where(~F.col("full_text").rlike("[\x0b\x85\xa0]"))
-    return s.select("sec_id", P.first_long_line(F.col("full_text")).alias("title"))
+    return table(spark, d, "sections").where("full_text is not null").select("sec_id", P.first_long_line(F.col("full_text")).alias("title"))
+
+
+_PRESENT = "list_filter([" + ", ".join(f"case when regexp_matches(full_text, '(?i){T.word(p)}') then '{label}' end" for label, p in V.PRESENT) + "], lambda x: x is not null)"
 
 
-@query("select sec_id, " + "array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(t, '(?i){p}') then '{label}' end" for label, p in V.PRESENT[:1] + V.PRESENT[3:4] + V.PRESENT[6:]) + "], lambda x: x is not null), ', ') as present from (select sec_id, full_text as t from sections where lang = 'en' and full_text is not null)")
+@query(f"select sec_id, array_to_string({_PRESENT}, ', ') as present, len({_PRESENT}) = 0 as without_structure from sections where full_text is not null")
 def fl25_present_sections(spark, d):
-    """Over English texts with the labels that they hold: word boundaries differ between engines beside other scripts."""
-    s = table(spark, d, "sections").where("lang = 'en' and full_text is not null")
-    return s.select("sec_id", F.array_join(P.present_sections(F.col("full_text"), V.PRESENT[:1] + V.PRESENT[3:4] + V.PRESENT[6:]), ", ").alias("present"))
+    p = P.present_sections(F.col("full_text"))
+    return table(spark, d, "sections").where("full_text is not null").select("sec_id", F.array_join(p, ", ").alias("present"), (F.size(p) == 0).alias("without_structure"))
 
 
-@query()
-def fl12_pr47_outline_items(spark, d):
-    """Sentences for an outline; the split looks behind, which the SQL engine's patterns can't."""
+_ITEMS = f"list_filter(list_transform(string_split(regexp_replace(full_text, '([.。!！?？]){T.SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_BARE('s')}), lambda s: length(s) >= 20 and not regexp_matches(s, '^\\[?\\d+[\\].,]') and not regexp_matches(s, '(?i)^(Fig|Figure|Table|Scheme)\\s*\\d+'))"
+
+
+@query(f"select sec_id, array_to_string(list_slice(list_transform({_ITEMS}, lambda s: case when length(s) > 120 then substr(s, 1, 120) || '...' else s end), 1, 8), ' | ') as items from sections where full_text is not null")
+def fl12_outline_items(spark, d):
     return table(spark, d, "sections").where("full_text is not null").select("sec_id", joined_values(P.outline_items(F.col("full_text"))).alias("items"))
 
 

@@ -5,11 +5,8 @@ Nothing here calls a network: ``recorded`` replays saved answers, so that a run
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from litloom.functions import text as T
 
@@ -22,12 +19,20 @@ def text_documents(spark: SparkSession, path: str, glob: str = "*.txt") -> DataF
 
 
 def binary_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """``path, content, problem``: files, and ``corrupt`` for those not of their kind; the source itself skips empty ones."""
+    """``path, content, problem``: files, and what is wrong with them: ``corrupt`` (not of their kind, or without pages), ``encrypted``; the source itself skips empty ones."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    problem = F.when(F.decode(F.substring("content", 1, 5), "ISO-8859-1") != "%PDF-", "corrupt")
+    has = lambda mark: F.contains("content", F.lit(bytearray(mark)))
+    problem = F.when(F.decode(F.substring("content", 1, 5), "ISO-8859-1") != "%PDF-", "corrupt").when(has(b"/Encrypt"), "encrypted").when(has(b"/Count 0") & ~has(b"/Type /Page "), "corrupt")
     return raw.select("path", "content", problem.alias("problem"))
 
 
+def wanted_documents(wanted: DataFrame, name: str, found: DataFrame) -> DataFrame:
+    """Each wanted file's name with its content and problem: ``missing`` if it isn't among those found."""
+    there = found.select(F.element_at(F.split("path", "/"), -1).alias(name), "content", F.coalesce("problem", F.lit("")).alias("_p"))
+    both = wanted.select(name).join(there, name, "left")
+    return both.select(name, "content", F.when(F.col("_p").isNull(), "missing").otherwise(F.nullif("_p", F.lit(""))).alias("problem"))
+
+
 def json_library(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``papers`` of a library file; a file that is missing or corrupt gives no rows."""
     try:
@@ -76,42 +81,9 @@ def atom_rows(xml: Column) -> Column:
     return F.transform(entries, lambda e: F.struct(F.lit("arxiv").alias("source"), one(e, "entry/title").alias("title"), F.xpath(e, F.lit("entry/author/name/text()")).alias("authors"), F.substring(one(e, "entry/published"), 1, 4).alias("year"), one(e, "entry/id").alias("url"), one(e, "entry/summary").alias("abstract")))
 
 
-class _Page(InputPartition):
-    def __init__(self, start: int):
-        self.start = start
-
-
-class RecordedReader(DataSourceReader):
-    """Pages of a recorded answer, one partition per page; a page that can't be read gives no rows."""
-
-    def __init__(self, folder: str, size: int, total: int):
-        self.folder, self.size, self.total = folder, size, total
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [_Page(k) for k in range(0, max(self.total, 0), self.size)] or [_Page(0)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        import json
-        import os
-
-        try:
-            with open(os.path.join(self.folder, f"{partition.start}.json"), encoding="utf-8") as f:
-                rows = json.load(f)
-        except (OSError, ValueError):
-            return
-        for r in rows:
-            yield (str(r.get("key", "")), json.dumps(r.get("data", {}), ensure_ascii=False))
-
-
-class RecordedSource(DataSource):
-    """``spark.read.format("recorded")``: options ``path``, ``size`` (rows per page) and ``total``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "recorded"
-
-    def schema(self) -> str:
-        return "key string, data string"
-
-    def reader(self, schema) -> RecordedReader:
-        return RecordedReader(self.options["path"], int(self.options.get("size", 100)), int(self.options.get("total", 0)))
+def recorded(spark: SparkSession, path: str, size: int = 100, total: int = 0) -> DataFrame:
+    """``key, data`` of a service's answers saved as ``<offset>.json`` pages, read through the cluster's file system; a page that is missing or broken gives no rows."""
+    whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    page = whole.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).alias("at"), F.from_json("value", "array<struct<key string, data string>>").alias("items"))
+    wanted = page.where(F.col("at") != "").where((F.col("at").cast("long") % size == 0) & (F.col("at").cast("long") < max(total, 1)))
+    return wanted.select(F.inline("items")).select(F.coalesce("key", F.lit("")).alias("key"), F.coalesce("data", F.lit("{}")).alias("data"))

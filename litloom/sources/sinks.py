@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -12,15 +13,23 @@ def write_library(df: DataFrame, path: str) -> None:
     df.withColumn("last_updated", F.current_timestamp()).write.mode("overwrite").json(path)
 
 
-def tenths(c: Column) -> Column:
-    """Tenths as text with two decimals, so that no rounding rule of an engine can differ."""
-    return F.concat(F.floor(c / 10).cast("string"), F.lit("."), F.pmod(c, F.lit(10)).cast("string"), F.lit("0"))
+def write_sheet(df: DataFrame, columns: Sequence[Column], path: str) -> None:
+    """A sheet with a header; see ``operators.reports`` for the columns of results and of batches."""
+    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_summary_csv(wide: DataFrame, fields: Sequence[str], path: str) -> None:
-    """One row per document, coverage of each field with two decimals, absent ones ``0.00``."""
-    rest = [c for c in wide.columns if c not in fields]
-    wide.select(*rest, *(tenths(F.coalesce(F.col(f), F.lit(0))).alias(f"{f}_Coverage") for f in fields)).write.mode("overwrite").option("header", True).csv(path)
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_deck(page: Row, folder: str) -> None:
+    """One deck's folder on the machine of the caller: ``index.html``, ``deck.json`` and the assets. Where there are many decks, write ``deck_pages`` as a table."""
+    from litloom.operators.render import SCRIPT, STYLE
+
+    base = Path(folder)
+    (base / "assets" / "figures").mkdir(parents=True, exist_ok=True)
+    for name, text in (("index.html", page["index_html"]), ("deck.json", page["deck_json"]), ("assets/style.css", STYLE), ("assets/deck.js", SCRIPT)):
+        (base / name).write_text(text, encoding="utf-8")
 
 
 def joined_values(c: Column) -> Column:

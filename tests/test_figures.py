@@ -61,6 +61,10 @@ def test_bands_drop_the_open_edge(spark):
 def test_label_rows(spark):
     d = spark.createDataFrame([(1, "a", 0.0, 10.0, 100.0), (1, "b", 50.0, 20.0, 100.0), (1, "c", 0.0, 60.0, 100.0)], "page int, label string, x double, y double, height double")
     assert {r.label: r.row_no for r in G.label_rows(d, ["page"]).collect()} == {"a": 0, "b": 0, "c": 1}
+    # The second label drifts within reach of the first row's mean, not of its first label.
+    drift = spark.createDataFrame([(1, "a", 9.0, 0.0, 100.0), (1, "b", 0.0, 14.0, 100.0), (1, "c", 5.0, 20.0, 100.0)], "page int, label string, x double, y double, height double")
+    assert {r.label: r.row_no for r in G.label_rows(drift, ["page"], by="first").collect()} == {"a": 0, "b": 0, "c": 1}
+    assert {r.label: r.row_no for r in G.label_rows(drift, ["page"]).collect()} == {"a": 0, "b": 0, "c": 0}
 
 
 def test_small_geometry(spark):
@@ -83,3 +87,25 @@ def test_grid_zip_and_engine(spark):
     assert (r.g.rows, r.z, r.n) == (2, {"a": 1, "b": 2}, None)
     c = spark.createDataFrame([(1, 0, (0.0, 0.0, 10.0, 10.0)), (1, 1, (0.0, 0.0, 50.0, 50.0)), (1, 2, (0.0, 0.0, 90.0, 90.0)), (2, 0, (0.0, 0.0, 5.0, 5.0))], f"cap int, engine int, box {BOX}")
     assert [(r.cap, r.engine) for r in G.first_engine(c, ["cap"], "engine", "box").collect()] == [(1, 1)]
+
+
+def test_regions_and_unions(spark):
+    box = lambda *b: (float(b[0]), float(b[1]), float(b[2]), float(b[3]))
+    c = spark.createDataFrame([(1, 1, box(100, 500, 300, 520)), (1, 2, box(100, 400, 300, 420))], f"page int, caption_id int, caption_box {BOX}")
+    i = spark.createDataFrame([(1, 1, box(100, 300, 300, 490), 0.1), (1, 2, box(100, 300, 300, 490), 0.9), (1, 3, box(100, 501, 300, 700), 1.0)], f"page int, image_id int, image_box {BOX}, sure double")
+    got = {r.caption_id: (r.image_id, r.score) for r in G.best_above(c, i, ["page"], "caption_id", "image_id", 612.0, 792.0, slack=0.0, confidence="sure").collect()}
+    assert got[1] == (2, 0.973165) and got[2][0] == 2
+    assert G.best_above(c, i, ["page"], "caption_id", "image_id", 612.0, 792.0, confidence="sure", column=(300.0, 600.0)).count() == 0
+    b = spark.createDataFrame([(1, 1, box(5, 5, 100, 100)), (1, 2, box(200, 300, 605, 790)), (1, 3, box(0, 0, 20, 600)), (2, 4, box(0, 0, 9, 9))], f"page int, id int, bbox {BOX}")
+    assert [tuple(r) for r in G.padded_union(b, ["page"], "bbox", 612.0, 792.0).collect()] == [(1, 0.0, 0.0, 612.0, 792.0, 2)]
+    assert sorted(r.id for r in G.large_unclaimed(b, spark.createDataFrame([(2,)], "id int"), ["id"], "bbox", 612.0, 792.0).collect()) == [3]
+
+
+def test_orders_and_letters(spark):
+    f = spark.createDataFrame([(1, 2, "figure", b"x", 5), (1, 2, "scheme", b"y", 3), (1, 1, "figure", None, 9)], "rec int, number int, figure_type string, image binary, id int")
+    assert [r.id for r in G.by_number(f).collect()] == [9, 5, 3] and [r.id for r in G.by_confidence(f, "id").collect()] == [9, 5, 3]
+    r = G.of_number(f, ["rec"], "number", 2, "id").first()
+    assert r.id == 3 and "image" not in r.asDict()
+    l = spark.createDataFrame([("a", 40.0, 2), ("a", 40.0, 1), ("b", 35.0, 1), ("a", 36.0, 0)], "letter string, sure double, id int").withColumn("rec", F.lit(1))
+    assert [(r.letter, r.id) for r in G.best_per_letter(l, ["rec"], "letter", "sure", "id").collect()] == [("a", 1)]
+    assert spark.range(1).select(G.labels_of(F.array(F.lit("B"), F.lit("a")), F.lit(None).cast("array<string>"), F.array(F.lit("b")))).first()[0] == ["a", "b"]

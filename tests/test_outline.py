@@ -39,7 +39,6 @@ def test_small_columns(spark):
     assert d.select(O.nav_window(F.col("s"), F.col("n"))).first()[0] == ["c", "d", "e", "f", "g"]
     assert d.select(O.nav_window(F.col("s"), F.lit(0))).first()[0] == ["a", "b", "c", "d", "e"]
     assert d.select(O.proportional_section(F.lit(9), F.lit(10), F.lit(3)), O.density(F.lit(6))).first()[:] == (2, "is-dense")
-    assert d.select(O.slide_html(F.lit("content"), F.lit("<b>"), F.array(F.lit("**x**")))).first()[0] == '<section class="content title-fit-normal"><h2>&lt;b&gt;</h2><ul><li><span class="highlight">x</span></li></ul></section>'
 
 
 def test_pages(spark):
@@ -71,3 +70,9 @@ def test_figure_references(spark):
     t = "![图1](x.png) ![图1](y.png) [图1,页3] [图2，页4] [Fig.5,6]"
     r = spark.createDataFrame([(t,)], "t string").select(P.image_refs(F.col("t")).alias("i"), P.missing_figures(F.col("t")).alias("m"), P.relative_path(F.lit("/a/b/c.png"), "/a").alias("p")).first()
     assert r.i == {"图1": "y.png"} and [tuple(x) for x in r.m] == [("图2", 4), ("Fig.5", 6)] and r.p == "b/c.png"
+
+
+def test_heads_of_decks(spark):
+    t = "---\ntitle: A\n---\n"
+    r = spark.createDataFrame([(t + "x",)], "t string").select(O.with_inline(O.frontmatter(F.col("t")), O.inline_head(F.lit("Title: B\n作者：Ada\nnote: x\nTITLE: C"))).alias("m")).first()
+    assert r.m == {"title": "A", "author": "Ada"}

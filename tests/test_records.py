@@ -72,3 +72,45 @@ def test_report_entry(spark):
     got = [r.e for r in d.select(S.entry_markdown(F.lit(1), F.col("t"), F.col("a"), F.col("j"), F.col("y"), F.col("b"), F.lit(True)).alias("e")).collect()]
     assert got[0] == "## 1. * Untitled\n**Authors**: A, B, C et al.\n**Journal**: Unknown (n.d.)\n**Abstract**: " + "x" * 300 + "..."
     assert got[1] == "## 1. * T\n**Authors**: Unknown\n**Journal**: J (2001)"
+
+
+def test_summaries_as_items(spark):
+    body = json.dumps({"title": "T", "fulljournalname": "J", "pubdate": "2001 Jan", "articleids": [{"idtype": "doi", "value": "a"}, {"idtype": "doi", "value": "b"}], "authors": [{"name": "Lovelace Ada King", "authtype": "Author"}, {"name": "Li", "authtype": "Author"}, {"name": "G", "authtype": "CollectiveName"}]})
+    i = spark.createDataFrame([(body,), ("{}",)], "b string").select(L.summary_item(F.col("b")).alias("i")).collect()
+    assert [(c.lastName, c.firstName) for c in i[0].i.creators] == [("Lovelace", "Ada King"), ("Li", "")] and (i[0].i.DOI, i[0].i.date, i[0].i.title) == ("b", "2001 Jan", "T")
+    assert i[1].i.creators == [] and i[1].i.DOI == ""
+
+
+def test_citations_against_the_library(spark):
+    c = spark.createDataFrame([("A study of sieves, 2001", "A Study of Sieves"), ("Something else", "A study of sieves"), ("B", None), ("Gone from here", "Gone from here")], "citation string, resolved string")
+    lib = spark.createDataFrame([("a study of sieves", 1), ("A STUDY OF SIEVES", 2), (None, 3)], "title string, pos int")
+    got = {r.citation: (r.in_library, r._item.pos if r._item else None) for r in L.checked_citations(c, "citation", "resolved", lib, "title", "pos").collect()}
+    assert got == {"A study of sieves, 2001": (True, 2), "Something else": (False, None), "B": (False, None), "Gone from here": (False, None)}
+    assert L.checked_citations(c.limit(0), "citation", "resolved", lib, "title", "pos").count() == 0
+
+
+def test_missing_dois(spark):
+    rows = [("a", "Layered sieves for filtration", None, "journalArticle", "Layered Sieves for Filtration.", "10.1/a"), ("b", "Layered sieves", "", "journalArticle", "Something", "10.1/b"), ("c", "T", None, "note", "T", "10.1/c"), ("d", "T", "10.1/d", "book", "T", "x"), ("e", "T", None, "book", "T", None)]
+    d = spark.createDataFrame(rows, "key string, title string, doi string, kind string, c_title string, c_doi string")
+    assert [(r.key, r.found_doi) for r in L.completed_dois(d, "title", "doi", "kind", "c_title", "c_doi").collect()] == [("a", "10.1/a")]
+    assert sorted(r.key for r in L.without_doi(d, "doi", "kind").collect()) == ["a", "b", "e"]
+
+
+def test_library_surface(spark):
+    d = spark.createDataFrame([("k1", "Sieves", ["Ada"], ["x", "y"], None), ("k2", None, ["Bo"], ["y", None], "f.pdf")], "key string, title string, creators array<string>, tags array<string>, file string")
+    assert [r.key for r in L.found_items(d, "SIEVE", ["title", "creators"], "key").collect()] == ["k1"]
+    assert json.loads(L.item_of(d, "key", "k2").first().item)["file"] == "f.pdf"
+    assert sorted(r.tag for r in L.tags_of(d, "tags").collect()) == ["x", "y"]
+    got = [tuple(r) for r in d.select(L.child_line(F.col("key"), F.lit("note"), F.col("title"), F.col("file")), L.collection_line(F.col("key"), F.col("title"), F.lit(None).cast("int")), L.item_line(F.col("key"), F.col("creators"), F.lit("2001-2"), F.col("title"), F.lit(None).cast("string"))).collect()]
+    assert got == [("[k1] note: Sieves", "[k1] Sieves (0 items)", "[k1] Ada (2001) Sieves [?]"), ("[k2] note: f.pdf", "[k2] untitled (0 items)", "[k2] Bo (2001) untitled [?]")]
+
+
+def test_chosen_sources(spark):
+    a, w = spark.range(30).withColumnRenamed("id", "ord"), spark.range(30).withColumnRenamed("id", "ord")
+    count = lambda *x: {r.src_rank: r["count"] for r in S.chosen_sources({"arxiv": a, "wos": w}, "ord", *x).groupBy("src_rank").count().collect()}
+    assert count() == {0: 30, 1: 10} and count("arxiv") == {0: 30} and count("all", 5) == {0: 5, 1: 5}
+    try:
+        count("none")
+    except ValueError:
+        return
+    raise AssertionError

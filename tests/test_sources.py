@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from litloom.operators import reports
 from litloom.sources import files, sinks
 from litloom.streaming import library as stream
 
@@ -23,9 +24,18 @@ def test_atom_rows(spark):
 def test_recorded_pages(spark, tmp_path):
     (tmp_path / "0.json").write_text(json.dumps([{"key": "a", "data": {"t": 1}}, {"key": "b"}]))
     (tmp_path / "2.json").write_text("broken")
-    spark.dataSource.register(files.RecordedSource)
-    got = spark.read.format("recorded").option("path", str(tmp_path)).option("size", 2).option("total", 5).load().collect()
-    assert sorted((r.key, r.data) for r in got) == [("a", '{"t": 1}'), ("b", "{}")]
+    (tmp_path / "4.json").write_text(json.dumps([{"key": "c"}]))
+    (tmp_path / "6.json").write_text(json.dumps([{"key": "d"}]))
+    got = files.recorded(spark, str(tmp_path), size=2, total=5).collect()
+    assert sorted((r.key, r.data) for r in got) == [("a", '{"t":1}'), ("b", "{}"), ("c", "{}")]
+
+
+def test_problems_of_files(spark, tmp_path):
+    for name, body in (("a.pdf", b"%PDF-1.4 /Type /Page "), ("b.pdf", b"%PDF-1.4 /Encrypt 5 0 R"), ("c.pdf", b"%PDF-1.4 /Count 0"), ("d.pdf", b"<html>")):
+        (tmp_path / name).write_bytes(body)
+    wanted = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("c.pdf",), ("d.pdf",), ("e.pdf",)], "name string")
+    got = files.wanted_documents(wanted, "name", files.binary_documents(spark, str(tmp_path))).collect()
+    assert {r.name: r.problem for r in got} == {"a.pdf": None, "b.pdf": "encrypted", "c.pdf": "corrupt", "d.pdf": "corrupt", "e.pdf": "missing"}
 
 
 def test_folders_and_library(spark, tmp_path):
@@ -40,22 +50,28 @@ def test_folders_and_library(spark, tmp_path):
     assert [r.citation for r in files.citation_lines(spark, str(tmp_path / "cites.txt")).collect()] == ["one", "two"]
 
 
-def test_summary_sheet(spark, tmp_path):
+def test_sheets_and_decks(spark, tmp_path):
     out = str(tmp_path / "s")
-    sinks.write_summary_csv(spark.createDataFrame([(1, 9, None)], "id int, problem int, results int"), ["problem", "results"], out)
-    r = spark.read.option("header", True).csv(out).first()
-    assert r.problem_Coverage == "0.90" and r.results_Coverage == "0.00"
+    df = spark.createDataFrame([(1, 'A "b"', 9)], "id int, title string, tenths int")
+    sinks.write_sheet(df, [F.col("title").alias("Title"), reports.hundredths(F.col("tenths")).alias("Problem_Coverage"), reports.hundredths(F.lit(None).cast("int")).alias("Results_Coverage")], out)
+    r = spark.read.option("header", True).option("escape", '"').csv(out).first()
+    assert tuple(r) == ('A "b"', "0.90", "0.00")
+    sinks.write_json(df, out + "j")
+    assert spark.read.json(out + "j").first().tenths == 9
+    page = spark.createDataFrame([("<html>", "{}")], "index_html string, deck_json string").first()
+    sinks.write_deck(page, str(tmp_path / "deck"))
+    assert (tmp_path / "deck" / "index.html").read_text() == "<html>" and (tmp_path / "deck" / "assets" / "style.css").exists()
 
 
 def test_stream_keeps_the_library(spark, tmp_path):
     src, lib = str(tmp_path / "in"), str(tmp_path / "lib")
     schema = "k string, v string, seq long"
-    for n, rows in enumerate([[("a", "1", 0), ("b", "1", 1)], [("a", "2", 2)]]):
+    for rows in ([("a", "1", 0), ("b", "1", 1), ("c", "1", 1)], [("a", "2", 2)], [("d", "1", 0), ("b", "3", 5)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = stream.keep_library(spark.readStream.schema(schema).parquet(src), lib, ["k"], "seq", str(tmp_path / "cp"))
+        q = stream.keep_library(spark.readStream.schema(schema).parquet(src), lib, ["k"], "seq", str(tmp_path / "cp"), buckets=4)
         q.awaitTermination()
-        got = {r.k: r.v for r in spark.read.parquet(f"{lib}/v={n}").collect()}
-    assert got == {"a": "2", "b": "1"}
+    got = spark.read.parquet(lib)
+    assert {r.k: r.v for r in got.collect()} == {"a": "2", "b": "3", "c": "1", "d": "1"} and got.count() == 4
 
 
 def test_tumbling_stream(spark, tmp_path):

@@ -42,7 +42,7 @@ def test_emphasis_goes_by_list_order(spark):
 
 def test_markup_is_escaped_first(spark):
     got = one(spark, T.inline_markup(F.col("t")), t="<script> & **x** ==y==")
-    assert got == '&lt;script&gt; &amp; <span class="highlight">x</span> <span class="highlight">y</span>'
+    assert got == '&lt;script&gt; &amp; <span class="text-highlight">x</span> <span class="text-highlight">y</span>'
 
 
 def test_names_and_keys(spark):
