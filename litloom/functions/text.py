@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 LETTER = "[\\p{L}\\p{M}\\p{N}_]"
 
 
+def bind(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)`` with ``c`` computed once per row: an expression that is used inside a lambda would be computed for each element anew."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def clean(c: Column) -> Column:
     """Runs of white space of any kind as one space, none at the ends; '' for null."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{SPACE}+", " "))
@@ -61,8 +66,8 @@ def keyword_sentences(text: Column, words: Sequence[str]) -> Column:
 
 def first_distinct(items: Column, key_chars: int = 120) -> Column:
     """Items whose lower-cased beginning has not come before, in order."""
-    keys = F.transform(items, lambda s: F.lower(F.substring(s, 1, key_chars)))
-    return F.filter(items, lambda s, i: F.array_position(keys, F.lower(F.substring(s, 1, key_chars))) == i + 1)
+    key = lambda s: F.lower(F.substring(s, 1, key_chars))
+    return bind(items, lambda all_: bind(F.transform(all_, key), lambda keys: F.filter(all_, lambda s, i: F.array_position(keys, key(s)) == i + 1)))
 
 
 def compact_hits(text: Column, words: Sequence[str], limit: int, least: int = 30) -> Column:

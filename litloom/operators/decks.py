@@ -33,8 +33,8 @@ def merged(*values: Column) -> Column:
 
 def bullets(values: Column, fallback: str, most: int = 5, chars: int = 260) -> Column:
     """Bullet lines of the first values, shortened and emphasised; the fallback if there are none."""
-    shown = F.when(F.size(values) > 0, F.slice(values, 1, most)).otherwise(F.array(F.lit(fallback)))
-    return F.transform(shown, lambda v: F.concat(F.lit("- "), T.emphasised(T.shorten(v, chars), V.EMPHASIS)))
+    shown = T.bind(values, lambda all_: F.when(F.size(all_) > 0, F.slice(all_, 1, most)).otherwise(F.array(F.lit(fallback))))
+    return F.transform(F.transform(shown, lambda v: T.shorten(v, chars)), lambda v: F.concat(F.lit("- "), T.emphasised(v, V.EMPHASIS)))
 
 
 def first_figures(captions: DataFrame, key: str, number: str, page: str, caption: str, image: Column, tie: str, most: int = 6) -> DataFrame:

@@ -103,13 +103,17 @@ def meta(df: DataFrame, key: str, text: str, keys: Mapping[str, Sequence[str]] =
     return df.select(key).distinct().join(picked, key, "left")
 
 
+def last_of_each(pairs: Column) -> Column:
+    """Of pairs ``struct(k, v)`` the last one of each key."""
+    return T.bind(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda q: q["k"] == p["k"])))
+
+
 def frontmatter(text: Column) -> Column:
     """``map<string,string>`` of the block between ``---`` lines at the beginning; the last value of a key counts."""
     block = F.regexp_extract(F.regexp_replace(text, r"\r\n?", "\n"), r"^---\n((?:[^\n]*\n)*?)---(?:\n|$)", 1)
     rows = F.filter(F.split(block, "\n"), lambda l: l.rlike("^[^:]+:"))
     pairs = F.transform(rows, lambda l: F.struct(F.lower(T.strip(F.regexp_extract(l, "^([^:]+):", 1))).alias("k"), T.strip(F.regexp_extract(l, "^[^:]+:(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(last_of_each(pairs))
 
 
 def with_inline(front: Column, inline: Column) -> Column:
@@ -132,8 +136,7 @@ def inline_head(text: Column, keys: Mapping[str, Sequence[str]] = META_KEYS, fir
         return out
 
     pairs = F.filter(F.transform(rows, lambda l: F.struct(of(l).alias("k"), T.bare(F.regexp_extract(l, pattern, 2)).alias("v"))), lambda p: p["k"].isNotNull())
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(last_of_each(pairs))
 
 
 def warnings(title: Column, author: Column, n_sections: Column) -> Column:

@@ -69,10 +69,14 @@ def figure_mark(line: Column) -> Column:
 
 def head(lines: Column, keys: Sequence[tuple[str, Sequence[str]]] = V.OUTLINE_KEYS) -> Column:
     """``struct`` of the head's fields: the value of the last line whose key names a field; a colon comes before a wide one."""
-    pairs = F.transform(F.filter(lines, is_key_value), _pair)
-    kinds = F.transform(pairs, lambda p: F.struct(T.ladder(p["k"], [(words, name) for name, words in keys], "").alias("kind"), p["v"].alias("v")))
-    last = lambda name: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(kinds, lambda p: p["kind"] == name), lambda p: p["v"])), -1), F.lit(""))
-    return F.struct(*(last(name).alias(name) for name, _ in keys))
+    kind = lambda p: F.struct(T.ladder(p["k"], [(words, name) for name, words in keys], "").alias("kind"), p["v"].alias("v"))
+    found = F.transform(F.transform(F.filter(lines, is_key_value), _pair), kind)
+
+    def last(kinds: Column, name: str) -> Column:
+        values = F.filter(kinds, lambda p: p["kind"] == name)
+        return F.coalesce(F.get(values, F.size(values) - 1)["v"], F.lit(""))
+
+    return T.bind(found, lambda kinds: F.struct(*(last(kinds, name).alias(name) for name, _ in keys)))
 
 
 def _pair(line: Column) -> Column:
@@ -85,19 +89,28 @@ def _pair(line: Column) -> Column:
 def sections(lines: Column) -> Column:
     """``array<struct(title, content)>``: content lines under their header, in order; what stands before the first has no section."""
     kept = F.filter(lines, lambda l: (l != "") & (is_figure(l) | ~is_key_value(l)))
-    headed = F.transform(kept, lambda l: ~is_figure(l) & is_header(l))
-    at = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: (F.size(kept) > 0) & F.coalesce(F.get(headed, i - 1), F.lit(False)))
-    end = lambda k: F.coalesce(F.get(at, k + 1), F.size(kept) + 1)
-    return F.transform(at, lambda i, k: F.struct(header_title(F.get(kept, i - 1)).alias("title"), F.slice(kept, i + 1, F.greatest(F.lit(0), end(k) - i - 1)).alias("content")))
+
+    def parted(kept: Column, at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(kept))
+        return F.transform(at, lambda i, k: F.struct(header_title(F.get(kept, i)).alias("title"), F.slice(kept, i + 2, end(k) - i - 1).alias("content")))
+
+    return T.bind(kept, lambda kept: T.bind(_places(kept, lambda l: ~is_figure(l) & is_header(l)), lambda at: parted(kept, at)))
+
+
+def _places(lines: Column, wanted) -> Column:
+    """The places, from 0, of lines of a kind."""
+    return F.filter(F.transform(lines, lambda l, i: F.when(wanted(l), i)), lambda i: i.isNotNull())
 
 
 def page(title: Column, content: Column) -> Column:
     """A section's page: its type, its items without bullets, its events if it is a timeline, its figures."""
-    plain = F.transform(F.filter(content, lambda l: ~is_figure(l)), lambda l: F.regexp_replace(l, V.OUTLINE_BULLET, ""))
-    items = F.filter(plain, lambda l: l != "")
-    kind = P.page_type(title, plain)
     figures = F.transform(F.filter(content, is_figure), figure_mark)
-    return F.struct(kind.alias("page_type"), items.alias("items"), F.when(kind == "timeline", F.transform(items, P.timeline_event)).alias("events"), figures.alias("figures"))
+
+    def of(plain: Column) -> Column:
+        items = F.filter(plain, lambda l: l != "")
+        return T.bind(P.page_type(title, plain), lambda kind: F.struct(kind.alias("page_type"), items.alias("items"), F.when(kind == "timeline", F.transform(items, P.timeline_event)).alias("events"), figures.alias("figures")))
+
+    return T.bind(F.transform(F.filter(content, lambda l: ~is_figure(l)), lambda l: F.regexp_replace(l, V.OUTLINE_BULLET, "")), of)
 
 
 def outlines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,20 +146,19 @@ def tagged_outline(outline: Column, paths: Column) -> Column:
     took = lambda key: T.bare(F.regexp_extract(outline, f"{key}[：:]\\s*([^\\n]+)", 1))
     named = (("文章标题", "主题"), ("汇报人", "汇报人"), ("导师", "导师"), ("汇报时间", "时间"))
     top = F.array_compact(F.array(*(F.when(took(k) != "", F.concat(F.lit(f"{shown}："), took(k))) for k, shown in named), F.lit("")))
-    lines = F.split(outline, "\n")
     header = r"^###\s*[0-9]+\.\s*([^\n]+)"
     reference = r"\[([图表Fig\.]+[0-9]*)[,，]页?[0-9]+\]"
-    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(header))
 
-    def flushed(i: Column, k: Column) -> Column:
-        content = F.slice(lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(lines) + 1) - i - 1)
+    def flushed(lines: Column, at: Column, i: Column, k: Column) -> Column:
+        content = F.slice(lines, i + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - i - 1)
         bullets = F.filter(F.transform(F.filter(content, lambda l: ~l.rlike(reference) & l.rlike(r"^-\s+([^\n]+)")), lambda l: T.bare(F.regexp_extract(l, r"^-\s+([^\n]+)", 1))), lambda x: (x != "") & ~F.contains(x, F.lit("（请填写）")))
         labels = F.filter(F.flatten(F.transform(content, lambda l: F.regexp_extract_all(l, F.lit(reference), F.lit(1)))), lambda x: F.array_contains(F.map_keys(paths), x))
         marks = F.transform(labels, lambda x: F.concat(F.lit("<!-- 图: "), x, F.lit(" | path="), F.element_at(paths, x), F.lit(" | position=right -->")))
-        title = T.bare(F.regexp_extract(F.get(lines, i - 1), header, 1))
+        title = T.bare(F.regexp_extract(F.get(lines, i), header, 1))
         return F.concat(F.array(F.concat(F.lit("\n"), (k + 1).cast("string"), F.lit(". "), title)), F.transform(bullets, lambda b: F.concat(F.lit("- "), b)), marks)
 
-    return F.array_join(F.concat(top, F.flatten(F.transform(at, flushed))), "\n")
+    body = T.bind(F.split(outline, "\n"), lambda lines: T.bind(_places(lines, lambda l: l.rlike(header)), lambda at: F.flatten(F.transform(at, lambda i, k: flushed(lines, at, i, k)))))
+    return F.array_join(F.concat(top, body), "\n")
 
 
 def tag_lines(sections_: Column) -> Column:
@@ -157,9 +169,15 @@ def tag_lines(sections_: Column) -> Column:
 
 def untagged(sections_: Column, translated: Column) -> Column:
     """Sections with the texts that tagged lines give; a tag that is missing, empty or unknown changes nothing, the last of a tag counts."""
-    lines = F.transform(F.split(translated, T.LINE_END), T.bare)
-    found = lambda tag, old: F.coalesce(F.element_at(F.concat(F.array(old), F.transform(F.filter(lines, lambda l: F.startswith(l, tag) & (F.length(l) > F.length(tag))), lambda l: T.bare(F.substring(l, F.length(tag) + 1, F.length(l))))), -1), old)
-    return F.transform(sections_, lambda s, i: F.struct(found(F.format_string("[SEC%d]", i), s["title"]).alias("title"), F.transform(s["items"], lambda x, j: found(F.format_string("[S%dI%d]", i, j), x)).alias("items")))
+
+    def found(lines: Column, tag: Column, old: Column) -> Column:
+        given = F.transform(F.filter(lines, lambda l: F.startswith(l, tag) & (F.length(l) > F.length(tag))), lambda l: T.bare(F.substring(l, F.length(tag) + 1, F.length(l))))
+        return F.coalesce(F.element_at(F.concat(F.array(old), given), -1), old)
+
+    def of(lines: Column) -> Column:
+        return F.transform(sections_, lambda s, i: F.struct(found(lines, F.format_string("[SEC%d]", i), s["title"]).alias("title"), F.transform(s["items"], lambda x, j: found(lines, F.format_string("[S%dI%d]", i, j), x)).alias("items")))
+
+    return T.bind(F.transform(F.split(translated, T.LINE_END), T.bare), of)
 
 
 def blocks_outline(blocks: DataFrame, key: str, most: int = 12) -> DataFrame:

@@ -150,8 +150,9 @@ def slides(df: DataFrame, key: str, text: str, most: int = 6) -> DataFrame:
 def image_refs(text: Column) -> Column:
     """``map`` of the labels of a text's images to their paths; the last path of a label counts."""
     named = F.zip_with(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)), lambda k, v: F.struct(T.strip(k).alias("k"), T.strip(v).alias("v")))
-    last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    from litloom.operators.outline import last_of_each
+
+    return F.map_from_entries(last_of_each(named))
 
 
 def missing_figures(text: Column) -> Column:
@@ -160,7 +161,7 @@ def missing_figures(text: Column) -> Column:
     labels = F.regexp_extract_all(text, F.lit(r"\[([图表Fig.]+\d*)[,，]页?(\d+)\]"), F.lit(1))
     pages = F.regexp_extract_all(text, F.lit(r"\[([图表Fig.]+\d*)[,，]页?(\d+)\]"), F.lit(2))
     both = F.zip_with(labels, pages, lambda l, p: F.struct(l.alias("label"), p.cast("int").alias("page")))
-    return F.filter(both, lambda r: ~F.array_contains(have, r["label"]))
+    return T.bind(have, lambda known: F.filter(both, lambda r: ~F.array_contains(known, r["label"])))
 
 
 def relative_path(path: Column, base: str) -> Column:
