@@ -107,7 +107,7 @@ def shape(name: str) -> tuple[str, list[str], int, str]:
 
 
 class Given:
-    """Words known to be given names, and their slips."""
+    """Words known to be given names, and their slips; ``read`` is ``parse``, remembered, as names repeat."""
 
     def __init__(self, words: Collection[str] = ()):
         self.words = frozenset(words)
@@ -117,6 +117,7 @@ class Given:
                 for trie, form in zip(self.tries, forms(w)):
                     trie.add(form, (0, w))
         self.root = functools.lru_cache(1 << 16)(self._root)
+        self.read = functools.lru_cache(1 << 17)(lambda name: parse(name, self))
 
     def _root(self, word: str) -> str | None:
         first = word.split("-")[0]

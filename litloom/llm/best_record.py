@@ -30,7 +30,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.author_names import Given, _batched, _groups, parse, usual_given
+from litloom.llm.author_names import Given, _batched, _groups, usual_given
 from litloom.llm.canonical_list import Entries
 from litloom.llm.glyphs import distance, folded
 from litloom.llm.names import FULL_OF
@@ -76,7 +76,7 @@ def clean_year(year: int | None, seen: int | None = None) -> int | None:
 
 
 def author_tokens(names: list[str | None] | None, given: Given = Given()) -> str | None:
-    got = ["|".join(p) for n in names or () if n and (p := parse(n, given))[0]]
+    got = ["|".join(p) for n in names or () if n and (p := given.read(n))[0]]
     return "\x1e".join(got) or None
 
 
