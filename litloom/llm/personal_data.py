@@ -318,9 +318,9 @@ def spans(text: str | None, known: Uses = NO_USES) -> list[tuple[int, int, str]]
             if (got := _id(text, b)) is not None:
                 found.append((*got, "id_number"))
         elif kind == "address":
-            lo = max(0, a - 60)
+            lo = max(0, a - 100)
             for p in ADDRESSES:
-                for m in p.finditer(text, lo, min(len(text), b + 90)):
+                for m in p.finditer(text, lo, min(len(text), b + 140)):
                     if m.start() < b and m.end() > a:
                         found.append((*m.span(), "address"))
         elif kind == "cue":
