@@ -81,3 +81,14 @@ def test_tumbling_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("hours").collect()) == [1, 2]
+
+
+def test_small_text_files_are_spread(spark, tmp_path):
+    from litloom.sources.tables import spread, table
+
+    spark.range(10).selectExpr("id as doc_id", "'x' as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = table(spark, str(tmp_path), "documents")
+    cores = spark.sparkContext.defaultParallelism
+    assert df.count() == 10 and (cores < 2 or df.rdd.getNumPartitions() == cores)
+    many = spark.range(0, 100, 1, cores)
+    assert spread(many) is many
