@@ -194,8 +194,14 @@ class Lower:
 
     def __init__(self, text: str):
         self.text = text
+        self.known: dict[object, bool] = {}
 
     def __contains__(self, word: object) -> bool:
+        if word not in self.known:
+            self.known[word] = self._has(word)
+        return self.known[word]
+
+    def _has(self, word: object) -> bool:
         t, n, at = self.text, len(word), self.text.find(word)
         while at >= 0:
             before, after = t[at - 1 : at] if at else "", t[at + n : at + n + 1]

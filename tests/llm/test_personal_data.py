@@ -99,3 +99,15 @@ def test_rows(spark):
     assert op.find(df, "doc_id", "text").count() == 2
     assert op.redact(df, "doc_id", "text").count() == 6
     assert op.find(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    part = "Also Al Kumar went along. Tel: 212-867-5309, then mail a@b.example now; Rajesh Foskal and Priya Li saw it at 12 Long Lane, Quillan. "
+    took = []
+    for n in (200, 1600):
+        began = time.perf_counter()
+        assert len(op.spans(part * n)) >= 4 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 1
