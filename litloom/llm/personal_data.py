@@ -49,6 +49,8 @@ OTHER_ADDRESS = ("p.o. box", "po box", "p. o. box", "postfach", "straße ", "str
 NAME_CUES = ("author:", "author note:", "interviewee:", "contact ", "contact : ", "kontakt: ", "contacto: ", "interview ", "signed as ", "form of ", "addressed to ", "forwarded by ", "repaired by ", "participant (", "probandin ", "proband ", "patient ", "patiente ", "participante ", "we thank ", "thanks to ", "thank ", "remercions ", "agradecemos a ", "dank an ", "danken ", "frau ", "herrn ", "mr. ", "mrs. ", "ms. ", "dr. ", "prof. ", "monsieur ", "madame ", "señora ", "señor ", "通讯作者：", "感谢 ", "感谢", "协力者 ", "協力者 ", "連絡先：", "联系人：", "患者", "受访者：", "written by ", "by ")
 INSTITUTIONS = ("foundation", "fellowship", "award", "prize", "medal", "institute", "lecture", "lectureship", "chair", "scholarship", "fund", "trust", "society", "center", "centre", "laboratory", "lab", "school", "hospital", "library", "university", "college", "museum", "grant", "method", "test", "model", "algorithm", "equation", "index", "criterion", "theorem", "effect", "procedure", "protocol", "estimator", "score", "scale", "transform", "filter", "kernel", "simulation", "analysis", "statistic", "statistics", "plot", "curve", "regression", "distribution", "correction", "chain", "sampling", "syndrome", "disease", "law", "constant", "process", "network", "architecture", "river", "lake", "island", "islands", "sea", "ocean", "bay", "valley", "city", "stiftung", "preis", "stipendium", "fondation", "bourse", "prix", "fundación", "premio", "beca", "基金", "奖", "財団", "賞")
 
+INSTITUTION_WORDS = frozenset(INSTITUTIONS)
+
 LOCAL = re.compile(r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?$")
 DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+|\s?[\[({]\.[\])}]\s?)"
 DOMAIN = re.compile(rf"(?a:[A-Za-z0-9][A-Za-z0-9-]*)(?:{DOT}(?a:[A-Za-z0-9][A-Za-z0-9-]*))+")
@@ -126,7 +128,7 @@ SEPARATE = r"\s*[;·|•]\s*|\s+(?:and|und|et|y|&)\s+"
 ONE = rf"(?:{W}(?: {MIDDLE})?(?: (?:{PARTICLE})?{W}){{1,2}}|{INITIALS} ?(?:{PARTICLE})?{W}|(?:{PARTICLE})?{W}, {W}(?: {MIDDLE})?(?! ?{W})|{W},? {INITIALS})"
 NAME = re.compile(ONE)
 TURNED = re.compile(rf"(?<![\p{{L}}.'’-]){W}, {W}(?: {MIDDLE})?(?! ?(?:{MIDDLE} )?{W})")
-CUED = re.compile(rf"\s?(?:(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Frau|Herrn?|Mme|M\.|Sr\.|Sra\.|Dra\.)\s)*({ONE})")
+CUED = re.compile(rf"\s?(?:(?:Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.|Frau|Herrn?|Mme|M\.(?!\s?\p{{Lu}}\.)|Sr\.|Sra\.|Dra\.)\s)*({ONE})")
 #: Cues that announce other things as well.
 WEAK = frozenset(("by ", "contact ", "patient ", "interview ", "form of "))
 ARTICLE = re.compile(r"(?:\b(?:[Tt]he|THE|[Dd]er|[Dd]ie|[Dd]as|[Ll]a|[Ll]e|[Ee]l|[Ll]os)\s)$")
@@ -150,7 +152,7 @@ class Uses:
 
     def like_name(self, word: str, here: Container[str] = ()) -> bool:
         low = word.lower()
-        return low not in NOT_NAME and (low in self.given or low not in self.ordinary and low not in here)
+        return low not in NOT_NAME and (low in self.given or low not in self.ordinary and low not in INSTITUTION_WORDS and low not in here)
 
 
 NO_USES = Uses()
@@ -380,8 +382,14 @@ def _runs(text: str, known: Uses, here: Container[str]) -> Iterator[tuple[int, i
             yield (*m.span(), "name")
 
 
+NUMBERED = re.compile(r"[-–/#]?\d|[-–/]\p{Lu}")
+
+
 def _sure_run(text: str, a: int, b: int, full: int, known: Uses) -> bool:
     words = WORDS(text[a:b])
+    # Letters of an identifier, and what has a number behind it.
+    if NUMBERED.match(text, b) or any(w.isupper() for w in words[1:-1]) and not words[0].isupper():
+        return False
     if any(len(w) > 1 and w.isupper() for w in words) and (words[0].isupper() or len(words[-1]) < 3) and words[0].lower() not in known.given:
         return False
     # Three words where a sentence begins: the first may be any word that the corpus hasn't shown yet.

@@ -53,11 +53,16 @@ def test_names_on_no_list():
 
 def test_capitalised_words_that_are_no_names():
     known = op.Uses(frozenset(("selon", "marine", "biology", "membran")), frozenset(("rajesh",)))
-    texts = ["Selon Kumar, la phase reste stable.", "Marine Biology\n\nText.", "Die Membran Kumar", "We used a Monte Carlo simulation.", "The Rajesh Kumar Fellowship pays.", "5 mg/L. Selon the rest.", "In New York it rained."]
+    texts = ["Selon Kumar, la phase reste stable.", "Marine Biology\n\nText.", "Die Membran Kumar", "We used a Monte Carlo simulation.", "The Rajesh Kumar Fellowship pays.", "5 mg/L. Selon the rest.", "In New York it rained.", "Trial ID REG-6960-776 covers it.", "The<s> Gregory Zourmiamubreth Foundation paid."]
     assert [op.spans(t, known) for t in texts] == [[] for _ in texts]
     assert [t[a:b] for t in ["So did Kumar, Rajesh and others."] for a, b, _ in op.spans(t, known)] == ["Kumar, Rajesh"]
 
 
+def test_initials_behind_a_cue_are_no_title():
+    assert found("Corresponding author: M. N. Caluskeosiarm, tel. +1 217 555 0164.") == {("name", "M. N. Caluskeosiarm"), ("phone", "+1 217 555 0164")}
+    assert found("Nous remercions M. Paul Caluskeosiarm.") == {("name", "Paul Caluskeosiarm")}
+
+
 def test_numbers_of_any_exchange_and_all_that_a_cue_announces():
     numbers = [f"212-867-53{k:02d}" for k in range(40)]
     assert found("Tel: " + ", ".join(numbers)) == {("phone", n) for n in numbers}
