@@ -2,10 +2,10 @@
 
 1. All texts are counted once: each word with its occurrences in born-digital and in other texts. The frequent words,
    those that make up at least 1/50000 of all (so never more than 50000, whatever the data), go to the executors.
-2. Skip-gram vectors of all frequent words are learned on ``FIT_TEXTS`` born-digital and as many scanned texts, those
-   with the smallest hash; how well a word fits where it stands is the mean product of its vector with its neighbours'
-   output vectors. What frequent words reach at their own places sets the marks: ``floor``, which all but one in a
-   hundred reach, and ``usual``, which half of them reach.
+2. Skip-gram vectors of all frequent words are learned from all texts: every pair of frequent words within the window is
+   counted, and the vectors are fitted to these counts (``Fit``); how well a word fits where it stands is the mean product
+   of its vector with its neighbours' output vectors. What frequent words reach at all of their own places sets the marks:
+   ``floor``, which all but one in a hundred reach, and ``usual``, which half of them reach.
 3. Each scanned text is read line by line: page numbers (a decorated number, or a plain one that counts on from page to
    page), running heads (journal names, ``author · title``, capitals, or a line beside a page number that breaks the
    sentence and returns on other pages), words broken at line ends, and rare words within a plausible glyph edit of a
@@ -14,7 +14,7 @@
    where any edit makes another word, counts only if the one meant reaches the usual mark.
 4. A suspicious word is dropped from the findings if the born-digital texts have it; one that has no frequent
    neighbour (a name, say) counts if it is a slip of a more frequent word, found by the trie join of all rare words.
-   Frequent words that the fitted texts lack have no vector and go by the edit alone.
+   Frequent words that never stand beside another have no vector and go by the edit alone.
 5. ``repair`` removes the furniture, joins broken words, puts the words meant and reflows the paragraphs.
 
 Defined results: null, empty and blank texts have no noise and are repaired to themselves; rows with a null id are left
@@ -24,8 +24,8 @@ out of the findings; a repeated row repeats no finding; extra columns are ignore
 from __future__ import annotations
 
 import functools
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,17 @@ from litloom.plans.lineage import cut
 SHARE = 50_000
 LEAST = 3
 OFTEN = 8
-#: The vectors are learned on so many texts of each kind, and no more than so many characters of each.
-FIT_TEXTS = 200
-FIT_CHARACTERS = 20_000
 DIMENSIONS = 24
 WINDOW = 3
+#: Bounds of memory, not of what is read: words that a block of texts has before it is closed, different pairs that a task
+#: holds before it hands them on, and cells of the matrix of words by words that are worked on at a time.
+BLOCK = 250_000
+HELD = 2_000_000
+CELLS = 500_000
+#: MB of the row groups of tables with wide rows.
+WIDE = 8
+#: The marks are exact to this part of a unit.
+GRAIN = 1000
 # Signs of a word broken at the end of its line, ligatures, the forms of a page number, and the small words
 # before which a hyphen is suspended.
 BREAKS = "-¬­‐"
@@ -74,31 +80,76 @@ def plain(word: str) -> str:
     return word.replace("’", "'").casefold()
 
 
+class _Lowered(dict):
+    """The plain form of each token, remembered for the last of them."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[raw] = low = plain(raw.strip("’'"))
+        return low
+
+
 # -- 1 words ------------------------------------------------------------------------------------------------------------
 
 
 COUNTED = re.compile(r"[\p{L}\p{M}\d’']+(?:-[\p{L}\p{M}\d’']+)*").findall
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, clean, n`` of ``text, clean`` rows: occurrences in born-digital texts and in all."""
+class _Block:
+    """The words of some texts, and the texts as places among these words."""
+
+    def __init__(self, low: dict[str, str]):
+        self.words: dict[str, int] = {}
+        self.ids = _Numbered(self.words, low)
+        self.clean, self.other = array("i"), array("i")
+
+    def add(self, text: str, clean: bool) -> bool:
+        """Whether the block is full."""
+        to = self.clean if clean else self.other
+        to.extend(map(self.ids.__getitem__, COUNTED(text)))
+        to.append(-1)
+        return len(self.clean) + len(self.other) >= BLOCK
+
+    def row(self) -> pa.RecordBatch:
+        clean, other = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (self.clean, self.other))
+        in_clean, in_other = (np.bincount(x[x >= 0], minlength=len(self.words)) for x in (clean, other))
+        cols = [list(self.words)], [in_clean], [in_clean + in_other], [np.concatenate([clean, other]).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["words", "clean", "n", "places"])
+
+
+class _Numbered(dict):
+    """The number of each token's plain form."""
+
+    def __init__(self, words: dict[str, int], low: dict[str, str]):
+        self.words, self.low = words, low
+
+    def __missing__(self, raw: str) -> int:
+        self[raw] = k = self.words.setdefault(self.low[raw], len(self.words))
+        return k
+
+
+def spelled(texts: DataFrame) -> DataFrame:
+    """``words, clean, n, places`` of ``text, clean`` rows: blocks of whole texts with the occurrences of their words in born-digital texts and in all; ``places`` has the texts themselves, as int32 places in ``words`` with -1 behind each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = _Lowered()
+        block = _Block(low)
         for b in batches:
-            c: tuple[Counter, Counter] = (Counter(), Counter())
             for t, clean in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if t:
-                    c[bool(clean)].update(COUNTED(t))
-            low: dict[str, list[int]] = {}
-            for clean in (0, 1):
-                for w, n in c[clean].items():
-                    x = low.setdefault(plain(w.strip("’'")), [0, 0])
-                    x[0] += n * clean
-                    x[1] += n
-            low.pop("", None)
-            yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array([x[0] for x in low.values()], pa.int64()), pa.array([x[1] for x in low.values()], pa.int64())], names=["word", "clean", "n"])
+                if t and block.add(t, bool(clean)):
+                    yield block.row()
+                    block = _Block(low)
+        if block.words:
+            yield block.row()
 
-    return texts.select("text", "clean").mapInArrow(run, "word string, clean long, n long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
+    return texts.select("text", "clean").mapInArrow(run, "words array<string>, clean array<long>, n array<long>, places binary")
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """``word, clean, n`` of ``spelled`` texts: occurrences in born-digital texts and in all."""
+    words = blocks.selectExpr("inline(arrays_zip(words, clean, n))").where("words <> ''")
+    return words.groupBy(F.col("words").alias("word")).agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
 
 
 class Words:
@@ -184,43 +235,238 @@ class Context:
 NO_CONTEXT = Context({}, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32))
 
 
-def skip_grams(texts: list[str], words: dict[str, int], epochs: int = 3, negatives: int = 4, rate: float = 0.05) -> Context:
-    """Vectors of the frequent words that the texts have, by skip-gram with negative sampling; the texts and the seed fix the result."""
-    read = [[w for w in (plain(x) for x, _ in tokens(t)) if w in words] for t in texts]
-    ids = {w: k for k, w in enumerate(sorted({w for t in read for w in t}))}
-    if len(ids) < 2:
+def numbered(words: list[str], places: np.ndarray, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent words of a block of texts in their order, and for each the number of its text."""
+    s = np.array([*(ids.get(w, -1) for w in words), -2], np.int64)[places]
+    text, keep = np.cumsum(s == -2), s >= 0
+    return s[keep], text[keep]
+
+
+def pairs(s: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """``smaller * size + larger`` for all two words within the window of each other."""
+    out = [np.zeros(0, np.int64)]
+    for k in range(1, WINDOW + 1):
+        same = text[k:] == text[:-k]
+        a, b = s[:-k][same], s[k:][same]
+        out.append(np.minimum(a, b) * size + np.maximum(a, b))
+    return np.concatenate(out)
+
+
+class _Tally:
+    """Counts keys; memory follows the different ones."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        if sum(map(len, self.waiting)) >= HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        new, n = np.unique(np.concatenate([np.zeros(0, np.int64), *self.waiting]), return_counts=True)
+        self.waiting = []
+        keys, n = np.concatenate([self.keys, new]), np.concatenate([self.n, n])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.concatenate([np.ones(len(keys[:1]), bool), keys[1:] != keys[:-1]]))
+        self.keys, self.n = keys[at], np.add.reduceat(n, at) if len(at) else n
+
+    def taken(self) -> pa.RecordBatch:
+        """What was counted so far; the tally is empty then."""
+        self.settle()
+        keys, n = self.keys, self.n
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+class Fit:
+    """Skip-gram with negative sampling as a task for each word: the counted pairs are its positive examples, weighted down where both words are frequent, and instead of drawn negatives their expectation is taken.
+
+    With the vectors of one side fixed, the best vectors of the other are independent of each other, so that each row of
+    the matrix of pairs is solved by itself, in any number of tasks, over all columns. ``prior`` pulls each vector to zero
+    as so many examples would: what a word was seen with a few times says little for or against it.
+    """
+
+    def __init__(self, n: np.ndarray, negatives: int = 4, prior: float = 25.0):
+        self.negatives, self.prior = negatives, prior
+        self.kept = np.minimum(1.0, np.sqrt(2e-3 * max(1, n.sum()) / np.maximum(n, 1)))
+        self.weight = np.zeros(len(n))
+
+    def row(self, x: int, near: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return n * self.kept[near] * self.kept[x]
+
+    def noise(self, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a word and of a word of the other side: the product is how often the two are a negative example."""
+        p = self.weight**0.75
+        p, w = p / p.sum(), self.weight / self.weight.sum()
+        return (np.ones(len(p)), p) if side == 0 else (p / np.where(w > 0, w, 1), w)
+
+    def solved(self, side: int, rows: list[tuple[int, np.ndarray, np.ndarray]], own: np.ndarray, other: np.ndarray, steps: int = 4) -> np.ndarray:
+        """New vectors of the words of ``rows`` (word, its neighbours, how often): ``steps`` steps with a bound of the curvature, none of which makes the fit worse."""
+        a, b = self.noise(side)
+        u = other.astype(np.float32)
+        kb = (self.negatives * b).astype(np.float32)
+        shared = (u * kb[:, None]).T @ u
+        out = [np.zeros((0, own.shape[1]), np.float32)]
+        each = max(1, CELLS // len(own))
+        for start in range(0, len(rows), each):
+            part = rows[start : start + each]
+            xs = [x for x, _, _ in part]
+            q = np.zeros((len(part), len(own)), np.float32)
+            bound = np.empty((len(part), own.shape[1], own.shape[1]), np.float32)
+            for k, (x, near, n) in enumerate(part):
+                q[k, near] = w = (self.row(x, near, n) / self.weight[x]).astype(np.float32)
+                bound[k] = (u[near] * w[:, None]).T @ u[near]
+            pull = (self.prior / self.weight[xs]).astype(np.float32)[:, None]
+            ax = a[xs].astype(np.float32)[:, None]
+            bound = 0.25 * (bound + ax[:, :, None] * shared) + pull[:, :, None] * np.eye(own.shape[1], dtype=np.float32)
+            both = q + ax * kb
+            v = own[xs].astype(np.float32)
+            for _ in range(steps):
+                g = v @ u.T
+                np.negative(g, out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.divide(both, g, out=g)
+                np.subtract(q, g, out=g)
+                v = v + np.linalg.solve(bound, (g @ u - pull * v)[:, :, None])[:, :, 0]
+            out.append(v)
+        return np.concatenate(out)
+
+
+def alternated(size: int, solved: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of both sides, each in turn solved (words, their vectors) against the other; the seed fixes where this begins."""
+    sides = np.random.default_rng(0).standard_normal((2, size, DIMENSIONS)).astype(np.float32) / np.float32(DIMENSIONS**0.5)
+    for side in [0, 1] * sweeps:
+        xs, vectors = solved(side, sides[side], sides[1 - side])
+        sides[side][xs] = vectors
+    return sides[0], sides[1]
+
+
+def place_fits(s: np.ndarray, text: np.ndarray, v: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How well each word with a neighbour fits its place, in whole parts of ``GRAIN``."""
+    total, near = np.zeros(len(s), np.float32), np.zeros(len(s), np.int32)
+    vs, us = v[s], u[s]
+    for k in range(1, WINDOW + 1):
+        same = text[k:] == text[:-k]
+        total[:-k] += np.einsum("nd,nd->n", vs[:-k], us[k:]) * same
+        total[k:] += np.einsum("nd,nd->n", vs[k:], us[:-k]) * same
+        near[:-k] += same
+        near[k:] += same
+    has = near > 0
+    return np.floor(np.clip(total[has] / near[has], -100, 100) * GRAIN).astype(np.int64)
+
+
+def mark(fits: np.ndarray, n: np.ndarray, share: float) -> float:
+    """What ``share`` of all places don't exceed."""
+    order = np.argsort(fits)
+    return float(fits[order][np.searchsorted(np.cumsum(n[order]), share * n.sum())]) / GRAIN if len(fits) else 0.0
+
+
+def skip_grams(texts: list[str], words: dict[str, int], epochs: int = 3) -> Context:
+    """What ``Corpus`` learns over tables, for texts in memory: vectors of the frequent words that the texts have."""
+    ids = {w: k for k, w in enumerate(sorted(words))}
+    block = _Block(_Lowered())
+    for t in texts:
+        block.add(t, True)
+    s, text = numbered(list(block.words), np.array(block.clean, np.int64), ids)
+    tally = _Tally()
+    tally.add(pairs(s, text, max(1, len(ids))))
+    tally.settle()
+    if not len(tally.keys):
+        return NO_CONTEXT
+    near: dict[int, dict[int, int]] = {}
+    for key, n in zip(tally.keys.tolist(), tally.n.tolist()):
+        a, b = divmod(key, len(ids))
+        near.setdefault(a, {})[b] = n * (1 + (a == b))
+        near.setdefault(b, {})[a] = n * (1 + (a == b))
+    rows = [(x, np.array(sorted(r)), np.array([r[y] for y in sorted(r)])) for x, r in sorted(near.items())]
+    fit = Fit(np.bincount(s, minlength=len(ids)))
+    for r in rows:
+        fit.weight[r[0]] = fit.row(*r).sum()
+    v, u = alternated(len(ids), lambda side, own, other: (np.array(sorted(near)), fit.solved(side, rows, own, other)), epochs)
+    fits, n = np.unique(place_fits(s, text, v, u), return_counts=True)
+    return Context({w: k for w, k in ids.items() if k in near}, v, u, mark(fits, n, 0.01), mark(fits, n, 0.5))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], ids: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        for words, places in zip(b.column(0), b.column(1)):
+            yield numbered(words.as_py(), np.frombuffer(places.as_py(), np.int32), ids)
+
+
+def _rows(b: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """``x, near, n`` of a batch: each word, its neighbours and how often they are."""
+    at = b.column(1).offsets.to_numpy()
+    near, n = (b.column(k).values.to_numpy() for k in (1, 2))
+    return [(x, near[i:j], n[i:j]) for x, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:])]
+
+
+def learned(blocks: DataFrame, counts: dict[str, int], sweeps: int = 3) -> Context:
+    """Skip-gram vectors of the frequent words, and the marks, from every place of all ``spelled`` texts.
+
+    Only what is as long as the list of frequent words comes to the driver: their vectors and weights.
+    """
+    sc = blocks.sparkSession.sparkContext
+    ids = {w: k for k, w in enumerate(sorted(counts))}
+    if not ids:
+        return NO_CONTEXT
+    size = len(ids)
+    known = sc.broadcast(ids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for s, text in _blocks(batches, known.value):
+            tally.add(pairs(s, text, size))
+            if len(tally.keys) >= HELD:
+                yield tally.taken()
+        yield tally.taken()
+
+    texts = blocks.select("words", "places")
+    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    both = counted.selectExpr(f"cast(key div {size} as int) as a", f"cast(key % {size} as int) as b", "n").selectExpr("inline(if(a = b, array(struct(a as x, b as y, 2 * n as n)), array(struct(a as x, b as y, n as n), struct(b as x, a as y, n as n))))")
+    near = both.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("near"))
+    rows = cut(near.select("x", F.col("near.y").alias("near"), F.col("near.n").alias("n")), WIDE)
+    fit = Fit(np.array([counts[w] for w in ids], np.int64))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = [(x, float(fit.row(x, near, n).sum())) for x, near, n in _rows(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in of], pa.int32()), pa.array([w for _, w in of], pa.float64())], names=["x", "weight"])
+
+    weights = {r["x"]: r["weight"] for r in rows.mapInArrow(weigh, "x int, weight double").collect()}
+    if not weights:
         return NO_CONTEXT
-    rng = np.random.default_rng(0)
-    seqs = [np.array([ids[w] for w in t], np.int64) for t in read]
-    pairs = [(s[:-k], s[k:]) for s in seqs for k in range(1, WINDOW + 1) if len(s) > k]
-    x = np.concatenate([p for a, b in pairs for p in (a, b)])
-    y = np.concatenate([p for a, b in pairs for p in (b, a)])
-    keep = rng.random(len(x)) < np.sqrt(2e-3 / np.maximum(np.bincount(x, minlength=len(ids))[x] / len(x), 1e-9))
-    x, y = x[keep], y[keep]
-    noise = np.bincount(y, minlength=len(ids)).astype(float) ** 0.75
-    noise = np.cumsum(noise / noise.sum()) if noise.sum() else np.linspace(0, 1, len(ids))
-    v = (rng.random((len(ids), DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS
-    u = np.zeros((len(ids), DIMENSIONS), np.float32)
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for batch in np.array_split(order, max(1, len(order) // 1024)):
-            c = x[batch]
-            drawn = np.minimum(np.searchsorted(noise, rng.random((len(batch), negatives))), len(ids) - 1)
-            t = np.concatenate([y[batch][:, None], drawn], 1)
-            label = np.zeros(t.shape, np.float32)
-            label[:, 0] = 1
-            vc, ut = v[c], u[t]
-            g = (label - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", vc, ut), -8, 8)))) * rate
-            np.add.at(v, c, np.einsum("bk,bkd->bd", g, ut))
-            np.add.at(u, t, g[:, :, None] * vc[:, None, :])
-    fits = []
-    for s in seqs:
-        for k in range(0, len(s), 5):
-            near = np.concatenate([s[max(0, k - WINDOW) : k], s[k + 1 : k + 1 + WINDOW]])
-            if len(near):
-                fits.append(float(v[s[k]] @ u[near].mean(0)))
-    floor, usual = np.quantile(fits, (0.01, 0.5)) if fits else (0.0, 0.0)
-    return Context(ids, v, u, float(floor), float(usual))
+    fit.weight[list(weights)] = list(weights.values())
+
+    def solved(side: int, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent = sc.broadcast((fit, own, other))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f, mine, theirs = sent.value
+            for b in batches:
+                part = sorted(_rows(b), key=lambda r: r[0])
+                xs = np.array([x for x, _, _ in part], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([xs.tobytes()], pa.binary()), pa.array([f.solved(side, part, mine, theirs).tobytes()], pa.binary())], names=["xs", "vectors"])
+
+        got = rows.mapInArrow(run, "xs binary, vectors binary").collect()
+        sent.unpersist()
+        return np.concatenate([np.frombuffer(r["xs"], np.int32) for r in got]), np.concatenate([np.frombuffer(r["vectors"], np.float32) for r in got]).reshape(-1, own.shape[1])
+
+    v, u = alternated(size, solved, sweeps)
+    vectors = sc.broadcast((v, u))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for s, text in _blocks(batches, known.value):
+            tally.add(place_fits(s, text, *vectors.value))
+        yield tally.taken()
+
+    got = texts.mapInArrow(measure, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    fits, n = np.array([r["key"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
+    return Context({w: k for w, k in ids.items() if k in weights}, v, u, mark(fits, n, 0.01), mark(fits, n, 0.5))
 
 
 def roman(s: str) -> int:
@@ -605,17 +851,16 @@ class Corpus:
 
     def __init__(self, texts: DataFrame, journals: DataFrame):
         spark = texts.sparkSession
-        self.counts = cut(word_counts(texts))
+        blocks = cut(spelled(texts), WIDE)
+        self.counts = cut(word_counts(blocks))
         total = self.counts.agg(F.sum("n")).first()[0] or 0
         least = max(LEAST, -(-total // SHARE))
         frequent = {r["word"]: (r["clean"], r["n"]) for r in self.counts.where(F.col("n") >= least).collect()}
-        few = lambda of: texts.where(f"{of} and text is not null").orderBy(F.xxhash64("place", "item_id"), "item_id", "text").limit(FIT_TEXTS).select(F.substring("text", 1, FIT_CHARACTERS).alias("text"))
-        sample = few("clean").unionByName(few("scanned")).collect()
         names = journals.select("name").where("name is not null").limit(SHARE + 1).collect()
         if len(names) > SHARE:
             raise ValueError(f"the list has more than {SHARE} journals")
         words = {w for r in names for w in words_of(r["name"])}
-        context = skip_grams([r["text"] for r in sample], {w: n for w, (_, n) in frequent.items()})
+        context = learned(blocks, {w: n for w, (_, n) in frequent.items()})
         self.shared = spark.sparkContext.broadcast((frequent, context, words))
 
 

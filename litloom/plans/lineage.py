@@ -38,15 +38,17 @@ def _release_at_exit(spark: SparkSession) -> None:
         _written.clear()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, group_mb: int = 0) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again, without its lineage.
 
     Unlike a checkpoint of rows, the table is columnar: later readers take only the columns they use, and its size is
-    known to the planner. It stays until ``release`` or the end of the session's Python.
+    known to the planner. It stays until ``release`` or the end of the session's Python. Readers hold up to 4096 rows of a
+    row group at once: for rows so wide that these don't fit, ``group_mb`` ends the groups at about so many compressed MB.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    sizes = {"parquet.block.size": group_mb << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16} if group_mb else {}
+    df.write.options(compression="zstd", **sizes).parquet(path)
     if not _written:
         atexit.register(_release_at_exit, spark)
     _written.append(path)

@@ -100,3 +100,49 @@ def test_vectors_tell_what_usually_stands_together():
     c = op.skip_grams(texts, words, epochs=6)
     assert c.fit("reef", ["warm", "grew", "near"]) > c.fit("reef", ["wine", "oak", "casks"])
     assert c.floor <= c.usual and op.skip_grams([], {}) is op.NO_CONTEXT
+
+
+def test_vectors_and_marks_come_from_every_text(spark):
+    # 600 long born-digital texts, more than any bound there was; a word that only the last part of one of them has counts too.
+    rows = [(k, "the warm reef grew near the cold stone and the warm water\n" * 4, False, "x") for k in range(600)]
+    rows.append((600, "the cold stone and the warm water\n" * 900 + "red wine from old oak casks\n" * 40, False, "x"))
+    texts = op.corpus(spark.createDataFrame(rows, "sec_id long, full_text string, scanned boolean, noise string").repartition(3), spark.createDataFrame([], "caption_id long, caption_text string"))
+    frequent, context, _ = op.Corpus(texts, spark.createDataFrame([], "name string")).shared.value
+    assert {"wine", "casks", "reef"} <= set(context.ids) == set(frequent)
+    assert context.fit("wine", ["red", "from", "old"]) > context.usual - 1 > context.fit("wine", ["warm", "reef", "grew"])
+    memory = op.skip_grams([r[1] for r in rows], {w: n for w, (_, n) in frequent.items()})
+    assert (memory.floor, memory.usual) == pytest.approx((context.floor, context.usual), abs=2 / op.GRAIN)
+    assert abs(memory.v - context.v).max() < 1e-3 and abs(memory.u - context.u).max() < 1e-3
+
+
+def test_every_pair_in_the_window_of_a_text_is_counted():
+    block = op._Block(op._Lowered())
+    texts = ["a b c d e", "a b x’ ”", "", "e", "B A"]
+    for k, t in enumerate(texts):
+        block.add(t, k % 2 == 0)
+    row = block.row()
+    assert dict(zip(row["words"][0].as_py(), zip(row["clean"][0].as_py(), row["n"][0].as_py()))) == {"a": (2, 3), "b": (2, 3), "c": (1, 1), "d": (1, 1), "e": (1, 2), "x": (0, 1)}
+    ids = {w: k for k, w in enumerate("abcde")}
+    s, text = op.numbered(row["words"][0].as_py(), op.np.frombuffer(row["places"][0].as_py(), op.np.int32), ids)
+    tally, held = op._Tally(), op.HELD
+    try:
+        op.HELD = 3
+        for t in sorted(set(text)):
+            tally.add(op.pairs(s[text == t], text[text == t], 5))
+        got = tally.taken()
+    finally:
+        op.HELD = held
+    found = {tuple("abcde"[x] for x in divmod(k, 5)): n for k, n in zip(got["key"].to_pylist(), got["n"].to_pylist())}
+    assert found == {("a", "b"): 3, ("a", "c"): 1, ("a", "d"): 1, ("b", "c"): 1, ("b", "d"): 1, ("b", "e"): 1, ("c", "d"): 1, ("c", "e"): 1, ("d", "e"): 1}
+    assert len(op.place_fits(s, text, op.np.ones((5, 2), "f4"), op.np.ones((5, 2), "f4"))) == 9
+
+
+def test_row_groups_of_wide_rows_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    from litloom.plans.lineage import cut
+
+    wide = cut(spark.range(0, 40, 1, 1).select(F.expr("cast(array_join(transform(sequence(1, 20000), i -> sha2(concat(id, ' ', i), 256)), '') as binary)").alias("places")), op.WIDE)
+    for file in wide.inputFiles():
+        meta = pytest.importorskip("pyarrow.parquet").ParquetFile(file.removeprefix("file://")).metadata
+        assert meta.num_row_groups > 1 and all(meta.row_group(k).total_byte_size < 40 << 20 for k in range(meta.num_row_groups))
