@@ -57,6 +57,8 @@ GRAIN = 1000
 BREAKS = "-¬­‐"
 LIGATURES = re.compile("[ﬀﬁﬂﬃﬄﬅﬆ]")
 PAGE = re.compile(r"^\s*(?P<a>[—–-]\s?|p\. ?|pp?\.|Page |page |\[|\(|· ?|S\. |Seite |)(?P<n>[0-9OolISB]{1,4}|[ivxlc]{1,8})(?P<b>\s?[—–-]|\]|\)| ?·| of [0-9OolISB]{1,4}|/[0-9OolISB]{1,4}|)\s*$")
+#: No line that ``PAGE`` matches has more characters between its white space.
+LONGEST_PAGE = 22
 SUSPENDED = frozenset("and or to und oder bis et ou y o e and/or".split())
 HEADING = re.compile(r"^\s*(?:[0-9lIO]{1,2}\.?\s+\p{Lu}\p{L}+(?:\s\p{L}+){0,3}|Abstract|Zusammenfassung|Résumé|Resumen|Summary)\s*$")
 TOKEN = re.compile(r"[\p{L}\p{M}\d­¬’']+(?:[.,][\p{L}\d]+)*(?:[-‐][\p{L}\p{M}\d’']+)*")
@@ -65,6 +67,13 @@ INLINE = re.compile(r"^\s*(\d{1,4})\s{2,}(\S.*?)\s*$|^\s*(\S.*?)\s{2,}(\d{1,4})\
 TABLE = re.compile(r"^\s*[\dOolISB.,]+(?:\s{2,}[\dOolISB.,]+)+\s*$")
 NUMBERLIKE = re.compile(r"^[\d.,:/%–-]*$")
 MIXED = re.compile(r"(?=.*\d)(?=.*\p{L})")
+PARTS = re.compile("[-'.]")
+NO_WORD = re.compile(r"v\d+(?:\.\d+)*|\d+(?:st|nd|rd|th|s|er|e|o|a)|[a-z]\d{1,3}")
+AND_OTHERS = re.compile(r"^\p{Lu}[\p{L}\d’'-]+ et al\.$")
+AXIS = re.compile(r"\s*\p{L}\s*")
+RUNS = re.compile(r"[\p{L}\d]+")
+LOWER_WORD = re.compile(r"(?<!\S)\p{Lowercase}\S{3}")
+NEXT_SENTENCE = re.compile(r"[.!?;] \p{Lu}")
 
 
 ENDING = re.compile(r"([\p{L}\d’'-]+)[-¬­‐]$")
@@ -76,6 +85,16 @@ def tokens(text: str) -> list[tuple[str, int]]:
     return [(m.group().strip("’'"), m.start()) for m in TOKEN.finditer(text)]
 
 
+def placed(found: list[str], line: str) -> list[tuple[str, int]]:
+    """``tokens`` of a line whose tokens were found already: no character that a token has lies between two of them."""
+    out, at = [], 0
+    for raw in found:
+        at = line.index(raw, at)
+        out.append((raw.strip("’'"), at))
+        at += len(raw)
+    return out
+
+
 def plain(word: str) -> str:
     return word.replace("’", "'").casefold()
 
@@ -192,7 +211,9 @@ class Words:
     def known(self, word: str) -> bool:
         if word in self.n:
             return True
-        parts = [x for x in re.split(r"[-'.]", word) if x]
+        if word.isalnum():
+            return False
+        parts = [x for x in PARTS.split(word) if x]
         return len(parts) > 1 and all(x in self.n or len(x) == 1 for x in parts)
 
     def _near(self, word: str) -> tuple[str, ...]:
@@ -485,12 +506,14 @@ class Reader:
         self.context = context
         self.journal_words = journal_words
         self.journal_folded = {folded(w) for w in journal_words}
+        self.low = _Lowered()
+        self.word_at_fault = functools.lru_cache(1 << 17)(self._word_at_fault)
 
     # -- furniture
 
     def journal_like(self, line: str) -> bool:
         """Nothing but words of journal names, written as a name."""
-        ws = [w for w in re.findall(r"[\p{L}\d]+", VOLUME.sub("", line))]
+        ws = RUNS.findall(VOLUME.sub("", line))
         letters = [w for w in ws if not w.isdigit()]
         if not 2 <= len(letters) <= 9 or line.rstrip()[-1:] in ".;,:":
             return False
@@ -508,7 +531,7 @@ class Reader:
     def strong_head(self, line: str) -> bool:
         s = line.strip()
         # A longer word in lower case: no name, no capitals.
-        if " · " not in s and not s.endswith("et al.") and any(w[0].islower() and len(w) > 3 for w in s.split()):
+        if " · " not in s and not s.endswith("et al.") and LOWER_WORD.search(s):
             return False
         letters = [c for c in s if c.isalpha()]
         if len(letters) < 6 or HEADING.match(s):
@@ -516,14 +539,14 @@ class Reader:
         upper = sum(c.isupper() for c in letters)
         if upper >= 0.85 * len(letters) and len(s.split()) > 1 and not s.endswith("."):
             return True
-        return " · " in s or bool(re.match(r"^\p{Lu}[\p{L}\d’'-]+ et al\.$", s)) or bool(VOLUME.search(s)) and len(s.split()) < 12 and s[0].isupper() and self.journal_like(s) or self.journal_like(s)
+        return " · " in s or bool(AND_OTHERS.match(s)) or bool(VOLUME.search(s)) and len(s.split()) < 12 and s[0].isupper() and self.journal_like(s) or self.journal_like(s)
 
     def furniture(self, lines: list[str], caption: bool) -> dict[int, str]:
         """Line numbers of heads and page numbers."""
         out: dict[int, str] = {}
         pages: list[tuple[int, tuple[str, str], int]] = []
         for k, line in enumerate(lines):
-            if m := PAGE.match(line):
+            if len(line.strip()) <= LONGEST_PAGE and (m := PAGE.match(line)):
                 kind = (m["a"].strip(), m["b"].strip().split(" ")[0].split("/")[0])
                 if any(c.isdigit() for c in m["n"]):
                     pages.append((k, kind, int(m["n"].translate(str.maketrans("OolISB", "001158")))))
@@ -535,7 +558,7 @@ class Reader:
         for kind, seq in by.items():
             for j, (k, n) in enumerate(seq):
                 in_turn = any(abs(n - o) == abs(j - i) or 0 < abs(n - o) <= 3 and (n - o) * (k - at) > 0 for i, (at, o) in enumerate(seq) if i != j)
-                axis = k > 0 and re.fullmatch(r"\s*\p{L}\s*", lines[k - 1] or "")
+                axis = k > 0 and AXIS.fullmatch(lines[k - 1] or "")
                 if axis or kind[0] == "(" and not caption and not in_turn and not self._head_beside(lines, k):
                     continue
                 if kind == ("", "") and not in_turn and not caption and (len(lines[k].strip()) > 3 or len(by) > 1) and not self._head_beside(lines, k):
@@ -543,9 +566,10 @@ class Reader:
                 out[k] = "page_number"
         inline = []
         for k, line in enumerate(lines):
-            if k in out or not line.strip():
+            s = line.strip()
+            if k in out or not s:
                 continue
-            if not TABLE.match(line) and (m := INLINE.match(line)) and not HEADING.match(line):
+            if (s[0].isdigit() or s[-1].isdigit()) and not TABLE.match(line) and (m := INLINE.match(line)) and not HEADING.match(line):
                 rest = m.group(2) or m.group(3)
                 if self.strong_head(rest) or len(rest.split()) > 2 and not rest.endswith(".") and rest[:1].isupper():
                     inline.append(k)
@@ -600,7 +624,7 @@ class Reader:
                     score += 1
                 score -= 0.5 if len(s) > 0.93 * width else 0
                 score += 0.5 if j == first else 0
-                score -= 1.5 if re.search(r"[.!?;] \p{Lu}", s) else 0
+                score -= 1.5 if NEXT_SENTENCE.search(s) else 0
                 if score >= 2:
                     out[j] = "header"
                     heads.append(s)
@@ -645,7 +669,7 @@ class Reader:
             return True
         return not (a in self.words and b in self.words and len(a) > 2 and len(b) > 2 and not self.words.near(a + b))
 
-    def word_at_fault(self, raw: str) -> tuple[str, str | None] | None:
+    def _word_at_fault(self, raw: str) -> tuple[str, str | None] | None:
         """None if the token is sound; else (word to look up in the corpus, the frequent word meant)."""
         if LIGATURES.search(raw):
             return "", None
@@ -670,7 +694,7 @@ class Reader:
 
     def _mixed(self, raw: str, w: str) -> tuple[str, str | None] | None:
         """Letters and digits in one: a misread word or number, unless it is a name such as v33 or H2O."""
-        if re.fullmatch(r"v\d+(?:\.\d+)*|\d+(?:st|nd|rd|th|s|er|e|o|a)|[a-z]\d{1,3}", w):
+        if NO_WORD.fullmatch(w):
             return None
         digits = sum(c.isdigit() for c in w)
         letters = [c for c in w if c.isalpha()]
@@ -699,13 +723,14 @@ class Reader:
         if not text or not text.strip():
             return []
         lines = text.split("\n")
-        furniture = self.furniture(lines, caption)
+        furniture, frequent = self.furniture(lines, caption), self.words.n
         out: list[tuple[int, str, str | None, str | None]] = [(k, kind, None, None) for k, kind in furniture.items()]
         body = [k for k in range(len(lines)) if k not in furniture and lines[k].strip()]
         skip: set[int] = set()  # offsets of tokens that belong to a broken word
         for place, k in enumerate(body):
             line = lines[k]
-            toks = tokens(line)
+            found = TOKEN.findall(line)
+            low = list(map(self.low.__getitem__, found))
             broken = None
             s = line.rstrip()
             if s[-1:] in BREAKS and len(s) > 1 and place + 1 < len(body) and (m := ENDING.search(s)):
@@ -713,15 +738,15 @@ class Reader:
                 if nxt and self.joins(m.group(1), s[-1], nxt.group(1)):
                     broken = (m.group(1), nxt.group(1))
                     out.append((k, "hyphen", None, None))
-            for m in BROKEN_INSIDE.finditer(line) if any(f"{x} " in line for x in BREAKS) else ():
+            for m in BROKEN_INSIDE.finditer(line) if "- " in line or "¬ " in line or "­ " in line or "‐ " in line else ():
                 if self.joins(m.group(1), m.group(2), m.group(3)):
                     out.append((k, "hyphen", None, None))
                     skip |= {id_ for id_ in range(m.start() + k * 1_000_000, m.end() + k * 1_000_000)}
                     self._parts(out, k, k, m.group(1), m.group(3))
             first_done = place > 0 and getattr(self, "_carry", None) == k
             self._carry = None
-            low = [plain(raw) for raw, _ in toks]
-            unknown = [t for t, w in enumerate(low) if w not in self.words.n]
+            unknown = [t for t, w in enumerate(low) if w not in frequent]
+            toks = placed(found, line) if unknown else []
             gone: set[int] = set()
             for t in unknown:
                 raw, at = toks[t]

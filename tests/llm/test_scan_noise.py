@@ -146,3 +146,8 @@ def test_row_groups_of_wide_rows_stay_small(spark):
     for file in wide.inputFiles():
         meta = pytest.importorskip("pyarrow.parquet").ParquetFile(file.removeprefix("file://")).metadata
         assert meta.num_row_groups > 1 and all(meta.row_group(k).total_byte_size < 40 << 20 for k in range(meta.num_row_groups))
+
+
+def test_tokens_are_placed_where_they_were_found():
+    for line in ("’the’ ’ a-b, 3.5 kPa a’b’ ''x ­ y¬", "a a aa a-a", "", "— 5 —"):
+        assert op.placed(op.TOKEN.findall(line), line) == op.tokens(line)
