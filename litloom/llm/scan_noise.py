@@ -48,6 +48,10 @@ WINDOW = 3
 BLOCK = 250_000
 HELD = 2_000_000
 CELLS = 500_000
+#: Bits of a number that hold how often a pair of words is; above these is the number of a word.
+OFTENEST = 46
+#: Characters that a piece between white space has at most if it is remembered.
+PIECE = 40
 #: MB of the row groups of tables with wide rows.
 WIDE = 8
 #: The marks are exact to this part of a unit.
@@ -76,9 +80,9 @@ LOWER_WORD = re.compile(r"(?<!\S)\p{Lowercase}\S{3}")
 NEXT_SENTENCE = re.compile(r"[.!?;] \p{Lu}")
 
 
-ENDING = re.compile(r"([\p{L}\d’'-]+)[-¬­‐]$")
+ENDING = re.compile(r"(?r)([\p{L}\d’'-]+)[-¬­‐]$")
 BEGINNING = re.compile(r"\s*([\p{L}\d’']+)")
-BROKEN_INSIDE = re.compile(r"([\p{L}’'-]+)([-¬­‐]) (\p{Ll}[\p{L}’']*)")
+BROKEN_INSIDE = re.compile(r"(?<=([\p{L}’'-]+))([-¬­‐]) (\p{Ll}[\p{L}’']*)")
 
 
 def tokens(text: str) -> list[tuple[str, int]]:
@@ -95,20 +99,53 @@ def placed(found: list[str], line: str) -> list[tuple[str, int]]:
     return out
 
 
+def broken_inside(line: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Where it begins and ends, first part, sign and second part of each word broken inside a line; no two overlap. The sign is looked for and the first part read backward from it, as signs are rarer than words."""
+    done = 0
+    for m in BROKEN_INSIDE.finditer(line):
+        start, sign = max(m.start(1), done), m.start(2)
+        if start < sign:
+            done = m.end()
+            yield start, done, line[start:sign], m.group(2), m.group(3)
+
+
 def plain(word: str) -> str:
     return word.replace("’", "'").casefold()
 
 
 class _Lowered(dict):
-    """The plain form of each token, remembered for the last of them."""
-
-    def __missing__(self, raw: str) -> str:
-        if len(self) >= 1 << 17:
-            self.clear()
-        self[raw] = low = plain(raw.strip("’'"))
+    """The plain forms of the counted words of each piece of a text between white space, remembered for the last of the short pieces."""
+
+    def __missing__(self, piece: str) -> list[str]:
+        low = [plain(raw.strip("’'")) for raw in COUNTED(piece)]
+        if len(piece) <= PIECE:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[piece] = low
         return low
 
 
+class _Pieces(dict):
+    """The tokens of each piece of a line between white space, which no token crosses, their plain forms, and which of them are doubtful; remembered for the last of the short pieces. ``sound`` has those of them without doubtful tokens."""
+
+    def __init__(self, doubtful: Callable[[str, str], bool]):
+        self.doubtful = doubtful
+        self.sound: set[str] = set()
+
+    def __missing__(self, piece: str) -> tuple[list[str], list[str], list[int]]:
+        found = TOKEN.findall(piece)
+        low = [plain(raw.strip("’'")) for raw in found]
+        doubts = [t for t, w in enumerate(low) if self.doubtful(found[t].strip("’'"), w)]
+        if len(piece) <= PIECE:
+            if len(self) >= 1 << 16:
+                self.clear()
+                self.sound.clear()
+            self[piece] = found, low, doubts
+            if not doubts:
+                self.sound.add(piece)
+        return found, low, doubts
+
+
 # -- 1 words ------------------------------------------------------------------------------------------------------------
 
 
@@ -116,35 +153,54 @@ COUNTED = re.compile(r"[\p{L}\p{M}\d’']+(?:-[\p{L}\p{M}\d’']+)*").findall
 
 
 class _Block:
-    """The words of some texts, and the texts as places among these words."""
+    """Some texts as places among their different pieces between white space, which no word crosses."""
 
-    def __init__(self, low: dict[str, str]):
-        self.words: dict[str, int] = {}
-        self.ids = _Numbered(self.words, low)
-        self.clean, self.other = array("i"), array("i")
+    def __init__(self, low: dict[str, list[str]]):
+        self.pieces, self.low = _Numbered(), low
+        self.clean: list[int] = []
+        self.other: list[int] = []
+        self.size = 0
 
     def add(self, text: str, clean: bool) -> bool:
         """Whether the block is full."""
         to = self.clean if clean else self.other
-        to.extend(map(self.ids.__getitem__, COUNTED(text)))
+        to.extend(map(self.pieces.__getitem__, text.split()))
         to.append(-1)
-        return len(self.clean) + len(self.other) >= BLOCK
+        self.size += len(text)
+        return len(self.clean) + len(self.other) >= BLOCK or self.size >= 8 * BLOCK
+
+    def spelled(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different words, and the born-digital and the other texts as places among them, with -1 behind each text."""
+        words = _Numbered()
+        flat, each = array("i"), array("i")
+        for piece in self.pieces:
+            found = self.low[piece]
+            each.append(len(found))
+            flat.extend(map(words.__getitem__, found))
+        # Behind the last piece, which the ends of texts (-1) take, stands -1.
+        flat.append(-1)
+        each.append(1)
+        flat, each = np.frombuffer(flat, np.int32), np.frombuffer(each, np.int32)
+        first = np.cumsum(each) - each
+        out = []
+        for at in (self.clean, self.other):
+            at = np.array(at, np.int32)
+            n = each[at]
+            out.append(flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return list(words), *out
 
     def row(self) -> pa.RecordBatch:
-        clean, other = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (self.clean, self.other))
-        in_clean, in_other = (np.bincount(x[x >= 0], minlength=len(self.words)) for x in (clean, other))
-        cols = [list(self.words)], [in_clean], [in_clean + in_other], [np.concatenate([clean, other]).tobytes()]
+        words, clean, other = self.spelled()
+        in_clean, in_other = (np.bincount(x[x >= 0], minlength=len(words)) for x in (clean, other))
+        cols = [words], [in_clean], [in_clean + in_other], [np.concatenate([clean, other]).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["words", "clean", "n", "places"])
 
 
 class _Numbered(dict):
-    """The number of each token's plain form."""
+    """Numbers what it is asked for."""
 
-    def __init__(self, words: dict[str, int], low: dict[str, str]):
-        self.words, self.low = words, low
-
-    def __missing__(self, raw: str) -> int:
-        self[raw] = k = self.words.setdefault(self.low[raw], len(self.words))
+    def __missing__(self, key: str) -> int:
+        self[key] = k = len(self)
         return k
 
 
@@ -159,7 +215,7 @@ def spelled(texts: DataFrame) -> DataFrame:
                 if t and block.add(t, bool(clean)):
                     yield block.row()
                     block = _Block(low)
-        if block.words:
+        if block.pieces:
             yield block.row()
 
     return texts.select("text", "clean").mapInArrow(run, "words array<string>, clean array<long>, n array<long>, places binary")
@@ -250,7 +306,7 @@ class Context:
         """None if the word or all its neighbours have no vector."""
         k = self.ids.get(word)
         near = [self.ids[x] for x in around if x in self.ids]
-        return float(self.v[k] @ self.u[near].mean(0)) if k is not None and near else None
+        return float(self.v[k] @ (np.add.reduce(self.u[near], 0) / np.float32(len(near)))) if k is not None and near else None
 
 
 NO_CONTEXT = Context({}, np.zeros((0, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32))
@@ -392,7 +448,8 @@ def skip_grams(texts: list[str], words: dict[str, int], epochs: int = 3) -> Cont
     block = _Block(_Lowered())
     for t in texts:
         block.add(t, True)
-    s, text = numbered(list(block.words), np.array(block.clean, np.int64), ids)
+    spelt, places, _ = block.spelled()
+    s, text = numbered(spelt, places, ids)
     tally = _Tally()
     tally.add(pairs(s, text, max(1, len(ids))))
     tally.settle()
@@ -420,8 +477,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], ids: dict[str, int]) -> Iterator[
 
 def _rows(b: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """``x, near, n`` of a batch: each word, its neighbours and how often they are."""
-    at = b.column(1).offsets.to_numpy()
-    near, n = (b.column(k).values.to_numpy() for k in (1, 2))
+    at, both = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+    near, n = both >> OFTENEST, both & ((1 << OFTENEST) - 1)
     return [(x, near[i:j], n[i:j]) for x, i, j in zip(b.column(0).to_pylist(), at[:-1], at[1:])]
 
 
@@ -447,9 +504,9 @@ def learned(blocks: DataFrame, counts: dict[str, int], sweeps: int = 3) -> Conte
 
     texts = blocks.select("words", "places")
     counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    both = counted.selectExpr(f"cast(key div {size} as int) as a", f"cast(key % {size} as int) as b", "n").selectExpr("inline(if(a = b, array(struct(a as x, b as y, 2 * n as n)), array(struct(a as x, b as y, n as n), struct(b as x, a as y, n as n))))")
-    near = both.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("near"))
-    rows = cut(near.select("x", F.col("near.y").alias("near"), F.col("near.n").alias("n")), WIDE)
+    # A neighbour and how often it is, in one number: these are sorted and kept without an object for each.
+    both = counted.selectExpr(f"cast(key div {size} as int) as a", f"cast(key % {size} as int) as b", "n").selectExpr(f"inline(if(a = b, array(struct(a as x, shiftleft(cast(b as long), {OFTENEST}) + 2 * n as y)), array(struct(a as x, shiftleft(cast(b as long), {OFTENEST}) + n as y), struct(b as x, shiftleft(cast(a as long), {OFTENEST}) + n as y))))")
+    rows = cut(both.groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("near")), WIDE)
     fit = Fit(np.array([counts[w] for w in ids], np.int64))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,8 +563,9 @@ class Reader:
         self.context = context
         self.journal_words = journal_words
         self.journal_folded = {folded(w) for w in journal_words}
-        self.low = _Lowered()
         self.word_at_fault = functools.lru_cache(1 << 17)(self._word_at_fault)
+        # No frequent word, and at fault by itself or, if it is all letters, perhaps a part of a word with a gap in it.
+        self.pieces = _Pieces(lambda raw, low: low not in self.words.n and (raw.isalpha() or self.word_at_fault(raw) is not None))
 
     # -- furniture
 
@@ -546,7 +604,7 @@ class Reader:
         out: dict[int, str] = {}
         pages: list[tuple[int, tuple[str, str], int]] = []
         for k, line in enumerate(lines):
-            if len(line.strip()) <= LONGEST_PAGE and (m := PAGE.match(line)):
+            if 0 < len(line.strip()) <= LONGEST_PAGE and (m := PAGE.match(line)):
                 kind = (m["a"].strip(), m["b"].strip().split(" ")[0].split("/")[0])
                 if any(c.isdigit() for c in m["n"]):
                     pages.append((k, kind, int(m["n"].translate(str.maketrans("OolISB", "001158")))))
@@ -723,56 +781,66 @@ class Reader:
         if not text or not text.strip():
             return []
         lines = text.split("\n")
-        furniture, frequent = self.furniture(lines, caption), self.words.n
+        furniture = self.furniture(lines, caption)
         out: list[tuple[int, str, str | None, str | None]] = [(k, kind, None, None) for k, kind in furniture.items()]
         body = [k for k in range(len(lines)) if k not in furniture and lines[k].strip()]
-        skip: set[int] = set()  # offsets of tokens that belong to a broken word
+        carry = None
         for place, k in enumerate(body):
             line = lines[k]
-            found = TOKEN.findall(line)
-            low = list(map(self.low.__getitem__, found))
+            pieces = line.split()
             broken = None
             s = line.rstrip()
-            if s[-1:] in BREAKS and len(s) > 1 and place + 1 < len(body) and (m := ENDING.search(s)):
+            if s[-1] in BREAKS and len(s) > 1 and place + 1 < len(body) and (m := ENDING.search(s)):
                 nxt = BEGINNING.match(lines[body[place + 1]])
                 if nxt and self.joins(m.group(1), s[-1], nxt.group(1)):
                     broken = (m.group(1), nxt.group(1))
                     out.append((k, "hyphen", None, None))
-            for m in BROKEN_INSIDE.finditer(line) if "- " in line or "¬ " in line or "­ " in line or "‐ " in line else ():
-                if self.joins(m.group(1), m.group(2), m.group(3)):
+            skip: set[int] = set()  # offsets of tokens that belong to a broken word
+            for start, end, left, sign, right in broken_inside(line) if "- " in line or "¬ " in line or "­ " in line or "‐ " in line else ():
+                if self.joins(left, sign, right):
                     out.append((k, "hyphen", None, None))
-                    skip |= {id_ for id_ in range(m.start() + k * 1_000_000, m.end() + k * 1_000_000)}
-                    self._parts(out, k, k, m.group(1), m.group(3))
-            first_done = place > 0 and getattr(self, "_carry", None) == k
-            self._carry = None
-            unknown = [t for t, w in enumerate(low) if w not in frequent]
-            toks = placed(found, line) if unknown else []
-            gone: set[int] = set()
-            for t in unknown:
-                raw, at = toks[t]
-                if t in gone or at + k * 1_000_000 in skip or (t == 0 and first_done):
-                    continue
-                if broken and t == len(toks) - 1 and low[t].rstrip(BREAKS) == plain(broken[0]):
-                    continue
-                if t + 1 < len(toks) and self._gap(raw, toks[t + 1][0], line, at):
-                    out.append((k, "misread", None, None))
-                    gone.add(t + 1)
-                    continue
-                if t and t - 1 not in gone and self._gap(toks[t - 1][0], raw, line, toks[t - 1][1]):
-                    out.append((k, "misread", None, None))
-                    continue
-                if fault := self.word_at_fault(raw):
-                    options = self.words.near(fault[0]) if fault[0] else ()
-                    around = low[max(0, t - WINDOW) : t] + low[t + 1 : t + 1 + WINDOW]
-                    word = self.meant(fault[0], options, around) if options else fault[1]
-                    if word is not None or not options:
-                        out.append((k, "misread", fault[0] or None, word))
+                    skip.update(range(start, end))
+                    self._parts(out, k, k, left, right)
+            if not self.pieces.sound.issuperset(pieces):
+                self._misread(out, k, line, pieces, skip, broken, carry == k)
+            carry = None
             if broken:
-                self._carry = body[place + 1]
-                self._parts(out, k, body[place + 1], *broken)
-        self._carry = None
+                carry = body[place + 1]
+                self._parts(out, k, carry, *broken)
         return out
 
+    def _misread(self, out: list, k: int, line: str, pieces: list[str], skip: set[int], broken: tuple[str, str] | None, first_done: bool) -> None:
+        """The faulty words of a line; ``first_done``: its first one is the end of a broken word."""
+        frequent = self.words.n
+        found: list[str] = []
+        low: list[str] = []
+        unknown: list[int] = []
+        for raws, lows, doubts in map(self.pieces.__getitem__, pieces):
+            unknown += [len(low) + t for t in doubts]
+            found += raws
+            low += lows
+        gaps = {j for t in unknown for j in (t - 1, t) if 0 <= j < len(low) - 1 and low[j] + low[j + 1] in frequent}
+        toks = placed(found, line) if gaps or skip else []
+        gone: set[int] = set()
+        for t in unknown:
+            if t in gone or skip and toks[t][1] in skip or t == 0 and first_done:
+                continue
+            if broken and t == len(low) - 1 and low[t].rstrip(BREAKS) == plain(broken[0]):
+                continue
+            if t in gaps and self._gap(toks[t][0], toks[t + 1][0], line, toks[t][1]):
+                out.append((k, "misread", None, None))
+                gone.add(t + 1)
+                continue
+            if t - 1 in gaps and t - 1 not in gone and self._gap(toks[t - 1][0], toks[t][0], line, toks[t - 1][1]):
+                out.append((k, "misread", None, None))
+                continue
+            if fault := self.word_at_fault(found[t].strip("’'")):
+                options = self.words.near(fault[0]) if fault[0] else ()
+                around = low[max(0, t - WINDOW) : t] + low[t + 1 : t + 1 + WINDOW]
+                word = self.meant(fault[0], options, around) if options else fault[1]
+                if word is not None or not options:
+                    out.append((k, "misread", fault[0] or None, word))
+
     def _parts(self, out: list, k: int, next_k: int, left: str, right: str) -> None:
         """A broken word may be misread too; the line of the faulty part is the one that differs."""
         fault = self.word_at_fault(left + right)
@@ -896,9 +964,9 @@ def noise(texts: DataFrame, known: Corpus) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Reader(*shared.value)
         for b in batches:
-            rows = {(p, i, *f) for p, i, t in zip(*(c.to_pylist() for c in b.columns)) for f in r.findings(t, p == "caption")}
+            rows = dict.fromkeys((p, i, *f) for p, i, t in zip(*(c.to_pylist() for c in b.columns)) for f in r.findings(t, p == "caption"))
             types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            cols = list(zip(*sorted(rows, key=str))) or [[]] * 6
+            cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["place", "item_id", "line_no", "noise", "word", "meant"])
 
     found = cut(texts.where("scanned and text is not null and item_id is not null").select("place", "item_id", "text").mapInArrow(run, "place string, item_id long, line_no long, noise string, word string, meant string"))

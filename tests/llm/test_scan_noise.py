@@ -151,3 +151,61 @@ def test_row_groups_of_wide_rows_stay_small(spark):
 def test_tokens_are_placed_where_they_were_found():
     for line in ("’the’ ’ a-b, 3.5 kPa a’b’ ''x ­ y¬", "a a aa a-a", "", "— 5 —"):
         assert op.placed(op.TOKEN.findall(line), line) == op.tokens(line)
+
+
+class _Counting:
+    """A pattern's ``findall`` that counts its calls."""
+
+    def __init__(self, findall):
+        self.found, self.calls = findall, 0
+
+    def __call__(self, text):
+        self.calls += 1
+        return self.found(text)
+
+    findall = __call__
+
+
+def test_words_seen_before_are_not_read_again(monkeypatch):
+    token, counted = _Counting(op.TOKEN.findall), _Counting(op.COUNTED)
+    monkeypatch.setattr(op, "TOKEN", token)
+    monkeypatch.setattr(op, "COUNTED", counted)
+    line = "the reef grew near 12.5 warm rccf water,"
+    reader = _reader(_context(1.0))
+    got = [reader.findings("\n".join([line] * 5), False) for _ in range(100)]
+    assert got[0] == [(k, "misread", "rccf", "reef") for k in range(5)] and got == got[:1] * 100
+    low = op._Lowered()
+    for _ in range(3):
+        block = op._Block(low)
+        for _ in range(100):
+            block.add(line, True)
+        row = block.row()
+        assert dict(zip(row["words"][0].as_py(), row["n"][0].as_py())) == dict.fromkeys(["the", "reef", "grew", "near", "12", "5", "warm", "rccf", "water"], 100)
+    assert token.calls <= len(line.split()) and counted.calls <= len(line.split())
+
+
+def test_pieces_between_white_space_make_the_same_words_as_whole_texts(monkeypatch):
+    import random
+
+    monkeypatch.setattr(op, "PIECE", 4)
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab’'--.,1 é́­¬‐漢\n\x1c　\xa0—") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    pieces, block = op._Pieces(lambda raw, low: False), op._Block(op._Lowered())
+    for k, t in enumerate(texts):
+        read = [pieces[p] for p in t.split()]
+        assert [x for found, _, _ in read for x in found] == op.TOKEN.findall(t)
+        block.add(t, k < 2000)
+    words, clean, other = block.spelled()
+    got = [[*map([*words, None].__getitem__, x)] for x in (clean, other)]
+    assert got == [[w for t in part for w in [*(op.plain(x.strip("’'")) for x in op.COUNTED(t)), None]] for part in (texts[:2000], texts[2000:])]
+
+
+def test_words_broken_inside_a_line_are_read_from_their_sign():
+    import random
+
+    whole = op.re.compile(r"([\p{L}’'-]+)([-¬­‐]) (\p{Ll}[\p{L}’']*)")
+    r = random.Random(3)
+    lines = ["".join(r.choice("ab-- ¬­‐'’A1") for _ in range(r.randint(0, 18))) for _ in range(30_000)] + ["a- b- c", "a- b-- c", "a- b- c- d"]
+    assert sum(bool(whole.search(x)) for x in lines) > 500
+    for line in lines:
+        assert list(op.broken_inside(line)) == [(m.start(), m.end(), *m.groups()) for m in whole.finditer(line)]
